@@ -6,18 +6,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, linededup, mixing
+from tessera.llm import bpe, cotraining, linededup, mixing, quality_rules, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
 def op4_budget_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(_table(spark, sf_dir, "documents"))
     return plan.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def op5_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = cotraining.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = cotraining.score(docs.select("doc_id", "text", "lang", "source", "n_chars"), model)
+    return scored.select("row.doc_id", "text_score", "meta_score", "score", "kept")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     bitmaps = linededup.keep_bitmaps(docs, min_docs=10, min_chars=1)
@@ -48,8 +59,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries():
-    return {f.__name__: f for f in (op4_budget_mixing, op8_line_dedup, op9_byte_bpe)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_budget_mixing, op5_quality_cotraining, op8_line_dedup, op9_byte_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
