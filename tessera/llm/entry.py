@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, cotraining, linededup, mixing, quality_rules, toxicity
+from tessera.llm import bpe, cotraining, linededup, mixing, pii, quality_rules, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,31 @@ def op5_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", "text_score", "meta_score", "score", "kept")
 
 
+def op6_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    more = F.transform(F.coalesce("added", F.array()), lambda x: F.concat_ws(":", F.lit("term"), x["start"].cast("string"), x["end"].cast("string")))
+    spans = F.concat_ws(",", F.nullif("base", F.lit("")), F.nullif(F.array_join(more, ","), F.lit("")))
+    return found.select(F.col("doc").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+OP7_SQL = """
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 5
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     bitmaps = linededup.keep_bitmaps(docs, min_docs=10, min_chars=1)
@@ -65,8 +90,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op3_quality_rules, op4_budget_mixing, op5_quality_cotraining, op8_line_dedup, op9_byte_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_budget_mixing, op5_quality_cotraining, op6_pii_disclosure, op7_exact_topk, op8_line_dedup, op9_byte_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL}
+    return {"op7_exact_topk": OP7_SQL, "op8_line_dedup": OP8_SQL}
