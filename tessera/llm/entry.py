@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, cotraining, linededup, mixing, pii, quality_rules, topk, toxicity
+from tessera.llm import bpe, cotraining, linededup, minhash, mixing, pii, quality_rules, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("class_doc").alias("class_id"), "class_size", "stays")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -90,7 +95,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op3_quality_rules, op4_budget_mixing, op5_quality_cotraining, op6_pii_disclosure, op7_exact_topk, op8_line_dedup, op9_byte_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_minhash_neardup, op3_quality_rules, op4_budget_mixing, op5_quality_cotraining, op6_pii_disclosure, op7_exact_topk, op8_line_dedup, op9_byte_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
