@@ -65,7 +65,7 @@ class BytePairCoder:
         for value in range(256):
             self.single[value] = self.tokens[bytes([value])]
         self._build_pairs()
-        self._cache: dict[str, tuple[str, bytes]] = {}
+        self._cache: dict[str, tuple[str, bytes, int, bytes]] = {}
 
     def _build_pairs(self) -> None:
         get = self.tokens.get
@@ -212,7 +212,7 @@ class BytePairCoder:
         cache = self._cache
         new = list({p for pieces in chunk for p in pieces if p not in cache})
         for piece, ids in zip(new, self.encode_pieces([p.encode() for p in new]), strict=True):
-            cache[piece] = (" ".join(map(str, ids)), self.decode_ids(ids), len(ids))
+            cache[piece] = (" ".join(map(str, ids)), self.decode_ids(ids), len(ids), np.array(ids, dtype=np.int32).tobytes())
 
     def chunks(self, texts: list[str | None], most_chars: int = 2_000_000) -> Iterator[list[list[str]]]:
         held, size = [], 0
@@ -236,12 +236,14 @@ class BytePairCoder:
                 decoded = b"".join([x[1] for x in found])
                 yield sum([x[2] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
-    def ids(self, texts: list[str | None]) -> Iterator[list[int]]:
+    def packed(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
+        """(ids as packed int32, bytes decoded from them) of each text."""
         for chunk in self.chunks(texts):
             self._learn(chunk)
             get = self._cache.__getitem__
             for pieces in chunk:
-                yield [int(i) for p in pieces for i in get(p)[0].split()]
+                found = list(map(get, pieces))
+                yield b"".join([x[3] for x in found]), b"".join([x[1] for x in found])
 
 
 _coders: dict[tuple[int, str], BytePairCoder] = {}
@@ -256,19 +258,29 @@ def _coder(ranks, pattern: str) -> BytePairCoder:
     return _coders[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, n_tokens long) for every row; null text gives an empty array."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, columns of ``keep``, n_tokens long, ids array<int>, round_trip boolean) for every row.
+
+    Null text gives an empty array; ``round_trip`` tells whether the ids
+    decode to the bytes of the text.
+    """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(id_col, *keep).alias("row"), F.col(text_col).alias("text"))
 
     def run(batches):
         coder = _coder(ranks, pattern)
         for batch in batches:
-            ids = list(coder.ids(batch.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64())], ["id", "ids", "n_tokens"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>, n_tokens long").withColumnRenamed("id", id_col)
+            texts = batch.column("text").to_pylist()
+            ids, same = [], []
+            for text, (packed, decoded) in zip(texts, coder.packed(texts), strict=True):
+                ids.append(packed)
+                same.append(decoded == (text or "").encode())
+            n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n), lists, pa.array(same, pa.bool_())], ["row", "n_tokens", "ids", "round_trip"])
+
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(run, f"row {kind}, n_tokens long, ids array<int>, round_trip boolean").select("row.*", "n_tokens", "ids", "round_trip")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, cotraining, linededup, minhash, mixing, pii, quality_rules, topk, toxicity
+from tessera.llm import bpe, cotraining, linededup, minhash, mixing, pii, quality_rules, suffix, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("class_doc").alias("class_id"), "class_size", "stays")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
+    return found.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -95,7 +100,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_minhash_neardup, op3_quality_rules, op4_budget_mixing, op5_quality_cotraining, op6_pii_disclosure, op7_exact_topk, op8_line_dedup, op9_byte_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_minhash_neardup, op2_suffix_dedup, op3_quality_rules, op4_budget_mixing, op5_quality_cotraining, op6_pii_disclosure, op7_exact_topk, op8_line_dedup, op9_byte_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
