@@ -1,11 +1,14 @@
-"""Registered queries of the reference's own operators, with their SQL."""
+"""All registered queries of the reference's own operators, with their SQL."""
 
 from __future__ import annotations
 
+from tessera.plans import q_text  # noqa: F401
+from tessera.plans.registry import ORACLES, QUERIES
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
