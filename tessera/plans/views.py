@@ -38,7 +38,7 @@ VIEWS = {
         SELECT doc_id, substr(text, 1, 160) AS label,
                CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, 160) WHEN doc_id % 5 = 1 THEN upper(substr(text, 1, 160)) || '  '
                     WHEN doc_id % 5 = 2 THEN substr(text, 1, 80) WHEN doc_id % 5 = 3 THEN substr(text, 20, 160) ELSE '' END AS pred
-        FROM {documents}""",
+        FROM {documents} WHERE lang = 'en'""",
     "v_opts": """
         SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_name END AS question,
                CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END AS hint,
