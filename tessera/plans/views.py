@@ -62,7 +62,7 @@ VIEWS = {
         FROM {customer}""",
     "v_history": """
         SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS BIGINT) AS epoch, val_loss
-        FROM (SELECT user_id, CAST(ts AS DATE) AS day, round(avg(value), 2) AS val_loss FROM {events} GROUP BY user_id, CAST(ts AS DATE)) h""",
+        FROM (SELECT user_id, CAST(ts AS DATE) AS day, floor(CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS DOUBLE) / count(*)) AS val_loss FROM {events} GROUP BY user_id, CAST(ts AS DATE)) h""",
     "v_rewards": "SELECT event_id AS id, user_id AS prompt, event_type AS kind, round(value, 3) AS r FROM {events}",
     "v_tokens": """
         SELECT doc_id, text, substr(text, 1, 24) AS head FROM {documents} WHERE doc_id % 2 = 0""",
