@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+import re
+
+
+def struct(fields: str) -> str:
+    """A field list "a string, b array<...>" as a struct type."""
+    parts = re.findall(r"(\w+) ((?:[^,<>]|<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>)+)(?:, |$)", fields)
+    return "struct<" + ",".join(f"{name}:{kind}" for name, kind in parts) + ">"
+
 
 TURN = "struct<question:string,answer:string>"
 IMAGE = "struct<buffer:string,image_id:string>"
@@ -13,14 +20,13 @@ RAW_SAMPLE = f"dialogue array<{TURN}>, image_buffer_list array<{IMAGE}>, image_i
 FLAT_SAMPLE = "question string, answer string, image string"
 CLUSTER_FILE = f"metadata struct<total_samples:bigint,n_clusters:bigint,algorithm:string>, clusters array<struct<cluster_id:bigint,size:bigint,percentage:double,samples:array<struct<sample_id:bigint,cluster_id:bigint,data:struct<dialogue:array<{TURN}>,image_buffer_list:array<{IMAGE}>,image_id_list:array<string>,task_type:string,source:string>>>>>"
 DATA_SAMPLE = f"sample_id string, image_base64 array<string>, dialogue array<{TURN}>, metadata struct<cluster_id:bigint,source:string,task_type:string,image_id_list:array<string>>"
-CLUSTER_SAMPLES = f"cluster_id bigint, cluster_size bigint, sample_size bigint, sampling_strategy string, samples array<struct<{DATA_SAMPLE.replace(' ', ':', 1).replace(', image_base64 ', ',image_base64:').replace(', dialogue ', ',dialogue:').replace(', metadata ', ',metadata:')}>>"
+CLUSTER_SAMPLES = f"cluster_id bigint, cluster_size bigint, sample_size bigint, sampling_strategy string, samples array<{struct(DATA_SAMPLE)}>"
 EVALUATION = (
     "model_name string, model_capability string, sample_id string, correctness_score double, correctness_confidence double, correctness_rationale string, "
     "training_quality_score double, training_quality_confidence double, training_quality_rationale string, "
     f"recommended_metrics array<{METRIC}>, overall_assessment string, timestamp string, information_recap string"
 )
-_EVALUATION_STRUCT = T.StructType.fromDDL(EVALUATION)
-EVALUATION_TRIPLE = T.StructType([T.StructField("sample_id", T.StringType()), *[T.StructField(c, _EVALUATION_STRUCT) for c in ("weak", "normal", "sota")]])
+EVALUATION_TRIPLE = "sample_id string, " + ", ".join(f"{c} {struct(EVALUATION)}" for c in ("weak", "normal", "sota"))
 SAMPLE_METRICS = f"sample_id string, merged_metrics array<{MERGED_METRIC}>, difficulty_score double, confidence_score double, correctness_std double, training_std double"
 AGENT_CATALOG = "agents array<struct<name:string,specialty:array<string>,suggested_models:array<string>,prompt_scaffold:string,prompt:string>>"
 TASK = "sample_id string, agent string, prompt string"

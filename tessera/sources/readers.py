@@ -19,16 +19,19 @@ def jsonl(spark: SparkSession, path: str, schema, strict: bool = True) -> DataFr
     """JSON lines; blank lines are skipped. A bad line raises, or is dropped if not ``strict``."""
     if strict:
         return spark.read.schema(_schema(schema)).option("mode", "FAILFAST").json(path)
+    return parsed_lines(spark.read.text(path), schema).where(F.col("r._bad").isNull()).select("r.*").drop("_bad")
+
+
+def parsed_lines(lines: DataFrame, schema) -> DataFrame:
+    """(value, r) of the lines that aren't blank: r holds the record, and in _bad a line that isn't one."""
     marked = T.StructType([*_schema(schema).fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(marked).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where(F.col("_bad").isNull()).drop("_bad")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    return lines.where(F.trim("value") != "").select("value", F.from_json("value", marked, options).alias("r"))
 
 
 def rejected(spark: SparkSession, path: str, schema) -> DataFrame:
     """The lines that ``jsonl`` drops when it isn't strict."""
-    text = spark.read.text(path).where(F.trim("value") != "")
-    parsed = F.from_json("value", T.StructType([*_schema(schema).fields, T.StructField("_bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return text.where(parsed["_bad"].isNotNull())
+    return parsed_lines(spark.read.text(path), schema).where(F.col("r._bad").isNotNull()).select("value")
 
 
 def json(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -124,7 +127,7 @@ def cluster_samples(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def evaluation_triples(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    read = spark.read.schema(schemas.EVALUATION_TRIPLE)
+    read = spark.read.schema(_schema(schemas.EVALUATION_TRIPLE))
     return read.option("mode", "FAILFAST").json(path) if lines else read.option("multiLine", True).json(path)
 
 

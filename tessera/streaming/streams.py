@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.evaluation import answer_score
+from tessera.sources.readers import parsed_lines
 
 
 def jsonl_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1, skip_errors: bool = True) -> DataFrame:
@@ -21,9 +22,8 @@ def jsonl_stream(spark: SparkSession, path: str, schema, files_per_batch: int =
     wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     if not skip_errors:
         return spark.readStream.schema(wanted).option("mode", "FAILFAST").option("maxFilesPerTrigger", files_per_batch).json(path)
-    marked = T.StructType([*wanted.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.readStream.schema(marked).option("columnNameOfCorruptRecord", "_bad").option("maxFilesPerTrigger", files_per_batch).json(path)
-    return rows.where(F.col("_bad").isNull()).drop("_bad")
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
+    return parsed_lines(lines, wanted).where(F.col("r._bad").isNull()).select("r.*").drop("_bad")
 
 
 def parquet_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
