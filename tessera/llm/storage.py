@@ -37,3 +37,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/tessera/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold at most 2048 rows and 16 MB, where the session has Spark's own limits.
+
+    Whole texts pass through Python in batches; this bounds what a worker and
+    its JVM hold of them at once.
+    """
+    for key, default, value in (("maxRecordsPerBatch", "10000", "2048"), ("maxBytesPerBatch", "67108864", "16777216")):
+        name = f"spark.sql.execution.arrow.{key}"
+        if str(spark.conf.get(name, default)).rstrip("b") == default:
+            spark.conf.set(name, value)
