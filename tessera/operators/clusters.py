@@ -205,3 +205,40 @@ def agglomerative(df: DataFrame, group: str, key: str, k: int | None = None, hei
 
     points = df.select(F.col(group).cast("string").alias("grp"), F.col(key).cast("long").alias("key"), F.col(vector).alias("vec"))
     return points.groupBy("grp").applyInPandas(f, "grp string, key long, label int")
+
+
+def search_dbscan(df: DataFrame, key: str, vector: str = "embedding", eps_steps: int = 10, samples: tuple[int, ...] = (2, 3, 4, 5, 6, 8, 10, 15), most_noise: float = 0.7) -> tuple[tuple[float, int] | None, list[tuple[float, int, float]]]:
+    """The best (eps, min_samples) of a grid, and all scores.
+
+    eps runs over the range of the k-distances. Settings with one cluster or
+    too much noise are left out; the score weighs silhouette, number of
+    clusters and noise. The grid is a driver loop over distributed clusterings.
+    """
+    points = df.select(key, vector).checkpoint()
+    low, high = eps_range(k_distance(points, key, vector=vector)).first()
+    total, scores = points.count(), []
+    for step in range(eps_steps):
+        eps = low + (high - low) * step / max(1, eps_steps - 1)
+        for least in samples:
+            labelled = points.join(dbscan(points, key, eps, least, vector), F.col(key) == F.col("key")).drop("key").checkpoint()
+            kept = without_noise(labelled)
+            n, c = kept.count(), kept.select("label").distinct().count()
+            noise = 1 - n / total
+            if c < 2 or noise > most_noise:
+                continue
+            s = silhouette(kept, key, vector).first()[0]
+            wide = min(c / 20, 1.0)
+            scores.append((eps, least, 0.4 * s + 0.2 * wide - 0.4 * noise if noise > 0.3 else 0.6 * s + 0.3 * wide - 0.1 * noise))
+    best = max(scores, key=lambda x: x[2], default=None)
+    return (best[:2] if best else None), scores
+
+
+def cluster_pipeline(features: DataFrame, key: str, fit, vector: str = "embedding") -> tuple[DataFrame, dict]:
+    """Cluster checkpointed features with ``fit(df)`` and measure the result: (labelled rows, measures)."""
+    held = features.select(key, vector).checkpoint()
+    labels = fit(held)
+    labelled = held.join(labels.withColumnRenamed(labels.columns[0], "_k"), F.col(key) == F.col("_k")).drop("_k").checkpoint()
+    report = {"total": labelled.count(), "clusters": labelled.select("label").distinct().count()}
+    if report["clusters"] > 1:
+        report |= {"silhouette": silhouette(labelled, key, vector).first()[0], "calinski_harabasz": calinski_harabasz(labelled, vector).first()[0], "davies_bouldin": davies_bouldin(labelled, vector).first()[0]}
+    return labelled, report

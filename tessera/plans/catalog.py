@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import q_agents, q_eval, q_text  # noqa: F401
+from tessera.plans import q_agents, q_eval, q_samples, q_text  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 
