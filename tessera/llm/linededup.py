@@ -64,7 +64,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     all its lines; this is the compression. ``version`` is the text's hash.
     """
     rows = written(line_rows(docs, id_col, text_col, min_chars), "lines")
-    frequent = frequent_lines(rows, min_docs).withColumnRenamed("h1", "k1").withColumnRenamed("h2", "k2")
+    # A written table joins from a plain exchange, so that Spark splits a hot key's rows or, if it is small, broadcasts it.
+    frequent = written(frequent_lines(rows, min_docs), "frequent").withColumnRenamed("h1", "k1").withColumnRenamed("h2", "k2")
     lost = rows.join(frequent, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
     if keep_first:
         lost = lost.where(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("version") == F.col("first.version")) & (F.col("pos") == F.col("first.pos"))))

@@ -1,6 +1,6 @@
 """Exact duplicate passages by threshold-bounded interval expansion on a Burrows-Wheeler transform.
 
-Every 100-byte string of the corpus has an anchor, the least hashed 20-byte
+Every 100-byte string of the corpus has an anchor, the least hashed 32-byte
 gram in it; equal strings have equal anchors. Consecutive strings with one
 anchor form a piece of text. Pieces whose anchor occurs once cannot hold a
 repeated string. The others meet by anchor, where identical pieces are first
@@ -32,7 +32,7 @@ from tessera.llm import textbatch as tb
 from tessera.llm.linededup import text_hash
 from tessera.llm.storage import written
 
-GRAM = 20
+GRAM = 32
 _LOW = np.uint64(0xFFFFFFFF)
 _BWT_SYMBOLS = 1_500_000
 
@@ -178,6 +178,8 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
             # The first place stands for the batch; all places of a repeated anchor are known to repeat.
             for mask, here in ((first & ~again, False), (again, True)):
                 at = np.flatnonzero(mask)
+                if here:  # a document once for each of its repeated anchors; h is sorted, and rows within h
+                    at = at[np.append(True, (h[at][1:] != h[at][:-1]) | (row[at][1:] != row[at][:-1]))[: len(at)]]
                 at = at[np.argsort(row[at], kind="stable")]
                 yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(refs[row[at]]), pa.array(np.full(len(at), here))], ["h", "ref", "here"])
 
@@ -186,7 +188,7 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
     """(ref, h): anchors that occur twice or more, with the documents that hold them."""
-    here = rows.where("here").select("ref", "h").distinct()
+    here = rows.where("here").select("ref", "h")
     known = here.select("h").distinct().select(F.col("h"), F.lit(None).cast("long").alias("ref"))
     single = rows.where("not here").select("h", "ref").unionByName(known)
     # One row for each batch at most, so no anchor is hot here.
@@ -211,7 +213,7 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_h).astype(np.int64)), pa.concat_arrays(out_ref)], ["h", "ref"])
             held_h, held_ref, open_run = int(h[-1]), ref[len(h) - 1].as_py(), bool(same[-2])
 
-    return sorted_rows.mapInArrow(run, "h long, ref long").where(F.col("ref").isNotNull()).select("ref", "h").unionByName(here).distinct()
+    return sorted_rows.mapInArrow(run, "h long, ref long").where(F.col("ref").isNotNull()).select("ref", "h").unionByName(here)
 
 
 _PIECE = [("h", pa.int64()), ("doc", None), ("version", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("content", pa.binary())]
@@ -312,6 +314,11 @@ def removals(pieces: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             doc_type = batch.schema.field("doc").type
+            h = batch.column("h").to_numpy()
+            if len(h) > 1:  # an anchor with one piece left, all of it in this batch, needs no work
+                same = h[1:] == h[:-1]
+                busy = np.append(same, True) | np.append(True, same)
+                batch = batch.filter(pa.array(busy))
             for row in zip(*(batch.column(c).to_pylist() for c, _ in _PIECE), strict=True):
                 if row[0] != at:
                     close()

@@ -166,7 +166,6 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id"
     n_parts = max(1, -(-n // part_rows))
     ranged = vectors.repartitionByRange(n_parts, "id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
     candidates = written(ranged.mapInArrow(_packer(0, BLOCK, None), _PACKED), "blocks")
-    parts = candidates.select("part").distinct()
     # A bounded set of seed vectors, the same for all queries, gives each a first k-th score.
     seed = candidates.orderBy("part", F.xxhash64("ids")).limit(2).select("n", "d", "ids", "data").collect()
     seeds = [(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["data"]).reshape(r["n"], r["d"])) for r in seed]
@@ -184,7 +183,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id"
     asked = vectors.where(is_query_on(is_query)).dropDuplicates(["id", "data"]).withColumn("part", F.lit(0))
     chunks = asked.repartition("id").mapInArrow(_packer(1, CHUNK, floors), _PACKED)
     # Every chunk meets every part: a stated query set against all rows, in blocks.
-    spread = chunks.drop("part").withColumn("one", F.lit(1)).join(F.broadcast(parts.agg(F.collect_list("part").alias("parts")).withColumn("one", F.lit(1))), "one").select(F.explode("parts").alias("part"), "kind", "n", "d", "ids", "data", "floors")
+    spread = chunks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
     together = candidates.unionByName(spread).repartition(n_parts, "part").sortWithinPartitions("part", "kind")
 
     def run(batches):
@@ -198,6 +197,8 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id"
                     ids.append(i)
                     xs.append(x)
                     continue
+                if not xs:
+                    continue
                 if ready is None:
                     d = max(v.shape[1] for v in xs)
                     ready = Part(np.concatenate(ids), np.concatenate([_pad(v, d) for v in xs]))

@@ -1,8 +1,10 @@
 """Toxicity from bags of subword vectors.
 
-A document is the mean of the vectors of all its character n-grams (3 to 6
-UTF-8 bytes within a word, word limits included, ASCII lower-cased, hashed to
-buckets); a linear softmax over that mean gives the score. Vectors and softmax
+A document is the mean of the vectors of the character n-grams of its different
+words (3 to 6 UTF-8 bytes within a word, word limits included, ASCII
+lower-cased, hashed to buckets; a repeated word counts once, and ``SMOOTH``
+n-grams without a vector are added, so that a text of few words stays near the
+base rate); a linear softmax over that mean gives the score. Vectors and softmax
 are trained jointly, in numpy, on a bounded sample of labelled rows. A
 misspelt word that was never seen still shares most of its n-grams with the
 word it was made from. For scoring, vector and softmax fold into one number
@@ -27,6 +29,7 @@ from tessera.llm import textbatch as tb
 
 BUCKET_BITS = 16
 SIZES = (3, 4, 5, 6)
+SMOOTH = 600
 _SPACE = np.uint8(32)
 _FOLD = np.full(256, 32, dtype=np.uint8)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
@@ -59,6 +62,17 @@ def gram_buckets(data: np.ndarray, limits: np.ndarray):
     row_of[ends] = np.arange(n)
     row_of[limits[:-1] + np.arange(n)] = np.arange(n)
     space = text == _SPACE
+    words = ~space
+    words[1:] &= space[:-1]
+    starts = np.flatnonzero(words)
+    if not len(starts):
+        return
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    h = tb.mix64(tb.span_hashes(tb.prefix_hashes(text), starts, ends) ^ tb.mix64(row_of[starts].astype(np.uint64)))
+    fresh = np.zeros(len(starts), dtype=bool)
+    fresh[np.unique(h, return_index=True)[1]] = True
+    kept = np.zeros(len(text), dtype=bool)  # places in the first occurrence of a word in its row
+    kept[:-1] = np.repeat(np.append(False, fresh), np.diff(np.concatenate([[0], starts, [len(text) - 1]])))
     wide = text.astype(np.uint32)
     for size in SIZES:
         m = len(text) - size + 1
@@ -71,7 +85,7 @@ def gram_buckets(data: np.ndarray, limits: np.ndarray):
             h *= np.uint32(16777619)
             if 0 < k < size - 1:
                 inner |= space[k : k + m]
-        at = np.flatnonzero(~inner & ~(space[:m] & space[size - 1 : size - 1 + m]))
+        at = np.flatnonzero(kept[1 : m + 1] & ~inner & ~(space[:m] & space[size - 1 : size - 1 + m]))
         h = h[at]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
@@ -79,7 +93,7 @@ def gram_buckets(data: np.ndarray, limits: np.ndarray):
 
 
 def bags(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Buckets and their shares in each text; the shares add up to 1."""
+    """Buckets and their shares in each text, the added n-grams among the whole."""
     data, limits = tb.string_buffers(column)
     out = []
     for low, high in tb.row_chunks(limits, 1_000_000):
@@ -89,7 +103,7 @@ def bags(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         row, bucket = key >> BUCKET_BITS, (key & ((1 << BUCKET_BITS) - 1)).astype(np.int32)
         cut = np.searchsorted(row, np.arange(high - low + 1))
         for a, b in zip(cut[:-1], cut[1:], strict=True):
-            out.append((bucket[a:b], (count[a:b] / max(1, count[a:b].sum())).astype(np.float32)))
+            out.append((bucket[a:b], (count[a:b] / (count[a:b].sum() + SMOOTH)).astype(np.float32)))
     return out
 
 
@@ -101,11 +115,11 @@ def text_logits(column: pa.Array, model: Model) -> np.ndarray:
         for _, bucket, row in gram_buckets(data[limits[low] : limits[high]], limits[low : high + 1] - limits[low]):
             total += np.bincount(row, weights=model.table[bucket], minlength=high - low)
             count += np.bincount(row, minlength=high - low)
-        out[low:high] += total / np.maximum(count, 1)
+        out[low:high] += total / (count + SMOOTH)
     return out
 
 
-def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, dim: int = 8, epochs: int = 16, batch: int = 128, rate: float = 0.3, scale: float = 100.0, decay: float = 1e-6, seed: int = 5) -> Model:
+def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, dim: int = 8, steps: int = 500, batch: int = 128, rate: float = 0.5, scale: float = 200.0, decay: float = 1e-6, seed: int = 5) -> Model:
     """Joint training of n-gram vectors and a two-class softmax by Adagrad.
 
     ``prior`` is the share of class 1 among all labelled rows; classes are
@@ -116,19 +130,24 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, pri
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(1 << BUCKET_BITS, np.float32), base)
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.1, (1 << BUCKET_BITS, dim)).astype(np.float32)
+    vectors = rng.normal(0, 0.02, (1 << BUCKET_BITS, dim)).astype(np.float32)
     soft = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     grown = [np.full(x.shape, 1e-3, np.float32) for x in (vectors, soft, bias)]
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
-    dense = np.zeros((batch, 1 << BUCKET_BITS), np.float32)
-    for _ in range(epochs):
+    used = np.unique(np.concatenate([b for b, _ in features])) if features else np.zeros(0, np.int32)
+    columns, everything = [np.searchsorted(used, b) for b, _ in features], vectors
+    vectors, grown[0] = vectors[used], grown[0][used]
+    dense = np.zeros((batch, len(used)), np.float32)
+    done = 0
+    while done < steps:
         order = rng.permutation(len(labels))
         for start in range(0, len(order), batch):
+            done += 1
             part = order[start : start + batch]
             dense.fill(0)
             for row, k in enumerate(part):
-                dense[row, features[k][0]] = features[k][1]
+                dense[row, columns[k]] = features[k][1]
             x = dense[: len(part)]
             hidden = (x @ vectors) * scale
             logits = hidden @ soft + bias
@@ -140,7 +159,9 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, pri
             for at, g, step in zip((vectors, soft, bias), grown, (step_vectors, step_soft, step_bias), strict=True):
                 g += step**2
                 at -= rate * step / np.sqrt(g)
-    table = (vectors @ (soft[:, 1] - soft[:, 0]) * scale).astype(np.float32)
+    everything[:] = 0  # an n-gram that training never met says nothing
+    everything[used] = vectors
+    table = (everything @ (soft[:, 1] - soft[:, 0]) * scale).astype(np.float32)
     return Model(table, base)
 
 
@@ -149,7 +170,7 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", each_class: int = 2000, id_col: str = "doc_id", text_col: str = "text", seed: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", each_class: int = 3000, id_col: str = "doc_id", text_col: str = "text", seed: int = 5) -> Model:
     """Train on at most ``each_class`` labelled rows of each class, chosen by a seeded hash.
 
     This bound is the only limit; labels of held-out rows are never read.
