@@ -27,16 +27,42 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, label: str) -> str:
+    """Write ``df`` as Parquet under the shared folder; gives the path.
+
+    The write's own shuffle files go when it is done, where this Spark can do
+    so: what follows reads the table.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/tessera/{label}-{uuid.uuid4().hex}"
+    known = spark.conf.isModifiable(_CLEANUP)
+    before = spark.conf.get(_CLEANUP) if known else None
+    try:
+        if known:
+            spark.conf.set(_CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        if known:
+            spark.conf.set(_CLEANUP, before)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
     This cuts lineage: a lost executor costs a re-read of a file, never a
     recomputation, and range partitioning may sample the result cheaply.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tessera/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, label))
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing will read again."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textbatch as tb
 from tessera.llm.linededup import text_hash
-from tessera.llm.storage import written
+from tessera.llm.storage import remove_table, write_table, written
 
 GRAM = 32
 _LOW = np.uint64(0xFFFFFFFF)
@@ -365,7 +365,9 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
     """
     doc, version = F.col(id_col), text_hash(F.col(text_col))
     table = docs.select(doc.alias("doc"), version.alias("version"), F.xxhash64(doc, version).alias("ref"), F.coalesce(text_col, F.lit("")).alias("text"))
-    wanted = repeated_anchors(written(anchor_rows(table, length), "anchors"))
+    anchors = write_table(anchor_rows(table, length), "anchors")
+    wanted = written(repeated_anchors(docs.sparkSession.read.schema("h long, ref long, here boolean").parquet(anchors)), "repeated")
+    remove_table(docs.sparkSession, anchors)
     gone = removals(pieces_of(table, wanted, length), length)
     lists = gone.groupBy(F.xxhash64("doc", "version").alias("r")).agg(F.collect_list(F.struct("doc", "version", "start", "n")).alias("gone"))
     joined = table.join(lists, F.col("ref") == F.col("r"), "left").select("doc", "version", "text", "gone")
