@@ -247,6 +247,11 @@ def test_pii_base_equals_brute_force(spark, sf):
     assert all(pii.base_spans(x) == brute_pii(x) for x in docs)
 
 
+def test_pii_long_runs_are_linear():
+    for x in ("a" * 300_000 + "@", "1" * 300_000 + ".1", "+1" + " " * 300_000, "x@" + "a." * 100_000 + " @", "1." * 100_000):
+        assert len(pii.base_spans(x)) in (0, 1, 25_000)
+
+
 def test_pii_disclosing_terms(spark):
     rows = [(k, f"call zanzibarius{k % 2} about item {k} at bob@x.org thanks{k} and more words {k * 7}") for k in range(8)]
     rows += [(100 + k, f"call about item {k} and more words thanks") for k in range(40)] + [(200, None), (201, ""), (1, rows[1][1])]
