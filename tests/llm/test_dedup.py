@@ -210,6 +210,23 @@ def test_components_equal_union_find(spark, seed):
             assert (root(a) == root(b)) == (got[a] == got[b])
 
 
+def test_common_shingles_are_exact(spark):
+    texts = []
+    for k in range(640):
+        own = words(7, 1000 + k)
+        texts.append(" ".join((["all", "of", "these", "are", "shared"] if k % 58 == 0 else []) + own))
+    texts[5] += " all of these are shared all of these are shared"
+    idf, n = minhash.common_shingles(spark.createDataFrame(rows_of(texts), DOCS).repartition(64), 5, "text")
+    df = {}
+    for x in texts:
+        w = x.split()
+        for g in {tuple(w[k : k + 5]) for k in range(len(w) - 4)}:
+            df[g] = df.get(g, 0) + 1
+    want = sorted(v for v in df.values() if v * minhash.COMMON >= 640)
+    assert n == 640 and len(idf.hashes) == len(want) == 1
+    assert np.allclose(idf.factors, 1 - minhash.SPAN * np.log(want[0] * minhash.COMMON / 640) / np.log(minhash.COMMON))
+
+
 def test_weighted_jaccard_exact():
     idf = minhash.Idf(np.zeros(0, np.uint64), np.zeros(0), 1)
     a, b = "a b c d e f g", "a b c d e f x"
