@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays as a
 from tessera.operators.features import mean_pool
+from tessera.workdir import checkpointed
 from tessera.operators.graph import block_pairs, connected_components, distances, matrix
 
 
@@ -129,8 +130,8 @@ def dbscan(df: DataFrame, key: str, eps: float, min_samples: int, vector: str =
         return pd.DataFrame({"a": left["key"].to_numpy()[i], "b": right["key"].to_numpy()[j]})
 
     points = df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vec"))
-    near = block_pairs(points, "key", "vec", [], f, "a long, b long").checkpoint()
-    core = near.groupBy(F.col("a").alias("core")).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("core").checkpoint()
+    near = checkpointed(block_pairs(points, "key", "vec", [], f, "a long, b long"))
+    core = checkpointed(near.groupBy(F.col("a").alias("core")).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("core"))
     to_core = near.join(core.withColumnRenamed("core", "b"), "b", "left_semi")
     labels = connected_components(to_core.join(core.withColumnRenamed("core", "a"), "a", "left_semi"))
     reached = to_core.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
@@ -140,10 +141,10 @@ def dbscan(df: DataFrame, key: str, eps: float, min_samples: int, vector: str =
 
 def choose_k(df: DataFrame, key: str, low: int, high: int, vector: str = "embedding", seed: int = 42, most: int = 10_000) -> tuple[int, list[tuple[int, float]]]:
     """The k of the best 0.7 silhouette + 0.3 CH / 10000 over a seeded sample; the first among equals."""
-    sample = df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(most).select(key, vector).checkpoint()
+    sample = checkpointed(df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(most).select(key, vector))
     n, scores = sample.count(), []
     for k in range(low, min(high, n // 2) + 1):
-        labelled = sample.join(kmeans(sample, k, key, vector, seed), key).checkpoint()
+        labelled = checkpointed(sample.join(kmeans(sample, k, key, vector, seed), key))
         if labelled.select("label").distinct().count() > 1:
             s, ch = silhouette(labelled, key, vector).first()[0], calinski_harabasz(labelled, vector).first()[0]
             scores.append((k, 0.7 * s + 0.3 * ch / 10_000))
@@ -214,13 +215,13 @@ def search_dbscan(df: DataFrame, key: str, vector: str = "embedding", eps_steps:
     too much noise are left out; the score weighs silhouette, number of
     clusters and noise. The grid is a driver loop over distributed clusterings.
     """
-    points = df.select(key, vector).checkpoint()
+    points = checkpointed(df.select(key, vector))
     low, high = eps_range(k_distance(points, key, vector=vector)).first()
     total, scores = points.count(), []
     for step in range(eps_steps):
         eps = low + (high - low) * step / max(1, eps_steps - 1)
         for least in samples:
-            labelled = points.join(dbscan(points, key, eps, least, vector), F.col(key) == F.col("key")).drop("key").checkpoint()
+            labelled = checkpointed(points.join(dbscan(points, key, eps, least, vector), F.col(key) == F.col("key")).drop("key"))
             kept = without_noise(labelled)
             n, c = kept.count(), kept.select("label").distinct().count()
             noise = 1 - n / total
@@ -235,9 +236,9 @@ def search_dbscan(df: DataFrame, key: str, vector: str = "embedding", eps_steps:
 
 def cluster_pipeline(features: DataFrame, key: str, fit, vector: str = "embedding") -> tuple[DataFrame, dict]:
     """Cluster checkpointed features with ``fit(df)`` and measure the result: (labelled rows, measures)."""
-    held = features.select(key, vector).checkpoint()
+    held = checkpointed(features.select(key, vector))
     labels = fit(held)
-    labelled = held.join(labels.withColumnRenamed(labels.columns[0], "_k"), F.col(key) == F.col("_k")).drop("_k").checkpoint()
+    labelled = checkpointed(held.join(labels.withColumnRenamed(labels.columns[0], "_k"), F.col(key) == F.col("_k")).drop("_k"))
     report = {"total": labelled.count(), "clusters": labelled.select("label").distinct().count()}
     if report["clusters"] > 1:
         report |= {"silhouette": silhouette(labelled, key, vector).first()[0], "calinski_harabasz": calinski_harabasz(labelled, vector).first()[0], "davies_bouldin": davies_bouldin(labelled, vector).first()[0]}

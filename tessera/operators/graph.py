@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.workdir import checkpointed
+
 
 def block_pairs(points: DataFrame, key: str, vector: str, extra: list[str], f: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, rows: int = 1024) -> DataFrame:
     """f(left block, right block) over all ordered pairs of blocks of about ``rows`` points.
@@ -38,20 +40,19 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) of the edges (a, b): least node of each component.
 
     Each round takes the least label of the neighbours, then that label's own
     label, and is checkpointed in the context's checkpoint folder.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")).checkpoint()
-    for _ in range(rounds):
+    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("beyond"))
-        found = lower.join(jump, "low").select("node", "old", F.least("low", "beyond").alias("label")).checkpoint()
+        found = checkpointed(lower.join(jump, "low").select("node", "old", F.least("low", "beyond").alias("label")))
         labels = found.select("node", "label")
         if found.where("label <> old").isEmpty():
-            break
-    return labels
+            return labels

@@ -13,6 +13,7 @@ from tessera.plans.q_eval import r6
 from tessera.plans.registry import query
 from tessera.sources import readers, writers
 from tessera.streaming import streams
+from tessera.workdir import shared_dir
 
 # The two agents of v_completions: agent<id % 4> and agent<id % 3>.
 PICKED = "CASE WHEN id % 7 = 0 THEN [] ELSE list_distinct(['agent' || (id % 4), 'agent' || (id % 3)]) END"
@@ -334,9 +335,7 @@ def metric_flatten(i):
 
 
 def _folder(i) -> str:
-    sc = i.spark.sparkContext
-    base = i.spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or i.spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/tessera-io/{uuid.uuid4().hex}"
+    return f"{shared_dir(i.spark).rstrip('/')}/tessera-io/{uuid.uuid4().hex}"
 
 
 CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
