@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,63 +51,90 @@ def f1(df: DataFrame, average: str = "macro", pred: str = "pred", label: str = "
     return classes.agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("f1"))
 
 
-def _known_share(grams: Column, known: Column) -> Column:
-    return F.coalesce(F.try_divide(F.size(F.filter(grams, lambda g: F.array_contains(known, g))), F.size(grams)), F.lit(0.0))
+def with_ngrams(df: DataFrame, pred: str = "pred", label: str = "label", n: int = 4) -> DataFrame:
+    """Adds the n-grams of both texts as columns _p1.._pn and _r1.._rn.
+
+    As columns of their own they are made once for each row; inside a lambda
+    they would be made again for every element.
+    """
+    words = df.withColumns({"_p": t.words(F.col(pred)), "_r": t.words(F.col(label))})
+    return words.withColumns({f"_{side}{k}": a.ngrams(F.col(f"_{side}"), k) for side in "pr" for k in range(1, n + 1)})
 
 
-def bleu(pred: Column, label: Column, n: int = 4) -> Column:
-    """A row's BLEU: shares of predicted n-grams that occur in the label, geometric mean, brevity.
+def bleu(n: int = 4) -> Column:
+    """A row's BLEU over ``with_ngrams``: shares of predicted n-grams that occur in the label, geometric mean, brevity.
 
     0 if the prediction is empty or one of the shares is 0.
     """
-    p, r = t.words(pred), t.words(label)
-    shares = [_known_share(a.ngrams(p, k), a.ngrams(r, k)) for k in range(1, n + 1)]
-    log_mean = sum((F.ln(F.greatest(s, F.lit(1e-300))) for s in shares[1:]), F.ln(F.greatest(shares[0], F.lit(1e-300)))) / n
-    brevity = F.when(F.size(p) >= F.size(r), 1.0).otherwise(F.exp(1 - F.size(r) / F.greatest(F.size(p), F.lit(1))))
-    return F.when((F.size(p) == 0) | (F.least(*shares, F.lit(1.0)) == 0), 0.0).otherwise(brevity * F.exp(log_mean))
+    shares = [_known_share(k) for k in range(1, n + 1)]
+    logs = [F.ln(F.greatest(s, F.lit(1e-300))) for s in shares]
+    log_mean = sum(logs[1:], logs[0]) / n
+    brevity = F.when(F.size("_p") >= F.size("_r"), 1.0).otherwise(F.exp(1 - F.size("_r") / F.greatest(F.size("_p"), F.lit(1))))
+    return F.when((F.size("_p") == 0) | (F.least(*shares, F.lit(1.0)) == 0), 0.0).otherwise(brevity * F.exp(log_mean))
 
 
-def rouge_n(pred: Column, label: Column, n: int) -> Column:
-    """F1 of the sets of n-grams; 0 if either side has none."""
-    p, r = F.array_distinct(a.ngrams(t.words(pred), n)), F.array_distinct(a.ngrams(t.words(label), n))
-    return F.coalesce(F.try_divide(2.0 * F.size(F.array_intersect(p, r)), F.when((F.size(p) > 0) & (F.size(r) > 0), F.size(p) + F.size(r))), F.lit(0.0))
+def _known_share(k: int) -> Column:
+    return F.coalesce(F.try_divide(F.size(F.filter(f"_p{k}", lambda g: F.array_contains(f"_r{k}", g))), F.size(f"_p{k}")), F.lit(0.0))
 
 
-def common_subsequence(x: Column, y: Column) -> Column:
-    """Length of the longest common subsequence of two word arrays.
+def rouge_n(n: int) -> Column:
+    """F1 of the sets of n-grams over ``with_ngrams``; 0 if either side has none."""
+    p, r = F.array_distinct(f"_p{n}"), F.array_distinct(f"_r{n}")
+    return F.coalesce(F.try_divide(2.0 * F.size(F.array_intersect(f"_p{n}", f"_r{n}")), F.when((F.size(p) > 0) & (F.size(r) > 0), F.size(p) + F.size(r))), F.lit(0.0))
 
-    The table's rows are folded: the state is a row, rebuilt for every word of x.
-    """
-    first = F.transform(F.concat(F.array(F.lit("")), y), lambda _: F.lit(0))
 
-    def next_row(row, word):
-        grow = lambda acc, w_i: F.concat(acc, F.array(F.when(F.element_at(y, w_i) == word, F.element_at(row, w_i) + 1).otherwise(F.greatest(F.element_at(row, w_i + 1), F.element_at(acc, -1)))))
-        return F.aggregate(F.when(F.size(y) > 0, F.sequence(F.lit(1), F.greatest(F.size(y), F.lit(1)))).otherwise(F.array().cast("array<int>")), F.array(F.lit(0)), grow)
+@F.pandas_udf("int")
+def common_subsequence(x: pd.Series, y: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two word arrays, a row of the table as the bits of one number."""
+
+    def length(p, r) -> int:
+        places: dict[str, int] = {}
+        for k, w in enumerate(r):
+            places[w] = places.get(w, 0) | 1 << k
+        full = row = (1 << len(r)) - 1
+        for w in p:
+            hit = row & places.get(w, 0)
+            row = ((row + hit) | (row - hit)) & full
+        return len(r) - row.bit_count()
 
-    return F.element_at(F.aggregate(x, first, next_row), -1)
+    return pd.Series([length(p, r) for p, r in zip(x, y, strict=True)], dtype="int32")
 
 
-def rouge_l(pred: Column, label: Column) -> Column:
-    p, r = t.words(pred), t.words(label)
-    return F.coalesce(F.try_divide(2.0 * common_subsequence(p, r), F.when((F.size(p) > 0) & (F.size(r) > 0), F.size(p) + F.size(r))), F.lit(0.0))
+def rouge_l() -> Column:
+    """F1 of the longest common subsequence of words over ``with_ngrams``."""
+    return F.coalesce(F.try_divide(2.0 * common_subsequence("_p", "_r"), F.when((F.size("_p") > 0) & (F.size("_r") > 0), F.size("_p") + F.size("_r"))), F.lit(0.0))
 
 
-#: Name to aggregate over (pred, label) rows; names that are not here are left out.
+def _mean(x: Column) -> Column:
+    return F.coalesce(F.avg(x), F.lit(0.0))
+
+
+#: Name to aggregate over (pred, label) rows that have gone through ``with_ngrams``; other names are left out.
 METRICS = {
     "accuracy": accuracy,
     "exact_match": exact_match,
     "f1_micro": accuracy,
-    "bleu": lambda p, r: F.coalesce(F.avg(bleu(p, r)), F.lit(0.0)),
-    "rouge": lambda p, r: F.coalesce(F.avg(rouge_n(p, r, 1)), F.lit(0.0)),
-    "rouge_1": lambda p, r: F.coalesce(F.avg(rouge_n(p, r, 1)), F.lit(0.0)),
-    "rouge_2": lambda p, r: F.coalesce(F.avg(rouge_n(p, r, 2)), F.lit(0.0)),
-    "rouge_l": lambda p, r: F.coalesce(F.avg(rouge_l(p, r)), F.lit(0.0)),
+    "bleu": lambda p, r: _mean(F.col("_bleu")),
+    "rouge": lambda p, r: _mean(F.col("_rouge_1")),
+    "rouge_1": lambda p, r: _mean(F.col("_rouge_1")),
+    "rouge_2": lambda p, r: _mean(F.col("_rouge_2")),
+    "rouge_l": lambda p, r: _mean(F.col("_rouge_l")),
 }
+_ROW_SCORES = {"bleu": ("_bleu", bleu), "rouge": ("_rouge_1", lambda: rouge_n(1)), "rouge_1": ("_rouge_1", lambda: rouge_n(1)), "rouge_2": ("_rouge_2", lambda: rouge_n(2)), "rouge_l": ("_rouge_l", rouge_l)}
+
+
+def row_scores(df: DataFrame, names: list[str], pred: str = "pred", label: str = "label") -> DataFrame:
+    """Adds the scores of each row that the named metrics average, as _bleu, _rouge_1, _rouge_2, _rouge_l."""
+    wanted = dict(_ROW_SCORES[n] for n in names if n in _ROW_SCORES)
+    if not wanted:
+        return df
+    most = 4 if "_bleu" in wanted else 2
+    return with_ngrams(df, pred, label, most).withColumns({name: make() for name, make in wanted.items()})
 
 
 def compute(df: DataFrame, names: list[str], pred: str = "pred", label: str = "label") -> DataFrame:
     """One row with the known metrics among ``names``."""
-    return df.agg(*[METRICS[n](F.col(pred), F.col(label)).alias(n) for n in names if n in METRICS])
+    return row_scores(df, names, pred, label).agg(*[METRICS[n](F.col(pred), F.col(label)).alias(n) for n in names if n in METRICS])
 
 
 def flat_token_accuracy(df: DataFrame, pred: str, label: str) -> DataFrame:

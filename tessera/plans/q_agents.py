@@ -71,52 +71,53 @@ def reward_means(i):
     return r6(rewards.reward_means(i.view("v_rewards"), "kind", "r"), "mean")
 
 
-IDS = "list_transform(range(1, length(head) + 1), lambda k: ascii(substr(head, k, 1)))"
+# Token ids: the code of each word's first character, over whole texts.
+IDS = "list_transform(string_split(text, ' '), lambda w: ascii(w)::BIGINT)"
+ALL = f"WITH x AS (SELECT doc_id, {IDS} AS ids FROM documents)"
 
 
 def _tokens(i):
-    v = i.view("v_tokens").where(F.length("head") > 0)
-    return v.select("doc_id", F.transform(F.sequence(F.lit(1), F.length("head")), lambda k: F.ascii(F.substr(F.col("head"), k, F.lit(1))).cast("long")).alias("ids"))
+    return i.table("documents").select("doc_id", F.transform(F.split("text", " ", -1), lambda w: F.ascii(w).cast("long")).alias("ids"))
 
 
 def _joined(df, *names):
     return df.select("doc_id", *[F.array_join(F.transform(n, lambda x: x.cast("string")), ",").alias(n) for n in names])
 
 
-@query(f"WITH x AS (SELECT doc_id, {IDS} AS ids FROM ({{v_tokens}}) t WHERE length(head) > 0) SELECT doc_id, array_to_string(list_transform(ids, lambda x: CASE WHEN x = 32 THEN -100 ELSE x END), ',') AS labels, array_to_string(list_transform(ids, lambda x: CASE WHEN x = 32 THEN 0 ELSE 1 END), ',') AS mask FROM x")
+@query(f"{ALL} SELECT doc_id, array_to_string(list_transform(ids, lambda x: CASE WHEN x = 116 THEN -100 ELSE x END), ',') AS labels, array_to_string(list_transform(ids, lambda x: CASE WHEN x = 116 THEN 0 ELSE 1 END), ',') AS mask FROM x")
 def label_mask(i):
-    return _joined(_tokens(i).select("doc_id", a.label_ids(F.col("ids"), 32).alias("labels"), a.mask_padding(F.col("ids"), 32).alias("mask")), "labels", "mask")
+    return _joined(_tokens(i).select("doc_id", a.label_ids(F.col("ids"), 116).alias("labels"), a.mask_padding(F.col("ids"), 116).alias("mask")), "labels", "mask")
 
 
-@query(f"WITH x AS (SELECT doc_id, {IDS} AS ids FROM ({{v_tokens}}) t WHERE length(head) > 0) SELECT doc_id, array_to_string(list_transform(ids, lambda x: CASE WHEN x >= 110 THEN 109 ELSE x END), ',') AS clamped, array_to_string(list_transform(ids, lambda x: CASE WHEN x >= 110 THEN 3 ELSE x END), ',') AS replaced, len(list_filter(ids, lambda x: x >= 110)) AS bad FROM x")
+@query(f"{ALL} SELECT doc_id, array_to_string(list_transform(ids, lambda x: CASE WHEN x >= 110 THEN 109 ELSE x END), ',') AS clamped, array_to_string(list_transform(ids, lambda x: CASE WHEN x >= 110 THEN 3 ELSE x END), ',') AS replaced, len(list_filter(ids, lambda x: x >= 110)) AS bad FROM x")
 def vocab_repair(i):
     v = _tokens(i)
     fixed = v.select("doc_id", a.repair_ids(F.col("ids"), 110).alias("clamped"), a.repair_ids(F.col("ids"), 110, 3).alias("replaced"), a.invalid_ids(F.col("ids"), 110).cast("long").alias("bad"))
     return fixed.select("doc_id", *[F.array_join(F.transform(n, lambda x: x.cast("string")), ",").alias(n) for n in ("clamped", "replaced")], "bad")
 
 
-@query(f"WITH x AS (SELECT doc_id, {IDS} AS ids FROM ({{v_tokens}}) t WHERE length(head) > 0) SELECT round(sum(len(list_filter(ids, lambda x: x >= 110))) / sum(len(ids)), 6) AS ratio FROM x")
+@query(f"{ALL} SELECT round(sum(len(list_filter(ids, lambda x: x >= 110))) / sum(len(ids)), 6) AS ratio FROM x")
 def repair_ratio(i):
     v = _tokens(i).agg(F.sum(a.invalid_ids(F.col("ids"), 110)).alias("bad"), F.sum(F.size("ids")).alias("n"))
     return v.select(F.round(F.col("bad") / F.col("n"), 6).alias("ratio"))
 
 
-@query(f"WITH x AS (SELECT doc_id, {IDS} AS ids FROM ({{v_tokens}}) t WHERE length(head) > 0) SELECT doc_id, array_to_string(list_concat([1], list_transform(ids[1:len(ids) - 1], lambda x: CASE WHEN x = 32 THEN 0 ELSE x END)), ',') AS ids FROM x")
+@query(f"{ALL} SELECT doc_id, array_to_string(list_concat([1], list_transform(ids[1:len(ids) - 1], lambda x: CASE WHEN x = 116 THEN 0 ELSE x END)), ',') AS ids FROM x")
 def decoder_shift(i):
-    return _joined(_tokens(i).select("doc_id", a.shift_right(a.label_ids(F.col("ids"), 32), 1, 0).alias("ids")), "ids")
+    return _joined(_tokens(i).select("doc_id", a.shift_right(a.label_ids(F.col("ids"), 116), 1, 0).alias("ids")), "ids")
 
 
-@query(f"WITH x AS (SELECT doc_id, {IDS} AS ids FROM ({{v_tokens}}) t WHERE length(head) > 0) SELECT doc_id, array_to_string(list_concat(ids, list_transform(range(0, 24 - len(ids)), lambda k: 0)), ',') AS ids FROM x")
+@query(f"{ALL} SELECT doc_id, array_to_string(list_concat(ids, list_transform(range(0, (8 - len(ids) % 8) % 8), lambda k: 0)), ',') AS ids FROM x")
 def pad_batch(i):
-    return _joined(_tokens(i).select("doc_id", a.pad_right(F.col("ids"), F.lit(24)).alias("ids")), "ids")
+    return _joined(_tokens(i).select("doc_id", a.pad_right(F.col("ids"), F.ceil(F.size("ids") / 8).cast("int") * 8).alias("ids")), "ids")
 
 
-@query(f"WITH x AS (SELECT doc_id, {IDS} AS ids FROM ({{v_tokens}}) t WHERE length(head) > 0), p AS (SELECT doc_id, ids, coalesce(nullif(list_position(ids, 46), 0), 999) AS stop FROM x) SELECT doc_id, array_to_string(list_transform(range(1, len(ids) + 1), lambda k: CASE WHEN k <= stop THEN 1 ELSE 0 END), ',') AS mask FROM p")
+@query(f"{ALL}, p AS (SELECT doc_id, ids, coalesce(nullif(list_position(ids, 101), 0), 999999999) AS stop FROM x) SELECT doc_id, array_to_string(list_transform(range(1, len(ids) + 1), lambda k: CASE WHEN k <= stop THEN 1 ELSE 0 END), ',') AS mask FROM p")
 def eos_mask(i):
-    return _joined(_tokens(i).select("doc_id", a.completion_mask(F.col("ids"), 46).alias("mask")), "mask")
+    return _joined(_tokens(i).select("doc_id", a.completion_mask(F.col("ids"), 101).alias("mask")), "mask")
 
 
-@query(f"WITH x AS (SELECT doc_id, {IDS} AS ids FROM ({{v_tokens}}) t WHERE length(head) > 0), m AS (SELECT list_sum(list_transform(ids, lambda x: CASE WHEN x > 100 THEN x ELSE 0 END)) / nullif(len(list_filter(ids, lambda x: x > 100)), 0) AS m FROM x) SELECT round(avg(m), 6) AS loss FROM m")
+@query(f"{ALL}, m AS (SELECT list_sum(list_transform(ids, lambda x: CASE WHEN x > 100 THEN x ELSE 0 END)) / nullif(len(list_filter(ids, lambda x: x > 100)), 0) AS m FROM x) SELECT round(avg(m), 6) AS loss FROM m")
 def masked_loss(i):
     v = _tokens(i).withColumn("mask", F.transform("ids", lambda x: (x > 100).cast("int")))
     return r6(rewards.masked_loss(v, "ids", "mask"), "loss")

@@ -70,7 +70,7 @@ def bleu(i):
 
 @query(BLEU + " SELECT doc_id, round(bleu, 6) AS bleu FROM b")
 def bleu_rows(i):
-    return i.view("v_pairs").select("doc_id", F.round(ev.bleu(F.col("pred"), F.col("label")), 6).alias("bleu"))
+    return ev.row_scores(i.view("v_pairs"), ["bleu"]).select("doc_id", F.round("_bleu", 6).alias("bleu"))
 
 
 def _rouge(n: int) -> str:
@@ -160,11 +160,12 @@ def taxonomy_select(i):
     return ev.select_benchmarks(i.table("nation").select(F.col("n_name").alias("name"), fields.alias("native_taxonomy_fields")), fields=["skill", "level"]).select("name")
 
 
-@query("SELECT n_name AS name, n_name IN (SELECT n_name FROM nation WHERE n_nationkey < 5) AS known FROM nation WHERE n_nationkey < 8")
+@query("SELECT n_name AS name, n_nationkey IN (SELECT s_nationkey FROM supplier) AS known FROM nation")
 def name_select(i):
-    asked = i.table("nation").where("n_nationkey < 8").select(F.col("n_name").alias("name"))
-    catalog = i.table("nation").where("n_nationkey < 5").select(F.col("n_name").alias("name"))
-    return asked.join(catalog, "name", "left_semi").withColumn("known", F.lit(True)).unionByName(asked.join(catalog, "name", "left_anti").withColumn("known", F.lit(False)))
+    asked = i.table("nation").select(F.col("n_name").alias("name"), "n_nationkey")
+    catalog = i.table("supplier").select(F.col("s_nationkey").alias("n_nationkey"))
+    known = asked.join(catalog, "n_nationkey", "left_semi").withColumn("known", F.lit(True))
+    return known.unionByName(asked.join(catalog, "n_nationkey", "left_anti").withColumn("known", F.lit(False))).select("name", "known")
 
 
 def _ranked(group: str, key: str = "doc_id", frm: str = "({v_class}) t") -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays as a
 from tessera.operators import samples, scoring
-from tessera.plans.q_agents import IDS, _folder, _tokens
+from tessera.plans.q_agents import ALL, _folder, _tokens
 from tessera.plans.q_text import SCORED
 from tessera.plans.registry import query
 from tessera.sources import readers, writers
@@ -54,18 +54,11 @@ def caption_choice(i):
     return i.table("customer").select(F.col("c_custkey").alias("id"), samples.caption_choice(F.array("c_name", "c_mktsegment"), F.col("c_custkey")).alias("caption"))
 
 
-@query(f"WITH x AS (SELECT doc_id, {IDS} AS ids FROM ({{v_tokens}}) t WHERE length(head) > 0) SELECT doc_id FROM x WHERE len(list_filter(ids, lambda v: v < 0 OR v >= 120)) > 0")
+@query(f"{ALL} SELECT doc_id FROM x WHERE len(list_filter(ids, lambda v: v < 0 OR v >= 120)) > 0")
 def token_range_violations(i):
     return _tokens(i).where(F.exists("ids", lambda v: (v < 0) | (v >= 120))).select("doc_id")
 
 
-@query("SELECT label, lang, count(*) AS n FROM (SELECT 'first' AS label, lang FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'second', lang FROM documents WHERE doc_id % 3 = 0) t GROUP BY label, lang")
-def union_files(i):
-    d = i.table("documents")
-    first, second = d.where("doc_id % 2 = 0").select(F.lit("first").alias("label"), "lang"), d.where("doc_id % 3 = 0").select("lang", F.lit("second").alias("label"))
-    return first.unionByName(second, allowMissingColumns=True).groupBy("label", "lang").agg(F.count("*").alias("n"))
-
-
 @query("SELECT conv_id, idx, conv_id // 100 AS batch FROM ({v_turns}) t")
 def batch_ids(i):
     return i.view("v_turns").select("conv_id", "idx", F.floor(F.col("conv_id") / 100).alias("batch"))

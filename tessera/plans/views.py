@@ -35,10 +35,9 @@ VIEWS = {
                CASE WHEN (d.doc_id * 7) % 10 < 7 THEN d.lang WHEN d.doc_id % 3 = 0 THEN 'en' WHEN d.doc_id % 3 = 1 THEN 'de' ELSE 'it' END AS pred
         FROM {documents} d""",
     "v_pairs": """
-        SELECT doc_id, substr(text, 1, 160) AS label,
-               CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, 160) WHEN doc_id % 5 = 1 THEN upper(substr(text, 1, 160)) || '  '
-                    WHEN doc_id % 5 = 2 THEN substr(text, 1, 80) WHEN doc_id % 5 = 3 THEN substr(text, 20, 160) ELSE '' END AS pred
-        FROM {documents} WHERE lang = 'en'""",
+        SELECT conv_id * 1000 + idx AS doc_id, answer AS label,
+               CASE idx % 5 WHEN 0 THEN answer WHEN 1 THEN replace(answer, 'th', 'TH') || '  ' WHEN 2 THEN question || ' ' || answer WHEN 3 THEN question ELSE '' END AS pred
+        FROM ({v_turns}) p""",
     "v_opts": """
         SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_name END AS question,
                CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END AS hint,
@@ -46,8 +45,8 @@ VIEWS = {
                CASE p_partkey % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'b, C' WHEN 2 THEN 'A,D' WHEN 3 THEN 'H' WHEN 4 THEN 'cat' ELSE ' BA ' END AS answer
         FROM {part}""",
     "v_tasks": """
-        SELECT item_id, text AS question, substr(text, 1, 24) AS ground_truth,
-               CASE item_id % 4 WHEN 0 THEN '  ' || upper(substr(text, 1, 24)) WHEN 1 THEN substr(text, 1, 40) WHEN 2 THEN 'none of these' ELSE '' END AS answer,
+        SELECT item_id, text AS question, text AS ground_truth,
+               CASE item_id % 4 WHEN 0 THEN '  ' || text WHEN 1 THEN 'It is: ' || text WHEN 2 THEN 'none of these' ELSE '' END AS answer,
                CASE WHEN item_id % 3 = 0 THEN 'alpha' WHEN item_id % 3 = 1 THEN 'beta' ELSE 'gamma' END AS benchmark
         FROM {benchmark}""",
     "v_agents": """
@@ -64,13 +63,11 @@ VIEWS = {
         SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS BIGINT) AS epoch, val_loss
         FROM (SELECT user_id, CAST(ts AS DATE) AS day, floor(CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS DOUBLE) / count(*)) AS val_loss FROM {events} GROUP BY user_id, CAST(ts AS DATE)) h""",
     "v_rewards": "SELECT event_id AS id, user_id AS prompt, event_type AS kind, round(value, 3) AS r FROM {events}",
-    "v_tokens": """
-        SELECT doc_id, text, substr(text, 1, 24) AS head FROM {documents} WHERE doc_id % 2 = 0""",
     "v_metrics": """
-        SELECT d.doc_id AS sample_id, c.cap AS cap, c.k AS k,
-               CASE WHEN d.doc_id % 9 = 0 AND c.k = 1 THEN '' ELSE substr(d.text, 1 + c.k * 12, 60) END AS general,
-               CASE WHEN d.doc_id % 9 = 0 AND c.k = 1 THEN '' WHEN d.doc_id % 4 = 0 THEN '' ELSE substr(d.text, 20 + c.k * 7, 80) END AS specific
-        FROM {documents} d CROSS JOIN ({v_caps}) c WHERE d.doc_id % 5 = 0""",
+        SELECT p_partkey - p_partkey % 3 AS sample_id, CASE p_partkey % 3 WHEN 0 THEN 'weak' WHEN 1 THEN 'normal' ELSE 'sota' END AS cap, p_partkey % 3 AS k,
+               CASE WHEN p_partkey % 27 = 1 THEN '' ELSE 'share of ' || p_name END AS general,
+               CASE WHEN p_partkey % 27 = 1 OR p_partkey % 4 = 0 THEN '' ELSE 'count of ' || p_type || ' by ' || p_brand END AS specific
+        FROM {part}""",
 }
 
 
