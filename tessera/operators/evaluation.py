@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import arrays as a
 from tessera.functions import text as t
@@ -83,7 +84,7 @@ def rouge_n(n: int) -> Column:
     return F.coalesce(F.try_divide(2.0 * F.size(F.array_intersect(f"_p{n}", f"_r{n}")), F.when((F.size(p) > 0) & (F.size(r) > 0), F.size(p) + F.size(r))), F.lit(0.0))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def common_subsequence(x: pd.Series, y: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two word arrays, a row of the table as the bits of one number."""
 
