@@ -1,6 +1,6 @@
 """Exact duplicate passages by threshold-bounded interval expansion on a Burrows-Wheeler transform.
 
-Every 100-byte string of the corpus has an anchor, the least hashed 32-byte
+Every 100-byte string of the corpus has an anchor, the least hashed 40-byte
 gram in it; equal strings have equal anchors. Consecutive strings with one
 anchor form a piece of text. Pieces whose anchor occurs once cannot hold a
 repeated string. The others meet by anchor, where identical pieces are first
@@ -32,7 +32,7 @@ from tessera.llm import textbatch as tb
 from tessera.llm.linededup import text_hash
 from tessera.llm.storage import remove_table, write_table, written
 
-GRAM = 32
+GRAM = 40
 _LOW = np.uint64(0xFFFFFFFF)
 _BWT_SYMBOLS = 1_500_000
 
@@ -377,8 +377,8 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
     def run(batches):
         for batch in batches:
             out = []
-            for d, v, text, gone_ in zip(*(batch.column(c).to_pylist() for c in ("doc", "version", "text", "gone")), strict=True):
-                raw = text.encode()
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for d, v, raw, gone_ in zip(batch.column("doc").to_pylist(), batch.column("version").to_pylist(), texts, batch.column("gone").to_pylist(), strict=True):
                 own = [x for x in gone_ or [] if x["doc"] == d and x["version"] == v]
                 spans = merged_spans(np.array([x["start"] for x in own], dtype=np.int64), np.array([x["n"] for x in own], dtype=np.int64), length)
                 kept, at = [], 0
