@@ -59,7 +59,9 @@ def with_ngrams(df: DataFrame, pred: str = "pred", label: str = "label", n: int
     they would be made again for every element.
     """
     words = df.withColumns({"_p": t.words(F.col(pred)), "_r": t.words(F.col(label))})
-    return words.withColumns({f"_{side}{k}": a.ngrams(F.col(f"_{side}"), k) for side in "pr" for k in range(1, n + 1)})
+    made = words.withColumns({f"_{side}{k}": a.ngrams(F.col(f"_{side}"), k) for side in "pr" for k in range(1, n + 1)})
+    # Hashes beside them: looking a number up is far cheaper than a text.
+    return made.withColumns({f"_h{side}{k}": F.transform(f"_{side}{k}", lambda x: F.xxhash64(x)) for side in "pr" for k in range(1, n + 1)})
 
 
 def bleu(n: int = 4) -> Column:
@@ -75,7 +77,7 @@ def bleu(n: int = 4) -> Column:
 
 
 def _known_share(k: int) -> Column:
-    return F.coalesce(F.try_divide(F.size(F.filter(f"_p{k}", lambda g: F.array_contains(f"_r{k}", g))), F.size(f"_p{k}")), F.lit(0.0))
+    return F.coalesce(F.try_divide(F.size(F.filter(f"_hp{k}", lambda g: F.array_contains(f"_hr{k}", g))), F.size(f"_p{k}")), F.lit(0.0))
 
 
 def rouge_n(n: int) -> Column:
