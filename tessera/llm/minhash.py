@@ -11,7 +11,8 @@ sketch, its bands give buckets. Documents of a bucket whose sketches are alike
 are linked into candidate groups, a few links for each. In a group, cut into
 blocks of bounded size, the exact weighted Jaccard similarity is taken from
 every document to all others that have no class yet and are not clearly apart by
-sketch; documents at or above the threshold share a class.
+sketch, inside a block and between any two blocks; documents at or above the
+threshold share a class.
 
 Defined results: documents with the same words in the same order (null, empty
 and blank texts among them) are one class without any sampling; texts of fewer
@@ -237,20 +238,23 @@ def sketch_rows(docs: DataFrame, idf: Idf, size: int, id_col: str, text_col: str
 
 
 def link_bucket(slots: np.ndarray, like: float, sure: float) -> tuple[list[tuple[int, int]], list[int]]:
-    """(links, leaders) of one bucket: at most two links for each member.
+    """(links, leaders) of one bucket: few links, which connect all members that are alike.
 
     A member that no earlier leader resembles for sure leads. The others are
     linked with the leader that they resemble for sure; a leader with the
-    earlier leader and with the member that are most like it. Links join what
-    is alike into candidate groups; they are no verdict.
+    earlier leader and with the member that are most like it. Members that are
+    alike but not yet connected by these get a link too. Links join what is
+    alike into candidate groups; they are no verdict.
     """
     n = len(slots)
     rest, links, leaders = np.ones(n, dtype=bool), [], []
+    comp = np.arange(n)
     for k in range(n):
         if not rest[k]:
             continue
         alike = (slots == slots[k]).mean(axis=1)
         alike[k] = 0
+        own = len(links)
         if leaders:
             before = leaders[int(alike[leaders].argmax())]
             if alike[before] >= like:
@@ -259,29 +263,127 @@ def link_bucket(slots: np.ndarray, like: float, sure: float) -> tuple[list[tuple
         most = int(alike.argmax())
         if alike[most] >= like:
             links.append((k, most))
+        if len(links) > own:
+            comp[np.isin(comp, comp[[j for _, j in links[own:]]])] = comp[k]
+        for j in np.flatnonzero((alike >= like) & (comp != comp[k])).tolist():
+            if comp[j] != comp[k]:
+                links.append((k, j))
+                comp[comp == comp[j]] = comp[k]
         leaders.append(k)
         rest &= alike < sure
         rest[k] = False
+    # What is left are members under different leaders.
+    led = np.ones(n, dtype=bool)
+    led[leaders] = False
+    members = np.flatnonzero(led)
+    for k in members.tolist():
+        other = members[comp[members] != comp[k]]
+        if len(other):
+            for j in other[(slots[other] == slots[k]).mean(axis=1) >= like].tolist():
+                if comp[j] != comp[k]:
+                    links.append((k, j))
+                    comp[comp == comp[j]] = comp[k]
     return links, leaders
 
 
-_EDGE = "a binary, b binary, bucket long, slots binary"
+def open_pairs(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, x, y, side, key, comp): what two blocks of a label must still compare.
+
+    ``rows`` has (label, block, key), ``labels`` (node, label) the components
+    so far. Only members of different components are left to meet; blocks that
+    hold one and the same component need no meeting.
+    """
+    known = labels.select(F.col("node").alias("n"), F.col("label").alias("l"))
+    several = rows.groupBy("label").agg(F.min("block").alias("p"), F.max("block").alias("q")).where("p <> q").select(F.col("label").alias("g"))
+    at = written(rows.join(several, F.col("label") == F.col("g"), "left_semi").join(known, F.col("key") == F.col("n"), "left").select("label", "block", "key", F.coalesce("l", "key").alias("comp")), "open")
+    blocks = at.groupBy("label", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    mixed = blocks.groupBy("label").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most").select("label")
+    blocks = written(blocks.join(mixed, "label", "left_semi"), "blocks")
+    named = lambda c: blocks.select("label", *[F.col(v).alias(f"{c}_{v}") for v in ("block", "low", "high")])
+    pairs = named("x").join(named("y"), "label").where("x_block < y_block AND NOT (x_low = x_high AND y_low = y_high AND x_low = y_low)")
+    side = lambda k, own, other: pairs.select("label", F.col("x_block").alias("x"), F.col("y_block").alias("y"), F.lit(k).alias("side"), F.col(f"{own}_block").alias("block"), F.col(f"{other}_low").alias("low"), F.col(f"{other}_high").alias("high"))
+    both = side(0, "x", "y").unionByName(side(1, "y", "x"))
+    return at.join(both, ["label", "block"]).where("NOT (low = high AND low = comp)").select("label", "x", "y", "side", "key", "comp")
+
+
+def meet(comp: np.ndarray, side: np.ndarray, near) -> list[tuple[int, int]]:
+    """Pairs from side 0 to side 1 that ``near(x, others)`` finds, one for any two components that they join."""
+    comp, out = comp.copy(), []
+    right = np.flatnonzero(side == 1)
+    for x in np.flatnonzero(side == 0).tolist():
+        other = right[comp[right] != comp[x]]
+        if len(other):
+            for y in near(x, other).tolist():
+                if comp[y] != comp[x]:
+                    out.append((x, y))
+                    comp[comp == comp[y]] = comp[x]
+    return out
+
+
+def _meetings(columns: tuple[str, ...], near_of):
+    """Arrow function over (label, x, y, side, comp, *columns) sorted by label, x, y: joined components (a, b).
+
+    Two blocks are held at a time. ``near_of(*columns)`` gives their ``near``.
+    """
+
+    def run(batches):
+        held: list[tuple] = []
+
+        def close():
+            names, comp = np.unique(np.array([x[4].hex() for x in held]), return_inverse=True)
+            side = np.array([x[3] for x in held])
+            found = meet(comp, side, near_of(*zip(*(x[5:] for x in held), strict=True))) if len(names) > 1 and 0 < side.sum() < len(side) else []
+            pairs = [(held[i][4], held[j][4]) for i, j in found]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in range(2)], ["a", "b"])
+
+        for batch in batches:
+            for x in zip(*(batch.column(c).to_pylist() for c in ("label", "x", "y", "side", "comp", *columns)), strict=True):
+                if held and x[:3] != held[-1][:3]:
+                    yield close()
+                    held = []
+                held.append(x)
+        if held:
+            yield close()
+
+    return run
+
+
+def met(pairs: DataFrame, columns: tuple[str, ...], near_of) -> DataFrame:
+    """(a, b): components joined by the meetings of ``pairs``; each meeting of two blocks is work of its own."""
+    order = ("label", "x", "y")
+    dealt = pairs.select(*order, "side", "comp", *columns).repartition(*order).sortWithinPartitions(*order, "side", "comp")
+    return written(dealt.mapInArrow(_meetings(columns, near_of), "a binary, b binary").distinct(), "met")
+
+
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after ``edges`` (a, b) between components; a node without a label is its own component."""
+    if edges.isEmpty():
+        return labels
+    top = connected_components(edges)
+    moved = labels.join(top.select(F.col("node").alias("n"), F.col("label").alias("l")), F.col("label") == F.col("n"), "left").select("node", F.coalesce("l", "label").alias("label"))
+    return written(moved.unionByName(top.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
+_EDGE = "a binary, b binary, bucket long, slots binary, block long, leads boolean"
 
 
 def _link(like: float, sure: float, borders: bool):
-    """Arrow function over (bucket, key, slots) sorted by bucket, key: links, and leaders of runs at the borders."""
+    """Arrow function over (bucket, key, slots) sorted by bucket, key: links, and the members of runs at the borders."""
 
     def emit(rows):
-        types = (pa.binary(), pa.binary(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["a", "b", "bucket", "slots"])
+        types = (pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["a", "b", "bucket", "slots", "block", "leads"])
 
     def process(bucket, keys, raw, border):
         out, leaders = [], [0]
         if len(keys) > 1:
             links, leaders = link_bucket(np.frombuffer(b"".join(raw), np.uint8).reshape(len(keys), SLOTS), like, sure)
-            out += [(keys[i], keys[j], None, None) for i, j in links]
+            out += [(keys[i], keys[j], None, None, None, None) for i, j in links]
         if border:
-            out += [(keys[k], None, bucket, raw[k]) for k in leaders]
+            from pyspark import TaskContext
+
+            block, lead = TaskContext.get().partitionId(), set(leaders)
+            out += [(keys[k], None, bucket, raw[k], block, k in lead) for k in range(len(keys))]
         return out
 
     def run(batches):
@@ -316,26 +418,38 @@ def _link(like: float, sure: float, borders: bool):
     return run
 
 
-def candidate_links(reps: DataFrame, like: float = 0.6, sure: float = 0.8) -> DataFrame:
-    """(a, b): keys that share a bucket and whose sketches are alike.
+def _alike_of(like: float):
+    def near_of(raw):
+        slots = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), SLOTS)
+        return lambda x, other: other[(slots[other] == slots[x]).mean(axis=1) >= like]
+
+    return near_of
+
+
+def candidate_groups(reps: DataFrame, like: float = 0.6, sure: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(a, b) links and (node, label) groups of keys that share a bucket and whose sketches are alike.
 
     Buckets are range-partitioned by (bucket, key), so that a hot bucket is
     spread over several tasks; the leaders at the borders of ranges meet in a
-    second, small step.
+    second, small step. What is still apart then meets run by run.
     """
     rows = reps.select("key", F.inline("sketches")).select("key", "slots", F.explode("bands").alias("bucket"))
     ranged = rows.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
     found = written(ranged.select("bucket", "key", "slots").mapInArrow(_link(like, sure, True), _EDGE), "links")
-    borders = found.where(F.col("b").isNull()).select("bucket", F.col("a").alias("key"), "slots")
-    again = borders.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_link(like, sure, False), _EDGE)
-    return found.where(F.col("b").isNotNull()).select("a", "b").unionByName(again.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
+    runs = found.where(F.col("b").isNull()).select("bucket", F.col("a").alias("key"), "slots", "block", "leads")
+    again = runs.where("leads").select("bucket", "key", "slots").repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_link(like, sure, False), _EDGE)
+    links = found.where(F.col("b").isNotNull()).select("a", "b").unionByName(again.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
+    links = written(links, "pairs")
+    labels = connected_components(links)
+    of_bucket = runs.select(F.col("bucket").alias("label"), "block", "key")
+    slots = runs.select(F.col("bucket").alias("label"), "key", "slots").dropDuplicates(["label", "key"])
+    return links, joined(labels, met(open_pairs(of_bucket, labels).join(slots, ["label", "key"]), ("slots",), _alike_of(like)))
 
 
-def exact_classes(rows: np.ndarray, hashes: np.ndarray, weights: np.ndarray, slots: list[np.ndarray], least: float, like: float) -> np.ndarray:
-    """Single-link classes of a block by exact weighted Jaccard similarity: each member's class as its first member.
+def exact_near(rows: np.ndarray, hashes: np.ndarray, weights: np.ndarray, slots: list[np.ndarray], least: float, like: float):
+    """near(x, others): those of ``others`` with an exact weighted Jaccard similarity of ``least`` to x.
 
-    ``rows`` are sorted. From every member the similarity to all members
-    without a class is taken, but for those whose sketches are clearly apart.
+    ``rows`` are sorted. Members whose sketches are clearly apart are left out.
     """
     n = len(slots)
     total = np.bincount(rows, weights=weights, minlength=n)
@@ -347,32 +461,55 @@ def exact_classes(rows: np.ndarray, hashes: np.ndarray, weights: np.ndarray, slo
     for k, own in enumerate(slots):
         for kind, values in own:
             sketch[k, kind], kinds[k, kind] = values, 1
+
+    def near(x: int, other: np.ndarray) -> np.ndarray:
+        alike = np.zeros(len(other), dtype=bool)
+        for kind in range(width):
+            if kinds[x, kind]:
+                alike |= (kinds[other, kind] == 1) & ((sketch[other, kind] == sketch[x, kind]).mean(axis=1) >= like)
+        other = other[alike]
+        if not len(other):
+            return other
+        mine = slice(first[x], first[x + 1])
+        mark[ids[mine]] = weights[mine]
+        size = first[other + 1] - first[other]
+        at = np.arange(int(size.sum())) + np.repeat(first[other] - (np.cumsum(size) - size), size)
+        shared = np.add.reduceat(np.minimum(mark[ids[at]], weights[at]), np.cumsum(size) - size)
+        mark[ids[mine]] = 0
+        return other[shared >= (least - 1e-9) * (total[x] + total[other] - shared)]
+
+    return near
+
+
+def exact_classes(rows: np.ndarray, hashes: np.ndarray, weights: np.ndarray, slots: list[np.ndarray], least: float, like: float) -> np.ndarray:
+    """Single-link classes of a block by exact weighted Jaccard similarity: each member's class as its first member.
+
+    From every member the similarity to all members without a class is taken.
+    """
+    near = exact_near(rows, hashes, weights, slots, least, like)
+    n = len(slots)
     cls, free = np.full(n, -1), np.ones(n, dtype=bool)
     for seed in range(n):
         if not free[seed]:
             continue
         cls[seed], free[seed], queue = seed, False, [seed]
         while queue:
-            x = queue.pop()
-            alike = np.zeros(n, dtype=bool)
-            for kind in range(width):
-                if kinds[x, kind]:
-                    alike |= (kinds[:, kind] == 1) & ((sketch[:, kind] == sketch[x, kind]).mean(axis=1) >= like)
-            other = np.flatnonzero(alike & free)
-            if not len(other):
-                continue
-            mine = slice(first[x], first[x + 1])
-            mark[ids[mine]] = weights[mine]
-            size = first[other + 1] - first[other]
-            at = np.arange(int(size.sum())) + np.repeat(first[other] - (np.cumsum(size) - size), size)
-            shared = np.add.reduceat(np.minimum(mark[ids[at]], weights[at]), np.cumsum(size) - size)
-            mark[ids[mine]] = 0
-            near = other[shared >= (least - 1e-9) * (total[x] + total[other] - shared)]
-            cls[near], free[near] = seed, False
-            queue += near.tolist()
+            found = near(queue.pop(), np.flatnonzero(free))
+            cls[found], free[found] = seed, False
+            queue += found.tolist()
     return cls
 
 
+def _near_texts(idf, size: int, least: float, like: float):
+    def near_of(texts, sketches):
+        data, limits = tb.string_buffers(pa.array(texts, pa.string()))
+        r, h, times, _ = row_shingles(data, limits, size)
+        slots = [[(s["kind"], np.frombuffer(s["slots"], np.uint8)) for s in x] for x in sketches]
+        return exact_near(r, h, (1 + np.log(times)) * idf.value(h), slots, least, like)
+
+    return near_of
+
+
 BLOCK_DOCS, BLOCK_BYTES = 4096, 8_000_000
 _CLASS = "key binary, rep binary, block long, label binary, text string, sketches array<struct<kind:int,slots:binary>>"
 
@@ -464,14 +601,16 @@ def verified(texts: DataFrame, links: DataFrame, idf, size: int, least: float) -
     return pairs.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
 
 
-def class_edges(texts: DataFrame, links: DataFrame, idf, size: int, least: float, like: float = 0.6) -> DataFrame:
-    """(a, b): edges whose components are the classes.
+def class_labels(texts: DataFrame, links: DataFrame, idf, size: int, least: float, like: float = 0.6) -> DataFrame:
+    """(node, label): the class of every key that has one with others.
 
     Candidate groups are range-partitioned by (label, key). In a block all
     classes are exact. A group that is cut by a block's bound or by a border is
-    joined again by verifying all its links between blocks, and by taking the
-    classes of the blocks' first members; so a group of any size is spread over
-    tasks and no task holds more than a block.
+    joined again by verifying its links between blocks and by taking the
+    classes of the blocks' first members; these two only save work. Then every
+    two blocks of a group meet, and what is still apart is compared exactly; so
+    a group of any size is spread over tasks and no task holds more than two
+    blocks.
     """
     columns = ("label", "key", "text", "sketches")
     ranged = texts.repartitionByRange("label", "key").sortWithinPartitions("label", "key").select(*columns)
@@ -481,7 +620,9 @@ def class_edges(texts: DataFrame, links: DataFrame, idf, size: int, least: float
     at = local.select("key", "block")
     crossing = links.join(at.select(F.col("key").alias("a"), F.col("block").alias("x")), "a").join(at.select(F.col("key").alias("b"), F.col("block").alias("y")), "b").where("x <> y").select("a", "b")
     edges = local.select(F.col("key").alias("a"), F.col("rep").alias("b")).unionByName(again.select(F.col("key").alias("a"), F.col("rep").alias("b")))
-    return edges.unionByName(verified(texts, crossing, idf, size, least)).where(F.col("a") != F.col("b"))
+    labels = connected_components(edges.unionByName(verified(texts, crossing, idf, size, least)).where(F.col("a") != F.col("b")))
+    pairs = open_pairs(local.select("label", "block", "key"), labels).join(texts.select("key", "text", "sketches"), "key")
+    return joined(labels, met(pairs, ("text", "sketches"), _near_texts(idf, size, least, like)))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -496,10 +637,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col:
     rows = written(sketch_rows(docs, idf, size, id_col, text_col), "sketches")
     place = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "version")
     reps = written(rows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("rows"), F.first("sketches").alias("sketches")).select("key", "first", "first.doc", "first.version", "rows", "sketches"), "reps")
-    links = written(candidate_links(reps), "pairs")
-    texts = written(texts_of(docs, reps, connected_components(links), id_col, text_col).dropDuplicates(["key"]), "texts")
+    links, groups = candidate_groups(reps)
+    texts = written(texts_of(docs, reps, groups, id_col, text_col).dropDuplicates(["key"]), "texts")
     shared = docs.sparkSession.sparkContext.broadcast(idf)
-    labels = connected_components(class_edges(texts, links, shared, size, least))
+    labels = class_labels(texts, links, shared, size, least)
     named = reps.select("key", "first", "rows").join(labels, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "key"))
     classes = named.groupBy("label").agg(F.min("first").alias("class_first"), F.sum("rows").alias("class_size"))
     of_key = named.select(F.col("key").alias("k"), "label").join(classes, "label").select("k", "class_first", "class_size")

@@ -191,6 +191,68 @@ def test_hot_group_is_cut_into_blocks(spark, monkeypatch):
     assert {x.class_doc for x in minhash.near_duplicates(df).collect()} == {0}
 
 
+def family(n, seed, length=120, most=6):
+    """Texts around one base, each with up to ``most`` words of its own."""
+    r = random.Random(seed)
+    base, out = words(length, seed), []
+    for k in range(n):
+        c = list(base)
+        for _ in range(r.randint(1, most)):
+            c[r.randrange(length)] = f"own{k}x{r.random()}"
+        out.append(" ".join(c))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_group_over_blocks_equals_brute_force(spark, monkeypatch, seed):
+    texts = family(40, seed)
+    want = brute_classes(texts)
+    assert len(set(want.values())) > 1
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 3)
+    df = spark.createDataFrame(rows_of(texts), DOCS)
+    assert {x.doc: x.class_doc for x in minhash.near_duplicates(df).collect()} == want
+
+
+def classes_of_one_group(spark, texts, links):
+    """Classes of texts that are one candidate group with these links (positions)."""
+    df = spark.createDataFrame(rows_of(texts), DOCS)
+    idf, _ = minhash.common_shingles(df, 5, "text")
+    rows = minhash.sketch_rows(df, idf, 5, "doc_id", "text").join(df.select("doc_id", "text"), F.col("doc") == F.col("doc_id")).cache()
+    keys = {x.doc: bytes(x.key) for x in rows.select("doc", "key").collect()}
+    held = rows.select(F.lit(b"one").alias("label"), "key", "text", F.transform("sketches", lambda x: F.struct(x["kind"].alias("kind"), x["slots"].alias("slots"))).alias("sketches"))
+    edges = spark.createDataFrame([(keys[a], keys[b]) for a, b in links], "a binary, b binary")
+    found = minhash.class_labels(held, edges, spark.sparkContext.broadcast(idf), 5, 0.8)
+    label = {bytes(x.node): bytes(x.label) for x in found.collect()}
+    groups = {}
+    for k in range(len(texts)):
+        groups.setdefault(label.get(keys[k], keys[k]), []).append(k)
+    return {k: min(g) for g in groups.values() for k in g}
+
+
+def test_blocks_of_a_group_meet(spark, monkeypatch):
+    texts = family(60, 2)
+    want = brute_classes(texts)
+    assert 1 < len(set(want.values())) < 60
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 7)
+    assert classes_of_one_group(spark, texts, [(0, k) for k in range(1, 60)]) == want
+
+
+def test_bucket_links_connect_all_alike():
+    r = np.random.default_rng(4)
+    lost = 0
+    for _ in range(60):
+        slots = np.repeat(r.integers(0, 255, (1, 64), dtype=np.uint8), 30, axis=0)
+        change = r.random(slots.shape) < 0.24
+        slots[change] = r.integers(0, 255, int(change.sum()), dtype=np.uint8)
+        alike = (slots[:, None] == slots[None]).mean(axis=2) >= 0.6
+        links, _ = minhash.link_bucket(slots, 0.6, 0.8)
+        group = list(range(30))
+        for a, b in links:
+            group = [group[a] if g == group[b] else g for g in group]
+        lost += sum(group[a] != group[b] for a, b in zip(*np.nonzero(alike), strict=True))
+    assert lost == 0
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_components_equal_union_find(spark, seed):
     r = random.Random(seed)
