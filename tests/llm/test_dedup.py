@@ -237,6 +237,14 @@ def test_blocks_of_a_group_meet(spark, monkeypatch):
     assert classes_of_one_group(spark, texts, [(0, k) for k in range(1, 60)]) == want
 
 
+def test_more_firsts_than_a_block_meet(spark, monkeypatch):
+    texts = [x for k in range(12) for x in family(3, 50 + k, 120, 2)]
+    want = brute_classes(texts)
+    assert len(set(want.values())) >= 12
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 3)
+    assert classes_of_one_group(spark, texts, []) == want
+
+
 def test_bucket_links_connect_all_alike():
     r = np.random.default_rng(4)
     lost = 0
