@@ -1,11 +1,12 @@
 """Personal data: fixed patterns, and terms that give protected entities away.
 
 Base spans (e-mail, IP, card, phone) come from fixed patterns. The corpus then
-says how strongly each term near such a span reveals it: for term t and entity
-e, P(e|t) is the share of t's documents in which it stands near e, and
+says how strongly each term of a document with such a span reveals it: for term
+t and entity e, P(e|t) is the share of t's documents that hold e, and
 log2(P(e|t) / P(e)) the information that t discloses. A pair that is seen in
-enough different contexts and exceeds the disclosure thresholds adds spans:
-terms that disclose most are removed, the others generalised.
+enough different texts and exceeds the disclosure thresholds adds spans
+wherever its term stands, in all documents: terms that disclose most are
+removed, the others generalised.
 
 Defined results: null text counts as empty and has no spans; rows with the
 same id and text share their added spans; an empty table gives no rows; copies
@@ -14,7 +15,6 @@ of one text are one context; ids may be null; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textbatch as tb
 from tessera.llm.linededup import text_hash
-from tessera.llm.storage import written
+from tessera.llm.storage import small_batches, written
 
 # The base patterns, in the order in which kinds are listed.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
@@ -38,14 +38,14 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGIT = re.compile(r"[0-9]")
-_TERM = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 _FOLD = np.zeros(256, dtype=np.uint8)
 for _b in b"0123456789abcdefghijklmnopqrstuvwxyz":
     _FOLD[_b] = _b
 for _b in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ":
     _FOLD[_b] = _b + 32
 _FOLD[0x80:] = np.arange(0x80, 0x100)
-_TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_MARKS = 24  # bits of a slot in the bitmap of telling terms
+_WIDE = 1000  # a term in over 1 / _WIDE of all documents may be left out of the pairs
 
 
 def luhn(digits: str) -> bool:
@@ -106,54 +106,73 @@ def entity_of(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', value)}"
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[dict]:
-    """The terms up to ``reach`` terms before and after each span, outside of all spans."""
-    taken = sorted((s, e) for _, s, e in spans)
-    terms = []
-    at = 0
-    for m in _TERM.finditer(text):
-        while at < len(taken) and taken[at][1] <= m.start():
-            at += 1
-        if not any(s < m.end() for s, e in taken[at : at + 4] if e > m.start()):
-            terms.append((m.start(), m.end(), m.group().translate(_TO_LOWER)))
-    starts = np.array([t[0] for t in terms])
-    out = []
-    for kind, start, end in spans:
-        k = int(np.searchsorted(starts, start)) if len(terms) else 0
-        around = terms[max(0, k - reach) : k + reach]
-        context = int.from_bytes(hashlib.blake2b(" ".join(t[2] for t in around).encode(), digest_size=8).digest(), "big", signed=True)
-        entity = entity_of(kind, text[start:end])
-        out += [{"entity": entity, "term": t, "start": s, "end": e, "context": context} for s, e, t in around]
-    return out
+def _terms(data: np.ndarray, limits: np.ndarray):
+    """(rows, starts, ends, hashes) of all terms; A-Z lower-cased, positions in bytes."""
+    folded = _FOLD[data]
+    starts, ends, rows = tb.word_spans(np.where(folded == 0, np.uint8(32), folded), limits)
+    return rows, starts, ends, tb.span_hashes(tb.prefix_hashes(folded), starts, ends)
+
 
+def _outside(data: np.ndarray, limits: np.ndarray, rows, starts, ends, spans: list[list[tuple[str, int, int]]]):
+    """(outside of all spans of its row, start, end) of each term, in code points of its row."""
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    first = chars[limits]
+    cover = np.zeros(int(chars[-1]) + 1, dtype=np.int32)
+    for k, own in enumerate(spans):
+        for _, s, e in own:
+            cover[first[k] + s] += 1
+            cover[first[k] + e] -= 1
+    taken = np.concatenate([[0], np.cumsum(np.cumsum(cover) > 0)])
+    s, e = chars[starts], chars[ends]
+    return taken[e] == taken[s], s - first[rows], e - first[rows]
+
+
+def _parts(column: pa.Array, most: int = 2_000_000):
+    data, limits = tb.string_buffers(column)
+    for low, high in tb.row_chunks(limits, most):
+        yield low, high, data[limits[low] : limits[high]], limits[low : high + 1] - limits[low]
 
-_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.int64())]))
 
+def _distinct(rows: np.ndarray, h: np.ndarray):
+    """(rows, hashes) without repeats, by row."""
+    order = np.lexsort((h, rows))
+    rows, h = rows[order], h[order]
+    fresh = np.ones(len(h), dtype=bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
+    return rows[fresh], h[fresh]
 
-def find_base(docs: DataFrame, reach: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, version, n_email, n_ip, n_card, n_phone, base string, near array) for every row."""
+
+def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, version, n_email, n_ip, n_card, n_phone, base string, entities array, terms array) for every row.
+
+    ``terms`` has the hashes of a row's distinct terms outside of its spans, if it has an entity.
+    """
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("version"))
 
     def run(batches):
         for batch in batches:
-            counts, bases, near = {k: [] for k in KINDS}, [], []
+            counts, bases, found, terms = {k: [] for k in KINDS}, [], [], []
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text or "")
                 for kind in KINDS:
                     counts[kind].append(sum(s[0] == kind for s in spans))
                 bases.append(",".join(f"{k}:{s}:{e}" for k, s, e in spans))
-                near.append(near_terms(text, spans, reach) if spans else [])
-            columns = [batch.column("doc"), batch.column("version"), *[pa.array(counts[k], pa.int64()) for k in KINDS], pa.array(bases, pa.string()), pa.array(near, _NEAR)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "version", *[f"n_{k}" for k in KINDS], "base", "near"])
+                found.append(spans)
+            entities = [sorted({entity_of(k, text[s:e]) for k, s, e in spans}) for text, spans in zip(batch.column("text").to_pylist(), found, strict=True)]
+            has = np.flatnonzero([len(x) > 0 for x in found])
+            sizes = np.zeros(batch.num_rows, dtype=np.int64)
+            for low, high, data, limits in _parts(batch.column("text").take(pa.array(has))):
+                r, starts, ends, h = _terms(data, limits)
+                free, _, _ = _outside(data, limits, r, starts, ends, [found[k] for k in has[low:high]])
+                r, h = _distinct(r[free], h[free])
+                sizes[has[low:high]] = np.bincount(r, minlength=high - low)
+                terms.append(h.view(np.int64))
+            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *terms])))
+            columns = [batch.column("doc"), batch.column("version"), *[pa.array(counts[k], pa.int64()) for k in KINDS], pa.array(bases, pa.string()), pa.array(entities, pa.list_(pa.string())), listed]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "version", *[f"n_{k}" for k in KINDS], "base", "entities", "terms"])
 
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc {kind}, version long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:string,term:string,start:int,end:int,context:long>>")
-
-
-def term_hash(terms: list[str]) -> np.ndarray:
-    column = pa.array(terms, pa.string())
-    data, limits = tb.string_buffers(column)
-    return tb.span_hashes(tb.prefix_hashes(data), limits[:-1], limits[1:]).view(np.int64)
+    return rows.mapInArrow(run, f"doc {kind}, version long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<string>, terms array<long>")
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -161,18 +180,10 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            data, limits = tb.string_buffers(batch.column("text"))
             hashes, counts = [], []
-            for low, high in tb.row_chunks(limits, 8_000_000):
-                folded = _FOLD[data[limits[low] : limits[high]]]
-                spaced = np.where(folded == 0, np.uint8(32), folded)
-                starts, ends, rows = tb.word_spans(spaced, limits[low : high + 1] - limits[low])
-                h = tb.span_hashes(tb.prefix_hashes(folded), starts, ends)
-                order = np.argsort(h, kind="stable")
-                h, rows = h[order], rows[order]
-                fresh = np.ones(len(h), dtype=bool)
-                fresh[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
-                found, n = np.unique(h[fresh], return_counts=True)
+            for _, _, data, limits in _parts(batch.column("text"), 8_000_000):
+                rows, _, _, h = _terms(data, limits)
+                found, n = np.unique(_distinct(rows, h)[1], return_counts=True)
                 hashes.append(found)
                 counts.append(n)
             if hashes:
@@ -184,36 +195,77 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.groupBy("term_hash").agg(F.sum("n_docs").alias("n_docs"))
 
 
-def _with_hash(terms: DataFrame) -> DataFrame:
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (tb.mix64(h.view(np.uint64)) >> np.uint64(64 - _MARKS)).astype(np.int64)
+
+
+def _bitmap(telling: DataFrame) -> np.ndarray:
+    """One bit for each slot that a telling term has; what has no bit is no telling term."""
+
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(term_hash(batch.column("term").to_pylist()))], ["term", "term_hash"])
+            slot = _slots(batch.column("term_hash").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array((np.uint64(1) << (slot & 63).astype(np.uint64)).view(np.int64))], ["word", "bit"])
+
+    got = telling.select("term_hash").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(1 << (_MARKS - 6), dtype=np.int64)
+    words[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return words.view(np.uint64)
+
 
-    return terms.mapInArrow(run, "term string, term_hash long")
+def locate(docs: DataFrame, telling: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, version, start, end, action, bits): where telling terms (term_hash, action, bits) stand, outside of base spans, in all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(telling))
+    rows = docs.select(F.col(id_col).alias("doc"), text_hash(F.col(text_col)).alias("version"), F.col(text_col).alias("text"))
+
+    def run(batches):
+        words = shared.value
+        for batch in batches:
+            for low, high, data, limits in _parts(batch.column("text")):
+                r, starts, ends, h = _terms(data, limits)
+                slot = _slots(h)
+                hit = words[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1) == 1
+                r, starts, ends, h = r[hit], starts[hit], ends[hit], h[hit]
+                if not len(r):
+                    continue
+                spans: list[list] = [[] for _ in range(high - low)]
+                for k in np.unique(r).tolist():
+                    spans[k] = base_spans(batch.column("text")[low + k].as_py())
+                free, s, e = _outside(data, limits, r, starts, ends, spans)
+                at = pa.array(low + r[free])
+                yield pa.RecordBatch.from_arrays([batch.column("doc").take(at), batch.column("version").take(at), pa.array(h[free].view(np.int64)), pa.array(s[free].astype(np.int32)), pa.array(e[free].astype(np.int32))], ["doc", "version", "term_hash", "start", "end"])
+
+    kind = rows.schema["doc"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc {kind}, version long, term_hash long, start int, end int").join(telling, "term_hash").drop("term_hash")
 
 
-def find(docs: DataFrame, reach: int = 8, min_contexts: int = 3, min_share: float = 0.5, min_bits: float = 4.0, remove_share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, min_contexts: int = 3, min_share: float = 0.5, min_bits: float = 4.0, remove_share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, version, counts, base, added array<struct<start,end,action,bits>>) for every row of ``docs``.
 
-    ``added`` holds the terms near a base span that disclose its entity:
-    action "remove" from a share of ``remove_share`` on, else "generalise".
+    ``added`` holds all terms that disclose an entity of the corpus: action
+    "remove" from a share of ``remove_share`` on, else "generalise".
+    ``min_contexts`` is the number of different texts that show a pair.
     """
-    found = written(find_base(docs, reach, id_col, text_col), "pii")
-    near = found.where(F.size("near") > 0).select("doc", "version", F.inline("near"))
-    contexts = near.groupBy("term", "entity", "context").agg(F.count("*").alias("rows"))
-    pairs = contexts.groupBy("term", "entity").agg(F.count("*").alias("n_contexts")).where(F.col("n_contexts") >= min_contexts)
-    at_doc = near.select("term", "entity", "doc", "version").distinct()
-    joint = at_doc.join(pairs, ["term", "entity"]).groupBy("term", "entity").agg(F.count("*").alias("joint"))
-    entity_docs = near.select("entity", "doc", "version").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = F.greatest(F.lit(1), F.lit(found.count()))
-    wanted = _with_hash(joint.select("term").distinct())
-    frequency = wanted.join(document_frequencies(docs, text_col), "term_hash")
-    scored = joint.join(frequency, "term").join(entity_docs, "entity").withColumn("share", F.least(F.lit(1.0), F.col("joint") / F.col("n_docs"))).withColumn("bits", F.log2(F.col("share") / (F.col("n_entity") / total)))
-    telling = scored.where((F.col("share") >= min_share) & (F.col("bits") >= min_bits)).select("term", "entity", "share", "bits")
-    spans = near.join(telling, ["term", "entity"]).select("doc", "version", "start", "end", F.when(F.col("share") >= remove_share, "remove").otherwise("generalise").alias("action"), "bits").groupBy("doc", "version", "start", "end").agg(F.max("action").alias("action"), F.max("bits").alias("bits"))
+    small_batches(docs.sparkSession)
+    found = written(find_base(docs, id_col, text_col), "pii")
+    frequency = written(document_frequencies(docs, text_col), "terms")
+    total = max(1, found.count())
+    held = found.where(F.size("entities") > 0).select("version", F.transform("entities", lambda x: F.xxhash64(x)).alias("entities"), "terms")
+    of_entity = written(held.select("version", F.explode("entities").alias("entity")).groupBy("entity", "version").agg(F.count("*").alias("rows")).groupBy("entity").agg(F.sum("rows").alias("n_entity"), F.count("*").alias("n_texts")), "entities")
+    # A term in more documents than this is below the share with every entity.
+    most = (of_entity.agg(F.max("n_entity")).first()[0] or 0) / max(min_share, 1e-9)
+    wide = frequency.where((F.col("n_docs") > most) & (F.col("n_docs") * _WIDE > total)).select("term_hash")
+    pairs = held.select("version", "entities", F.explode("terms").alias("term_hash")).join(F.broadcast(wide), "term_hash", "left_anti").select("version", "term_hash", F.explode("entities").alias("entity"))
+    texts = pairs.groupBy("term_hash", "entity", "version").agg(F.count("*").alias("rows"))
+    joint = texts.groupBy("term_hash", "entity").agg(F.sum("rows").alias("joint"), F.count("*").alias("n_contexts"))
+    enough = joint.where(F.col("n_contexts") >= min_contexts)
+    scored = enough.join(frequency, "term_hash").join(of_entity, "entity").withColumn("share", F.least(F.lit(1.0), F.col("joint") / F.col("n_docs"))).withColumn("bits", F.log2(F.col("share") / (F.col("n_entity") / total)))
+    disclosing = scored.where((F.col("share") >= min_share) & (F.col("bits") >= min_bits))
+    telling = written(disclosing.groupBy("term_hash").agg(F.max(F.when(F.col("share") >= remove_share, "remove").otherwise("generalise")).alias("action"), F.max("bits").alias("bits")), "telling")
+    spans = locate(docs, telling, id_col, text_col).groupBy("doc", "version", "start", "end").agg(F.max("action").alias("action"), F.max("bits").alias("bits"))
     per_doc = spans.groupBy("doc", "version").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action", "bits"))).alias("added"))
     right = per_doc.withColumnRenamed("doc", "d").withColumnRenamed("version", "v")
-    return found.drop("near").join(right, F.col("doc").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left").drop("d", "v")
+    return found.drop("entities", "terms").join(right, F.col("doc").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left").drop("d", "v")
 
 
 def sanitise(text: str | None, base: str, added: list | None) -> str:

@@ -268,6 +268,16 @@ def test_pii_disclosing_terms(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_pii_terms_far_away_and_in_other_documents(spark):
+    far = " ".join(f"plain{k}" for k in range(30))
+    rows = [(k, f"Zanzibarius é wrote {far} variant{k} to bob@x.org zanzibarius@x.org") for k in range(6)]
+    rows += [(50, f"here {far} is zanzibarius again")] + [(100 + k, f"{far} to wrote here is again {k}") for k in range(60)]
+    got = {r.doc: (r.added or []) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), min_bits=1.0).collect()}
+    cut = lambda k: [dict(rows)[k][x["start"] : x["end"]].lower() for x in got[k]]
+    assert all(cut(k).count("zanzibarius") == 1 for k in (0, 1, 2, 3, 4, 5, 50))
+    assert not got[100] and "plain3" not in cut(0)
+
+
 # Search.
 
 
