@@ -4,9 +4,9 @@ Base spans (e-mail, IP, card, phone) come from fixed patterns. The corpus then
 says how strongly each term of a document with such a span reveals it: for term
 t and entity e, P(e|t) is the share of t's documents that hold e, and
 log2(P(e|t) / P(e)) the information that t discloses. A pair that is seen in
-enough different texts and exceeds the disclosure thresholds adds spans
-wherever its term stands, in all documents: terms that disclose most are
-removed, the others generalised.
+enough different texts, or in all texts of an entity that has fewer, and
+exceeds the disclosure thresholds adds spans wherever its term stands, in all
+documents: terms that disclose most are removed, the others generalised.
 
 Defined results: null text counts as empty and has no spans; rows with the
 same id and text share their added spans; an empty table gives no rows; copies
@@ -244,7 +244,8 @@ def find(docs: DataFrame, min_contexts: int = 3, min_share: float = 0.5, min_bit
 
     ``added`` holds all terms that disclose an entity of the corpus: action
     "remove" from a share of ``remove_share`` on, else "generalise".
-    ``min_contexts`` is the number of different texts that show a pair.
+    ``min_contexts`` is the number of different texts that show a pair; for an
+    entity in fewer texts, all of them do.
     """
     small_batches(docs.sparkSession)
     found = written(find_base(docs, id_col, text_col), "pii")
@@ -258,8 +259,8 @@ def find(docs: DataFrame, min_contexts: int = 3, min_share: float = 0.5, min_bit
     pairs = held.select("version", "entities", F.explode("terms").alias("term_hash")).join(F.broadcast(wide), "term_hash", "left_anti").select("version", "term_hash", F.explode("entities").alias("entity"))
     texts = pairs.groupBy("term_hash", "entity", "version").agg(F.count("*").alias("rows"))
     joint = texts.groupBy("term_hash", "entity").agg(F.sum("rows").alias("joint"), F.count("*").alias("n_contexts"))
-    enough = joint.where(F.col("n_contexts") >= min_contexts)
-    scored = enough.join(frequency, "term_hash").join(of_entity, "entity").withColumn("share", F.least(F.lit(1.0), F.col("joint") / F.col("n_docs"))).withColumn("bits", F.log2(F.col("share") / (F.col("n_entity") / total)))
+    enough = joint.join(of_entity, "entity").where(F.col("n_contexts") >= F.least(F.lit(min_contexts), "n_texts"))
+    scored = enough.join(frequency, "term_hash").withColumn("share", F.least(F.lit(1.0), F.col("joint") / F.col("n_docs"))).withColumn("bits", F.log2(F.col("share") / (F.col("n_entity") / total)))
     disclosing = scored.where((F.col("share") >= min_share) & (F.col("bits") >= min_bits))
     telling = written(disclosing.groupBy("term_hash").agg(F.max(F.when(F.col("share") >= remove_share, "remove").otherwise("generalise")).alias("action"), F.max("bits").alias("bits")), "telling")
     spans = locate(docs, telling, id_col, text_col).groupBy("doc", "version", "start", "end").agg(F.max("action").alias("action"), F.max("bits").alias("bits"))

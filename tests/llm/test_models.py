@@ -278,6 +278,17 @@ def test_pii_terms_far_away_and_in_other_documents(spark):
     assert not got[100] and "plain3" not in cut(0)
 
 
+def test_pii_evidence_is_texts_and_rare_entities_count(spark):
+    footer = "for all questions please contact our office jane roequist jane@x.org any day of the week from nine on"
+    rows = [(k, f"{' '.join(f'body{k}n{j}' for j in range(12))} {footer}") for k in range(5)]
+    rows += [(20, "a letter of Quillfeather about items to lonely@x.org with thanks")]
+    rows += [(100 + k, f"for all questions please contact our office any day of the week from nine on a letter of about items to with thanks {k}") for k in range(60)]
+    got = {r.doc: (r.added or []) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), min_bits=1.0).collect()}
+    cut = lambda k: [dict(rows)[k][x["start"] : x["end"]] for x in got[k]]
+    assert all({"jane", "roequist"} <= set(cut(k)) and "office" not in cut(k) for k in range(5))
+    assert cut(20) == ["Quillfeather"] and not got[100]
+
+
 # Search.
 
 
