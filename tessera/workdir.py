@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``.
+    """Folder named by ``spark.checkpoint.dir``; it becomes the context's checkpoint folder.
 
-    Only where that setting is absent (one machine, as in tests) a fresh local
-    folder is made; in either case it is the context's checkpoint folder.
+    Where that setting is absent and everything runs in one JVM (master
+    ``local``, as in tests) a fresh local folder is made. On a cluster executors
+    would write to disks of their own, so its absence is an error there.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_tessera_dir", None)
     if not named:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: with master {sc.master!r} it must name a folder that driver and executors share")
         named = sc._tessera_dir = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="tessera-"))
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
