@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, cotraining, linededup, minhash, mixing, pii, quality_rules, suffix, topk, toxicity
+from tessera.llm.storage import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +15,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document and its size; ``stays`` marks a class's first member."""
+    small_batches(spark)
     found = minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("doc").alias("doc_id"), F.col("class_doc").alias("class_id"), "class_size", "stays")
 
@@ -40,10 +43,17 @@ def op5_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of base spans, and all spans, of every document; n_spans counts them all."""
+    small_batches(spark)
     found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    more = F.transform(F.coalesce("added", F.array()), lambda x: F.concat_ws(":", F.lit("term"), x["start"].cast("string"), x["end"].cast("string")))
-    spans = F.concat_ws(",", F.nullif("base", F.lit("")), F.nullif(F.array_join(more, ","), F.lit("")))
-    return found.select(F.col("doc").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))
+    listed = lambda name, spans: F.transform(spans, lambda x: F.concat_ws(":", F.lit(name), x["start"].cast("string"), x["end"].cast("string")))
+    terms = F.coalesce("added", F.array())
+    more = F.array_join(F.concat(listed("secret", F.col("secrets")), listed("term", terms)), ",")
+    spans = F.concat_ws(",", F.nullif("base", F.lit("")), F.nullif(more, F.lit("")))
+    size = lambda x: F.size(x).cast("long")
+    n_base = F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone")
+    digest = F.sha2("base", 256).alias("base_sha256")
+    return found.select(F.col("doc").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", digest, spans.alias("spans"), size("secrets").alias("n_secret"), size(terms).alias("n_terms"), (n_base + size("secrets") + size(terms)).alias("n_spans"))
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

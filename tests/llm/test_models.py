@@ -256,7 +256,7 @@ def test_pii_disclosing_terms(spark):
     rows = [(k, f"call zanzibarius{k % 2} about item {k} at bob@x.org thanks{k} and more words {k * 7}") for k in range(8)]
     rows += [(100 + k, f"call about item {k} and more words thanks") for k in range(40)] + [(200, None), (201, ""), (1, rows[1][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("x", "y")
-    got = pii.find(df, min_bits=1.0).collect()
+    got = pii.find(df, min_bits=1.0, chance_bits=0.0).collect()
     assert len(got) == len(rows)
     by = {r.doc: r for r in got}
     text = rows[0][1]
@@ -272,7 +272,7 @@ def test_pii_terms_far_away_and_in_other_documents(spark):
     far = " ".join(f"plain{k}" for k in range(30))
     rows = [(k, f"Zanzibarius é wrote {far} variant{k} to bob@x.org zanzibarius@x.org") for k in range(6)]
     rows += [(50, f"here {far} is zanzibarius again")] + [(100 + k, f"{far} to wrote here is again {k}") for k in range(60)]
-    got = {r.doc: (r.added or []) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), min_bits=1.0).collect()}
+    got = {r.doc: (r.added or []) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), min_bits=1.0, chance_bits=0.0).collect()}
     cut = lambda k: [dict(rows)[k][x["start"] : x["end"]].lower() for x in got[k]]
     assert all(cut(k).count("zanzibarius") == 1 for k in (0, 1, 2, 3, 4, 5, 50))
     assert not got[100] and "plain3" not in cut(0)
@@ -281,12 +281,96 @@ def test_pii_terms_far_away_and_in_other_documents(spark):
 def test_pii_evidence_is_texts_and_rare_entities_count(spark):
     footer = "for all questions please contact our office jane roequist jane@x.org any day of the week from nine on"
     rows = [(k, f"{' '.join(f'body{k}n{j}' for j in range(12))} {footer}") for k in range(5)]
-    rows += [(20, "a letter of Quillfeather about items to lonely@x.org with thanks")]
+    rows += [(20 + k, f"a letter of Quillfeather about {k} items to lonely@x.org with thanks") for k in range(2)]
+    rows += [(30, "a letter of Onceseen about items to single@x.org with thanks")]
     rows += [(100 + k, f"for all questions please contact our office any day of the week from nine on a letter of about items to with thanks {k}") for k in range(60)]
-    got = {r.doc: (r.added or []) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), min_bits=1.0).collect()}
+    got = {r.doc: (r.added or []) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), min_bits=1.0, chance_bits=0.0).collect()}
     cut = lambda k: [dict(rows)[k][x["start"] : x["end"]] for x in got[k]]
     assert all({"jane", "roequist"} <= set(cut(k)) and "office" not in cut(k) for k in range(5))
-    assert cut(20) == ["Quillfeather"] and not got[100]
+    assert cut(20) == cut(21) == ["Quillfeather"]
+    assert not got[30] and not got[100]  # one text is no evidence: any of its words would do
+
+
+def brute_disclosing(rows, min_contexts, min_share, min_bits, chance_bits):
+    """Terms that disclose, by plain counting: over whole texts, for values and for kinds."""
+    docs, df = [], {}
+    for _, text in rows:
+        text = text or ""
+        spans = sum(pii.protected(text), [])
+        clear = {m.group() for m in re.finditer("[0-9a-z\x80-\U0010ffff]+", text.lower()) if not any(a < m.end() and m.start() < b for _, a, b in spans)}
+        for t in set(re.findall("[0-9a-z\x80-\U0010ffff]+", text.lower())):
+            df[t] = df.get(t, 0) + 1
+        values = {pii.entity_of(k, text[a:b]) for k, a, b in spans}
+        least = {}
+        for v in values:
+            least.setdefault(v.split(":")[0], set()).add(v)
+        docs.append((text, clear, values, least))
+    out = set()
+    entities = {v for *_, values, _ in docs for v in values} | {("any", k) for *_, least in docs for k in least}
+    for e in entities:
+        holds = [d for d in docs if (e[1] in d[3] if isinstance(e, tuple) else e in d[2])]
+        prior = len(holds) / len(rows)
+        for t in set().union(*[d[1] for d in holds]):
+            own = [d for d in holds if t in d[1]]
+            groups = len({frozenset(d[3][e[1]]) if isinstance(e, tuple) else d[0] for d in own})
+            share = min(1.0, len(own) / df[t])
+            bits = np.log2(share / prior)
+            kl = share * bits + ((1 - share) * np.log2((1 - share) / (1 - prior)) if share < 1 else 0)
+            if groups >= min_contexts and share >= min_share and bits >= min_bits and groups / share * kl >= np.log2(len(df)) + chance_bits:
+                out.add(t)
+    return out
+
+
+def test_pii_disclosure_equals_brute_force(spark):
+    r = random.Random(8)
+    names = ["ada", "brüno", "cleo", "dana"]
+    rows = []
+    for k in range(160):
+        w = [f"w{r.randrange(60)}" for _ in range(25)]
+        if k % 8 == 0:
+            who = r.choice(names)
+            w[r.randrange(12)] = who.upper() if k % 3 else who
+            w[r.randrange(13, 25)] = f"{who}@mail.org"
+        if k % 10 == 3:
+            w[5], w[6] = "passkey", "".join(r.choice("0123456789abcdef") for _ in range(40))
+        if k % 13 == 5:
+            w[9], w[10] = "host", f"10.{k}.0.7"
+        rows.append((k, " ".join(w)))
+    rows += [(r.randrange(160), rows[8][1]), (1000, None), (1001, ""), (1002, "ada alone")]
+    limits = dict(min_contexts=2, min_share=0.5, min_bits=2.0, chance_bits=1.0)
+    want = brute_disclosing(rows, **limits)
+    assert {"passkey", "host"} <= want and want & set(names)
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), **limits).collect()
+    texts = {}
+    for doc, text in rows:
+        texts.setdefault(doc, []).append(text or "")
+    found = {}
+    for x in got:
+        own = [t for t in texts[x.doc] if len(t) >= max([s["end"] for s in x.added or []], default=0)]
+        for s in x.added or []:
+            for t in own:
+                found.setdefault(x.doc, set()).add((s["start"], s["end"]))
+    for doc, options in texts.items():
+        if len(options) == 1:
+            spans = sum(pii.protected(options[0]), [])
+            hits = {(m.start(), m.end()) for m in re.finditer("[0-9a-z\x80-\U0010ffff]+", options[0].lower()) if m.group() in want and not any(a < m.end() and m.start() < b for _, a, b in spans)}
+            assert found.get(doc, set()) == hits
+
+
+def test_pii_leaves_clean_documents_alone(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    got = pii.find(docs).toPandas()
+    held = (got.n_email + got.n_ip + got.n_card + got.n_phone + got.secrets.map(len)) > 0
+    assert held.any() and got.added.map(lambda x: x is not None and len(x) > 0)[~held].sum() <= 0.001 * len(got)
+
+
+def test_pii_odd_rows(spark):
+    secret = "a1b2c3d4e5f6a7b8c9d0e1f2"
+    df = spark.createDataFrame([(None, f"key {secret} at a@b.cd", "p", 1), (None, None, None, 2), (7, f"key {secret} at a@b.cd", "q", 3), (8, "x" * 300_000 + f" {secret}9", None, 4)], "doc_id long, text string, base string, start long")
+    got = pii.find(df).collect()
+    assert sorted(len(x.secrets) for x in got) == [0, 1, 1, 1] and {len(x.base) for x in got} == {0, len("email:32:38")}
+    assert pii.sanitise(f"key {secret} at a@b.cd", "email:32:38", [], [{"start": 4, "end": 28}]) == "key [SECRET] at [EMAIL]"
+    assert pii.secret_spans("a" * 400_000 + "1", []) == [] and pii.find(df.limit(0)).count() == 0
 
 
 # Search.
