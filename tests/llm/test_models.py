@@ -401,16 +401,50 @@ def test_topk_equals_brute_force(spark, part):
     assert topk.search(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
-def test_topk_prunes_and_stays_exact():
+def brute_part(x, ids, q, q_ids, k=5):
+    full = (q @ x.T).astype(np.int64)
+    full[q_ids[:, None] == ids[None, :]] = topk._EMPTY
+    order = np.lexsort((np.broadcast_to(ids, full.shape), ~full), axis=1)[:, :k]
+    return np.take_along_axis(full, order, 1), ids[order]
+
+
+def test_topk_prunes_blocks_and_stays_exact():
     r = np.random.default_rng(2)
     x = np.floor(256 * np.repeat(r.normal(size=(16, 12)) * 3, 64, axis=0) + r.normal(size=(1024, 12)) * 8)
-    part = topk.Part(np.arange(1024), x, 64)
+    part, ids = topk.Part(np.arange(1024), x, 64), np.arange(1024)
     q = x[::100]
-    scores, ids = part.search(np.arange(0, 1024, 100), q, np.full(len(q), topk._EMPTY), 5)
-    full = (q @ x.T).astype(np.int64)
-    full[np.arange(len(q)), np.arange(0, 1024, 100)] = topk._EMPTY
-    assert (np.sort(full, axis=1)[:, ::-1][:, :5] == scores).all()
-    assert part.scored < 0.7 * q.shape[0] * 1024
+    scores, found = part.search(ids[::100], q, np.full(len(q), topk._EMPTY), 5)
+    want = brute_part(x, ids, q, ids[::100])
+    assert (scores == want[0]).all() and (found == want[1]).all()
+    assert part.opened < 0.7 * q.shape[0] * 1024
+
+
+def test_topk_prunes_rows_of_the_real_table(spark, sf):
+    rows = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x = np.floor(256 * np.stack(rows.embedding.to_numpy()).astype(np.float64))
+    ids = rows.vec_id.to_numpy()
+    part = topk.Part(ids, x)
+    asked = ids % 50 == 0
+    scores, found = part.search(ids[asked], x[asked], np.full(asked.sum(), topk._EMPTY), 5)
+    want = brute_part(x, ids, x[asked], ids[asked])
+    assert (scores == want[0]).all() and (found == want[1]).all()
+    assert part.scored < 0.6 * asked.sum() * len(ids)
+
+
+@pytest.mark.parametrize("spans", [1024, 3])
+def test_topk_sends_chunks_only_where_a_floor_can_be_met(spark, monkeypatch, spans):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(6)
+    x = np.repeat(r.normal(size=(10, 8)) * 4, 60, axis=0) + r.normal(size=(600, 8)) * 0.05
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1000, [1.0, 2.0]), (1050, [9.0] * 11)]
+    monkeypatch.setattr(topk, "SPANS", spans)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for v in topk.search(df, F.col("id") % 50 == 0, part_rows=50).collect():
+        got.setdefault(v.query_id, []).append((v["rank"], v.vec_id, v.score))
+    wide = [(i, list(v) + [0.0] * (11 - len(v))) for i, v in rows]
+    assert {q: sorted(v) for q, v in got.items()} == brute_topk(wide)
 
 
 def test_topk_huge_values_are_exact():
