@@ -75,28 +75,31 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every document without the lines that stand in ten documents (rows) or more."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     bitmaps = linededup.keep_bitmaps(docs, min_docs=10, min_chars=1)
     return linededup.drop_lines(docs, bitmaps).select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 OP8_SQL = """
-WITH lines AS (
-    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-    FROM documents
+WITH numbered AS (
+    SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents
+), lines AS (
+    SELECT doc, doc_id, unnest(string_split(text, chr(10))) AS line,
+           generate_subscripts(string_split(text, chr(10)), 1) AS pos
+    FROM numbered
 ), keyed AS (
-    SELECT doc_id, pos, line,
+    SELECT doc, doc_id, pos, line,
            translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
     FROM lines
 ), frequent AS (
-    SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+    SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc) >= 10
 )
-SELECT k.doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+SELECT any_value(k.doc_id) AS doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(CASE WHEN f.key IS NULL THEN k.line END, chr(10) ORDER BY k.pos), '')) AS kept_sha256
 FROM keyed k LEFT JOIN frequent f ON k.key = f.key
-GROUP BY k.doc_id
+GROUP BY k.doc
 """
 
 

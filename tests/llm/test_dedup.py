@@ -107,6 +107,31 @@ def test_lines_odd_rows(spark):
     assert "Python" not in out._jdf.queryExecution().toString() and "Arrow" not in out._jdf.queryExecution().toString()
 
 
+def test_lines_of_repeated_ids_and_sql(spark, tmp_path):
+    from tessera.llm import entry
+    from tests.duck import same
+
+    rows = [(1, "said twelve times\nown")] * 12 + [(None, "without an id")] * 11 + [(k, "nine times only") for k in range(20, 29)] + [(40, None), (41, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = entry.op8_line_dedup(spark, str(tmp_path))
+    same(found, con.execute(entry.OP8_SQL).df())
+    assert sorted(x.n_dropped for x in found.collect()) == [0] * 11 + [1] * 11 + [2] * 12
+
+
+def test_lines_of_a_very_long_text(spark):
+    lines = [f"line {k}" for k in range(200_000)]
+    for k in (5, 70_000, 199_999):
+        lines[k] = " SHARED "
+    rows = [(0, "\n".join(lines)), *[(k, "shared") for k in range(1, 12)]]
+    got = {x.doc_id: x for x in linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), linededup.keep_bitmaps(spark.createDataFrame(rows, "doc_id long, text string"))).select("row.doc_id", "n_lines", "n_dropped", "kept").collect()}
+    assert (got[0].n_lines, got[0].n_dropped) == (200_000, 3)
+    assert got[0].kept == "\n".join(x for x in lines if x != " SHARED ")
+
+
 # Near duplicates.
 
 
