@@ -109,7 +109,33 @@ def test_fit_counts_is_best(spark):
         sums = {0}
         for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
             sums = {s + n * k for s in sums for k in range(c + 1)}
-        assert int((taken * lengths).sum()) == max(s for s in sums if s <= max(budget, 0))
+        assert int((taken * lengths).sum()) == min(sums, key=lambda s: (abs(s - max(budget, 0)), s))
+
+
+def test_fit_counts_with_one_long_document():
+    lengths, counts = np.array([1, 2, 3, 10_000_000]), np.array([50_000, 50_000, 50_000, 1])
+    taken = mixing.fit_counts(lengths, counts, 9_785_000, 1, 20_000)
+    assert taken.tolist() == [0, 0, 0, 1]
+    few = mixing.fit_counts(np.array([100, 1000]), np.array([1, 1]), 500, 1, 20_000, 3)
+    assert few.tolist() == [3, 0]
+    dense = mixing.fit_counts(np.arange(1, 3000), np.full(2999, 3), 6_000_123, 1, 20_000)
+    assert int((dense * np.arange(1, 3000)).sum()) == 6_000_123
+
+
+def test_mix_with_many_sources_and_odd_rows(spark):
+    rows = [(k, "w " * (k % 7 + 1), f"host{k % 300}", k) for k in range(900)] + [(None, "w w", None, 1), (None, "w w", None, 1), (5, None, "empty", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long").repartition(6)
+    sizes = {}
+    for _, x, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + len((x or "").split())
+    want = brute_targets(sizes)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for x in got:
+        by.setdefault(round(x.target, 6), 0)
+    assert set(by) == {round(v, 6) for v in want.values()}
+    assert abs(sum(x.size * x.times for x in got) - sum(sizes.values())) <= 301 * 2
 
 
 # Quality rules.
