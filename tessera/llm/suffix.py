@@ -2,21 +2,25 @@
 
 Every 100-byte string of the corpus has an anchor, the least hashed 40-byte
 gram in it; equal strings have equal anchors. Consecutive strings with one
-anchor form a piece of text. Pieces whose anchor occurs once cannot hold a
-repeated string. The others meet by anchor, where identical pieces are first
-folded into their earliest occurrence (also before they are shuffled, which
-keeps hot passages small). Over the different pieces of an anchor a
-Burrows-Wheeler transform is made, and common prefixes of neighbouring suffixes
-are derived by increasing value: starting from the empty string, intervals are
-extended backward breadth-first, each right border is given the length at which
-it first appears, and the expansion stops at the minimum length. Borders that
-are still open join suffixes with an equal prefix of that length; of such a
-class all strings but the earliest are removed.
+anchor form a piece of text, cut at ``MOST_STRINGS``. Pieces whose anchor occurs
+once cannot hold a repeated string. The others meet by anchor, where identical
+pieces are first folded into their earliest occurrence (also before they are
+shuffled, which keeps hot passages small). Over the different pieces of an
+anchor a Burrows-Wheeler transform is made, and common prefixes of neighbouring
+suffixes are derived by increasing value: starting from the empty string,
+intervals are extended backward breadth-first, each right border is given the
+length at which it first appears, and the expansion stops at the minimum
+length. Borders that are still open join suffixes with an equal prefix of that
+length; of such a class all strings but the earliest are removed. An anchor
+with more than ``HOT_BYTES`` of different pieces is dealt string by string, by
+the string's own hash, so that no task holds it all.
 
 Defined results: null text is empty; documents are ordered by id, null last,
 then by the text's hash; rows that repeat id and text are one document, and
 each shows its result; texts shorter than the minimum lose nothing; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; other columns, whatever their names, are ignored; a text
+of any length is read in overlapping segments, and one that repeats itself
+keeps the first occurrence of each string.
 """
 
 from __future__ import annotations
@@ -35,17 +39,25 @@ from tessera.llm.storage import remove_table, write_table, written
 GRAM = 40
 _LOW = np.uint64(0xFFFFFFFF)
 _BWT_SYMBOLS = 1_500_000
+MOST_STRINGS = 2048  # strings in a piece
+HOT_BYTES = 2_000_000  # different pieces of an anchor that one task takes
+SEGMENT = 1_000_000
+_FLUSH = 50_000  # pieces that a worker holds before it hands them on
 
 
 def anchor_runs(data: np.ndarray, limits: np.ndarray, length: int):
-    """(first string start, number of strings, row, anchor hash) of each piece, in order of place."""
+    """(first string start, number of strings, row, anchor hash, piece hash, anchor moves) of each piece, in order of place.
+
+    Where the anchor's gram stands at several places, strings of one piece may be equal.
+    """
     none = np.zeros(0, np.int64)
     n = len(data)
     if n < length:
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
     m = n - GRAM + 1
     at = np.arange(m)
-    g = tb.span_hashes(tb.prefix_hashes(data), at, at + GRAM)
+    prefix = tb.prefix_hashes(data)
+    g = tb.span_hashes(prefix, at, at + GRAM)
     low = (g & ~_LOW) | at.astype(np.uint64)
     width, reach = length - GRAM + 1, 1
     while reach * 2 <= width:
@@ -57,22 +69,40 @@ def anchor_runs(data: np.ndarray, limits: np.ndarray, length: int):
     rows = np.flatnonzero(sizes >= length)
     per_row = sizes[rows] - length + 1
     if not len(rows):
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
     total = int(per_row.sum())
     first = np.cumsum(per_row) - per_row
     starts = np.arange(total) + np.repeat(limits[rows] - first, per_row)
-    anchors = (low[starts] & _LOW).astype(np.int64)
+    spot = (low[starts] & _LOW).astype(np.int64)
+    anchor = g[spot]
     head = np.ones(total, dtype=bool)
-    head[1:] = anchors[1:] != anchors[:-1]
+    head[1:] = anchor[1:] != anchor[:-1]
     head[first] = True
     runs = np.flatnonzero(head)
-    return starts[runs], np.diff(np.append(runs, total)), np.repeat(rows, per_row)[runs], g[anchors[runs]]
+    size = np.diff(np.append(runs, total))
+    if len(size) and size.max() > MOST_STRINGS:  # a text of one period of up to 60 bytes is one run
+        head |= (np.arange(total) - np.repeat(runs, size)) % MOST_STRINGS == 0
+        runs = np.flatnonzero(head)
+        size = np.diff(np.append(runs, total))
+    begin = starts[runs]
+    moved = np.append(False, spot[1:] != spot[:-1]) & ~head
+    return begin, size, np.repeat(rows, per_row)[runs], anchor[runs], tb.span_hashes(prefix, begin, begin + size + length - 1), np.logical_or.reduceat(moved, runs)
+
 
+def _segments(column: pa.Array, length: int):
+    """(first row, row after the last, offset in the first row, data, limits) of parts of about ``SEGMENT`` bytes.
 
-def _chunks(column: pa.Array, most: int = 1_000_000):
+    A longer row comes in parts of its own that overlap, so that each string stands whole in one.
+    """
     data, limits = tb.string_buffers(column)
-    for low, high in tb.row_chunks(limits, most):
-        yield low, high, data[limits[low] : limits[high]], limits[low : high + 1] - limits[low]
+    for low, high in tb.row_chunks(limits, SEGMENT):
+        begin, end = int(limits[low]), int(limits[high])
+        if end - begin <= 2 * SEGMENT:
+            yield low, high, 0, data[begin:end], limits[low : high + 1] - begin
+            continue
+        for at in range(begin, end - length + 1, SEGMENT):
+            stop = min(at + SEGMENT + length - 1, end)
+            yield low, high, at - begin, data[at:stop], np.array([0, stop - at])
 
 
 def repeated_classes(pieces: list[bytes], starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,45 +189,65 @@ def closed_borders(bwt: np.ndarray, length: int) -> np.ndarray:
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(h, ref, here): each anchor once for each batch of rows, and with ``here`` each place where it repeats in the batch."""
+    """(h, ref, here, size): each anchor once for each batch of rows, and with ``here`` each place where it repeats in the batch.
+
+    ``size``, on one row of a batch's anchor, is the length of its different pieces there.
+    """
 
     def run(batches):
         for batch in batches:
-            refs, hs, rs = batch.column("ref").to_numpy(), [], []
-            for low, _, data, limits in _chunks(batch.column("text")):
-                _, _, row, h = anchor_runs(data, limits, length)
-                hs.append(h)
-                rs.append(row + low)
-            h, row = (np.concatenate(hs), np.concatenate(rs)) if hs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            order = np.argsort(h, kind="stable")
-            h, row = h[order], row[order]
+            refs, parts = batch.column("ref").to_numpy(), []
+            for low, _, _, data, limits in _segments(batch.column("text"), length):
+                _, n, row, h, w, moves = anchor_runs(data, limits, length)
+                parts.append((h, w, row + low, n + length - 1, moves))
+            if not parts:
+                continue
+            h, w, row, n, moves = (np.concatenate([p[k] for p in parts]) for k in range(5))
+            order = np.lexsort((w, h))
+            h, w, row, n, moves = h[order], w[order], row[order], n[order], moves[order]
             first = np.ones(len(h), dtype=bool)
             first[1:] = h[1:] != h[:-1]
-            again = ~first
+            fresh = first.copy()
+            fresh[1:] |= w[1:] != w[:-1]
+            heads = np.flatnonzero(first)
+            size = np.zeros(len(h), dtype=np.int64)
+            if len(h):
+                size[heads] = np.add.reduceat(np.where(fresh, n, 0), heads)
+            again = ~first | moves
             again[:-1] |= ~first[1:]
             # The first place stands for the batch; all places of a repeated anchor are known to repeat.
             for mask, here in ((first & ~again, False), (again, True)):
                 at = np.flatnonzero(mask)
-                if here:  # a document once for each of its repeated anchors; h is sorted, and rows within h
+                if here:  # a document once for each of its repeated anchors
+                    at = at[np.lexsort((-size[at], row[at], h[at]))]
                     at = at[np.append(True, (h[at][1:] != h[at][:-1]) | (row[at][1:] != row[at][:-1]))[: len(at)]]
                 at = at[np.argsort(row[at], kind="stable")]
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(refs[row[at]]), pa.array(np.full(len(at), here))], ["h", "ref", "here"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(refs[row[at]]), pa.array(np.full(len(at), here)), pa.array(size[at])], ["h", "ref", "here", "size"])
 
-    return docs.select("ref", "text").mapInArrow(run, "h long, ref long, here boolean")
+    return docs.select("ref", "text").mapInArrow(run, "h long, ref long, here boolean, size long")
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """(ref, h): anchors that occur twice or more, with the documents that hold them."""
-    here = rows.where("here").select("ref", "h")
-    known = here.select("h").distinct().select(F.col("h"), F.lit(None).cast("long").alias("ref"))
-    single = rows.where("not here").select("h", "ref").unionByName(known)
+    """(ref, h, hot): anchors that occur twice or more, with the documents that hold them.
+
+    A row without ``ref`` and with ``hot`` names an anchor with over ``HOT_BYTES`` of pieces.
+    """
+    here = rows.where("here").select("ref", "h", F.lit(False).alias("hot"))
+    known = rows.where("here").groupBy("h").agg(F.sum("size").alias("size")).select("h", F.lit(None).cast("long").alias("ref"), "size")
+    single = rows.where("not here").select("h", "ref", "size").unionByName(known)
     # One row for each batch at most, so no anchor is hot here.
     sorted_rows = single.repartition("h").sortWithinPartitions("h")
+    hot_bytes = HOT_BYTES
 
     def run(batches):
-        held_h, held_ref, open_run = None, None, False
+        held_h, held_ref, open_run, total = None, None, False, 0
+        out = lambda h, ref, hot: pa.RecordBatch.from_arrays([h, ref, hot], ["h", "ref", "hot"])
+
+        def named(hs: list[int]):
+            return out(pa.array(hs, pa.int64()), pa.nulls(len(hs), pa.int64()), pa.array([True] * len(hs), pa.bool_()))
+
         for batch in batches:
-            h, ref = batch.column("h").to_numpy(), batch.column("ref")
+            h, ref, size = batch.column("h").to_numpy(), batch.column("ref"), batch.column("size").to_numpy()
             if not len(h):
                 continue
             same = np.zeros(len(h) + 1, dtype=bool)
@@ -210,55 +260,91 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
             keep = np.flatnonzero(same[:-1] | same[1:])
             out_h.append(h[keep])
             out_ref.append(ref.take(pa.array(keep)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_h).astype(np.int64)), pa.concat_arrays(out_ref)], ["h", "ref"])
-            held_h, held_ref, open_run = int(h[-1]), ref[len(h) - 1].as_py(), bool(same[-2])
+            n = sum(map(len, out_h))
+            yield out(pa.array(np.concatenate(out_h).astype(np.int64)), pa.concat_arrays(out_ref), pa.array(np.zeros(n, dtype=bool)))
+            heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            sums = np.add.reduceat(size, heads)
+            hot = []
+            if same[0]:
+                sums[0] += total
+            elif total > hot_bytes:
+                hot.append(held_h)
+            hot += h[heads[:-1]][sums[:-1] > hot_bytes].tolist()
+            if hot:
+                yield named(hot)
+            held_h, held_ref, open_run, total = int(h[-1]), ref[len(h) - 1].as_py(), bool(same[-2]), int(sums[-1])
+        if total > hot_bytes:
+            yield named([held_h])
 
-    return sorted_rows.mapInArrow(run, "h long, ref long").where(F.col("ref").isNotNull()).select("ref", "h").unionByName(here)
+    return sorted_rows.mapInArrow(run, "h long, ref long, hot boolean").where("ref IS NOT NULL OR hot").select("ref", "h", "hot").unionByName(here)
 
 
-_PIECE = [("h", pa.int64()), ("doc", None), ("version", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("content", pa.binary())]
+_PIECE = [("h", pa.int64()), ("doc", None), ("version", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("content", pa.binary()), ("moves", pa.bool_())]
 
 
-def pieces_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(h, doc, version, start, n, content): pieces of repeated anchors; content null: known to be removed.
+def pieces_of(docs: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
+    """(h, doc, version, start, n, content, moves): pieces of repeated anchors; content null: known to be removed.
 
-    Of identical pieces in a batch only the earliest keeps its content.
+    Of identical pieces that are held at once only the earliest keeps its
+    content. Pieces of a hot anchor come as their strings, each under its own hash.
     """
-    joined = docs.join(wanted.groupBy("ref").agg(F.collect_list("h").alias("hs")).withColumnRenamed("ref", "r"), F.col("ref") == F.col("r")).select("doc", "version", "text", "hs")
+    hot = repeated.where("hot").select(F.col("h").alias("x")).distinct()
+    wanted = repeated.where("ref IS NOT NULL").join(hot, F.col("h") == F.col("x"), "left")
+    asked = wanted.groupBy("ref").agg(F.collect_list("h").alias("hs"), F.collect_list("x").alias("hots")).withColumnRenamed("ref", "r")
+    joined = docs.join(asked, F.col("ref") == F.col("r")).select("doc", "version", "text", "hs", "hots")
     kind = joined.schema["doc"].dataType.simpleString()
 
     def run(batches):
+        mark = lambda x, r: tb.mix64(x ^ tb.mix64(r.astype(np.uint64) + np.uint64(1)))
+
+        def among(h, row, lists: pa.Array):
+            values = np.asarray(lists.flatten(), dtype=np.int64).view(np.uint64)
+            counts = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+            return np.isin(mark(h, row), mark(values, np.repeat(np.arange(len(lists)), counts)))
+
         for batch in batches:
             docs_, versions = batch.column("doc").to_pylist(), batch.column("version").to_pylist()
-            wanted_lists = batch.column("hs")
-            rows: list[tuple] = []
-            seen: dict[bytes, int] = {}
-            for low, high, data, limits in _chunks(batch.column("text")):
-                start, n, row, h = anchor_runs(data, limits, length)
-                mark = lambda x, r: tb.mix64(x ^ tb.mix64(r.astype(np.uint64) + np.uint64(1)))
-                asked = wanted_lists.slice(low, high - low)
-                counts = np.diff(np.asarray(asked.offsets)).astype(np.int64)
-                values = np.asarray(asked.flatten(), dtype=np.int64).view(np.uint64)
-                ok = np.flatnonzero(np.isin(mark(h, row), mark(values, np.repeat(np.arange(high - low), counts))))
+            rows, gone, seen = [], [], {}
+
+            def drop(doc, version, start, n):
+                last = gone[-1] if gone else None  # noqa: B023
+                if last and last[1] == doc and last[2] == version and last[3] + last[4] == start:
+                    last[4] += n
+                else:
+                    gone.append([None, doc, version, start, n, None, False])  # noqa: B023
+
+            def add(mine):
+                other = seen.setdefault(mine[5], len(rows))  # noqa: B023
+                if other == len(rows):  # noqa: B023
+                    rows.append(mine)  # noqa: B023
+                    return
+                theirs = rows[other]  # noqa: B023
+                a, b = _place(mine), _place(theirs)
+                if a == b:
+                    return
+                if a < b:
+                    rows[other], mine = mine, theirs  # noqa: B023
+                drop(*mine[1:5])
+
+            for low, high, off, data, limits in _segments(batch.column("text"), length):
+                start, n, row, h, _, moves = anchor_runs(data, limits, length)
+                ok = np.flatnonzero(among(h, row, batch.column("hs").slice(low, high - low)))
+                hots = among(h[ok], row[ok], batch.column("hots").slice(low, high - low))
                 raw = data.tobytes()
-                for s, k, r, x in zip(start[ok].tolist(), n[ok].tolist(), row[ok].tolist(), h[ok].view(np.int64).tolist(), strict=True):
-                    content = raw[s : s + k + length - 1]
-                    doc, version = docs_[low + r], versions[low + r]
-                    mine = (x, doc, version, s - int(limits[r]), k, content)
-                    other = seen.setdefault(content, len(rows))
-                    if other == len(rows):
-                        rows.append(mine)
+                for s, k, r, x, apart, move in zip(start[ok].tolist(), n[ok].tolist(), row[ok].tolist(), h[ok].view(np.int64).tolist(), hots.tolist(), moves[ok].tolist(), strict=True):
+                    doc, version, at = docs_[low + r], versions[low + r], s - int(limits[r]) + off
+                    if not apart:
+                        add((x, doc, version, at, k, raw[s : s + k + length - 1], move))
                         continue
-                    theirs = rows[other]
-                    a, b = _place(mine), _place(theirs)
-                    if a == b:
-                        continue
-                    if a < b:
-                        rows[other], mine = mine, theirs
-                    rows.append((*mine[:5], None))
-            yield _piece_batch(rows, batch.schema.field("doc").type)
+                    for i in range(k):
+                        one = raw[s + i : s + i + length]
+                        add((int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "big", signed=True), doc, version, at + i, 1, one, False))
+                if len(rows) + len(gone) > _FLUSH:
+                    yield _piece_batch(rows + gone, batch.schema.field("doc").type)
+                    rows, gone, seen = [], [], {}
+            yield _piece_batch(rows + gone, batch.schema.field("doc").type)
 
-    return joined.mapInArrow(run, f"h long, doc {kind}, version long, start long, n long, content binary")
+    return joined.mapInArrow(run, f"h long, doc {kind}, version long, start long, n long, content binary, moves boolean")
 
 
 def _place(row: tuple) -> tuple:
@@ -266,7 +352,7 @@ def _place(row: tuple) -> tuple:
 
 
 def _piece_batch(rows: list[tuple], doc_type: pa.DataType) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 7
     return pa.RecordBatch.from_arrays([pa.array(x, t or doc_type) for x, (_, t) in zip(columns, _PIECE, strict=True)], [c for c, _ in _PIECE])
 
 
@@ -304,7 +390,7 @@ def removals(pieces: DataFrame, length: int) -> DataFrame:
 
         def close():
             nonlocal size
-            if len(held) > 1:
+            if len(held) > 1 or any(x[6] for x in held.values()):
                 groups.append(list(held.values()))
                 size += sum(len(c) + 1 for c in held)
 
@@ -317,7 +403,7 @@ def removals(pieces: DataFrame, length: int) -> DataFrame:
             h = batch.column("h").to_numpy()
             if len(h) > 1:  # an anchor with one piece left, all of it in this batch, needs no work
                 same = h[1:] == h[:-1]
-                busy = np.append(same, True) | np.append(True, same)
+                busy = np.append(same, True) | np.append(True, same) | batch.column("moves").to_numpy(zero_copy_only=False)
                 batch = batch.filter(pa.array(busy))
             for row in zip(*(batch.column(c).to_pylist() for c, _ in _PIECE), strict=True):
                 if row[0] != at:
@@ -366,7 +452,7 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
     doc, version = F.col(id_col), text_hash(F.col(text_col))
     table = docs.select(doc.alias("doc"), version.alias("version"), F.xxhash64(doc, version).alias("ref"), F.coalesce(text_col, F.lit("")).alias("text"))
     anchors = write_table(anchor_rows(table, length), "anchors")
-    wanted = written(repeated_anchors(docs.sparkSession.read.schema("h long, ref long, here boolean").parquet(anchors)), "repeated")
+    wanted = written(repeated_anchors(docs.sparkSession.read.schema("h long, ref long, here boolean, size long").parquet(anchors)), "repeated")
     remove_table(docs.sparkSession, anchors)
     gone = removals(pieces_of(table, wanted, length), length)
     lists = gone.groupBy(F.xxhash64("doc", "version").alias("r")).agg(F.collect_list(F.struct("doc", "version", "start", "n")).alias("gone"))

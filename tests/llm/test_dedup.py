@@ -52,6 +52,28 @@ def test_passages_equal_brute_force(spark):
     assert got == brute_passages(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("limits", [{"SEGMENT": 150}, {"HOT_BYTES": 300}, {"MOST_STRINGS": 3, "_FLUSH": 5}, {"HOT_BYTES": 0, "SEGMENT": 400}])
+def test_passages_do_not_depend_on_bounds(spark, monkeypatch, limits):
+    r = random.Random(6)
+    base = "".join(r.choice("ab ") for _ in range(500))
+    texts = [base, base[:260] + "é" * 90 + base[100:], "ab" * 400, "x" * 900, "x" * 300 + base, None, base[::-1] * 2, (base[:83] + "\n") * 9]
+    texts += [f"{k} {base[:180]} {k * 7}" for k in range(30)]
+    for name, value in limits.items():
+        monkeypatch.setattr(suffix, name, value)
+    df = spark.createDataFrame(rows_of(texts), DOCS).repartition(4)
+    got = {x.doc: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix.dedup(df).collect()}
+    assert got == brute_passages(list(enumerate(texts)))
+
+
+def test_passages_of_very_long_texts(spark):
+    period = " ".join(words(14, 3))[:83] + "\n"
+    texts = ["a" * 20_000_000, period * 60_000, "".join(words(400_000, 5)), "b" * 99 + "a" * 5_000_000]
+    got = {x.doc: x for x in suffix.dedup(spark.createDataFrame(rows_of(texts), DOCS)).collect()}
+    assert (got[0].n_removed, got[0].n_spans) == (20_000_000 - 1, 1)
+    assert got[1].n_removed == len(texts[1]) - len(period) and got[1].n_spans == 1
+    assert got[2].n_removed == 0 and got[3].n_removed == 5_000_000
+
+
 def test_passages_odd_rows(spark):
     base = " ".join(words(60, 1))
     df = spark.createDataFrame([(1, base, "x"), (1, base, "x"), (None, base, "y"), (2, None, None)], "doc_id long, text string, version string")
