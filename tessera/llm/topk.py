@@ -243,9 +243,9 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id"
     spark = rows.sparkSession
     vectors = written(whole_vectors(rows, id_col, vec_col, factor), "vectors")
     n = vectors.count()
-    n_parts = max(1, -(-n // part_rows))
-    ranged = vectors.repartitionByRange(n_parts, "place", "id").sortWithinPartitions("place", "id").withColumn("part", F.spark_partition_id())
+    ranged = vectors.repartitionByRange(max(1, -(-n // part_rows)), "place", "id").sortWithinPartitions("place", "id").withColumn("part", F.spark_partition_id())
     candidates = written(ranged.mapInArrow(_packer(0, BLOCK, None), _PACKED), "blocks")
+    n_parts = 1 + (candidates.agg(F.max("part")).first()[0] or 0)  # what the ranges came to
     # A bounded set of seed rows, the same for all queries, gives each a first k-th score.
     seed = vectors.orderBy(F.xxhash64("id", "data")).limit(SEEDS).select("id", "d", "data").collect()
     known = (np.array([r["id"] for r in seed], dtype=np.int64), _matrix([r["d"] for r in seed], [r["data"] for r in seed]))
