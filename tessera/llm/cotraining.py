@@ -1,17 +1,22 @@
-"""Quality classifier by co-training a text view and a metadata view.
+"""Quality classifier by co-training a text-content view and a metadata view.
 
-The text view sees the shape of a text: n-grams over its letter, digit, space
-and punctuation runs, and how much it repeats itself. The metadata view sees
+The text view sees the words of a text (hashed, A-Z lower-cased), and as
+further columns its shape: n-grams over its letter, digit, space and
+punctuation runs, and how much it repeats itself. The metadata view sees
 source, language and page measures (length, lines, line length). Both are
-logistic models. Over several rounds each view labels the documents of an
-unlabelled pool that it is most sure of for the other view. Each view is then
+logistic models. Over several rounds each view scores all unlabelled documents
+and labels those that it is most sure of for the other view. Each view is then
 calibrated on labelled rows that it wasn't trained on, the calibrated views
 are combined there, and all documents are scored.
 
 Defined results: null text counts as empty; null source and language are
-values of their own; a null or missing length is taken from the text; without
-labels of both classes every document gets the share of good labels; an empty
-table gives no rows; columns beside those named are ignored.
+values of their own; a null or missing length is taken from the text; of rows
+that repeat an id one, with the least hash of its text, is a training row, and
+all are scored; rows without an id are scored only; equally sure documents are
+taken by id, then text hash; without labels of both classes every document gets
+the share of good labels; an empty table gives no rows; columns beside those
+named, whatever their names, are carried along; features of a text of any
+length are taken over the whole of it.
 """
 
 from __future__ import annotations
@@ -25,9 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textbatch as tb
+from tessera.llm.linededup import text_hash
 from tessera.llm.quality_rules import _counts
+from tessera.llm.storage import remove_table, write_table
 
-SHAPE_BITS = 11
+WORD_BITS = 10
+SHAPE_BITS = 10
 META = 160
 _DENSE = 6
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -36,6 +44,8 @@ _SHAPE[ord("A") : ord("Z") + 1] = ord("A")
 _SHAPE[ord("0") : ord("9") + 1] = ord("0")
 _SHAPE[0x80:] = ord("a")
 _SHAPE[[0x09, 0x0B, 0x0C, 0x0D]] = 0x20
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 _RUNS = np.zeros(256, dtype=bool)
 _RUNS[[ord("a"), ord("A"), ord("0"), 0x20]] = True
 
@@ -63,17 +73,30 @@ class CoTrained:
     blend: np.ndarray = field(default_factory=lambda: np.array([1.0, 1.0, 0.0]))
 
 
-def text_features(data: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """A row of shape n-gram shares (square roots) and repetition measures for each text."""
+TEXT = (1 << WORD_BITS) + (1 << SHAPE_BITS) + _DENSE
+
+
+def word_shares(data: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Share of each bucket of words in each text."""
+    n, width = len(limits) - 1, 1 << WORD_BITS
+    folded = _LOWER[data]
+    starts, ends, rows = tb.word_spans(folded, limits)
+    h = tb.span_hashes(tb.prefix_hashes(folded), starts, ends)
+    bucket = (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    counts = np.bincount(rows * width + bucket, minlength=n * width).reshape(n, width)
+    return counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
+
+
+def shape_shares(data: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Share of each bucket of shape n-grams in each text."""
     n, width = len(limits) - 1, 1 << SHAPE_BITS
-    out = np.zeros((n, width + _DENSE), dtype=np.float32)
+    flat = np.zeros(n * width)
     rows = np.repeat(np.arange(n), np.diff(limits))
     shape = _SHAPE[data]
     if len(shape):
         keep = np.ones(len(shape), dtype=bool)
         keep[1:] = (shape[1:] != shape[:-1]) | ~_RUNS[shape[1:]] | (rows[1:] != rows[:-1])
         shape, at = shape[keep].astype(np.uint32), rows[keep]
-        flat = np.zeros(n * width)
         for size in (1, 2, 3, 5):
             m = len(shape) - size + 1
             if m <= 0:
@@ -85,14 +108,16 @@ def text_features(data: np.ndarray, limits: np.ndarray) -> np.ndarray:
             h ^= h >> np.uint32(15)
             h *= np.uint32(0x2C1B3C6D)
             flat += np.bincount(at[:m][same] * width + (h[same] >> np.uint32(32 - SHAPE_BITS)), minlength=n * width)
-        shares = flat.reshape(n, width)
-        out[:, :width] = np.sqrt(shares / np.maximum(1, shares.sum(axis=1, keepdims=True)))
+    shares = flat.reshape(n, width)
+    return shares / np.maximum(1, shares.sum(axis=1, keepdims=True))
+
+
+def text_features(data: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """A row of word and shape shares (square roots) and repetition measures for each text."""
     words, chars, repeated = _counts(data, limits)
     size = np.maximum(1, words)
     dense = (repeated / size, np.minimum(1, words / 50), np.minimum(1, words / 500), np.log1p(words) / 10, np.minimum(2, chars / size / 10), words == 0)
-    for k, x in enumerate(dense):
-        out[:, width + k] = x
-    return out
+    return np.hstack([np.sqrt(word_shares(data, limits)), np.sqrt(shape_shares(data, limits)), np.stack(dense, axis=1)]).astype(np.float32)
 
 
 def meta_features(source: list, lang: list, n_chars: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
@@ -147,40 +172,40 @@ def _balance(y: np.ndarray) -> np.ndarray:
     return np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, prior: float, rounds: int = 4, each_round: int = 200, sure: float = 0.95, seed: int = 3) -> CoTrained:
-    """Train from feature rows; ``y`` is 0, 1 or -1 for rows of the unlabelled pool."""
+def sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, prior: float, more=None, rounds: int = 4, seed: int = 3) -> CoTrained:
+    """Train from the feature rows of labelled documents.
+
+    ``more(views, step)`` gives what each round adds: for a view's name the
+    (features, labels) that the other view hands over.
+    """
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     base = float(np.log(prior / (1 - prior)))
-    known = np.flatnonzero(y >= 0)
-    if len(set(y[known].tolist())) < 2:
+    if len(set(y.tolist())) < 2:
         flat = lambda x: View(np.zeros(x.shape[1], np.float32), base)
         return CoTrained(flat(xt), flat(xm), np.array([0.5, 0.5, 0.0]))
-    rng = np.random.default_rng(seed)
-    known = rng.permutation(known)
+    known = np.random.default_rng(seed).permutation(len(y))
     apart = np.zeros(len(y), dtype=bool)
     for value in (0, 1):
         own = known[y[known] == value]
         apart[own[: len(own) // 4]] = True
     train = known[~apart[known]]
     aside = known[apart[known]] if len(set(y[apart].tolist())) == 2 else train
-    pool = np.flatnonzero(y < 0)
-    given = {"text": np.full(len(y), -1), "meta": np.full(len(y), -1)}  # pseudo-labels each view has received
     views: dict[str, View] = {}
     xs = {"text": xt, "meta": xm}
+    given = {name: (x[:0], y[:0]) for name, x in xs.items()}  # what each view has received
     for step in range(rounds + 1):
         for name, x in xs.items():
-            extra = np.flatnonzero(given[name] >= 0)
-            rows, labels = np.concatenate([train, extra]), np.concatenate([y[train], given[name][extra]])
-            weight = _balance(labels) * np.where(np.arange(len(rows)) < len(train), 1.0, 0.3)
-            views[name] = fit_logistic(x[rows], labels, weight, 1e-4 if name == "text" else 1e-3)
-        if step == rounds or not len(pool):
+            labels = np.concatenate([y[train], given[name][1]])
+            weight = _balance(labels) * np.where(np.arange(len(labels)) < len(train), 1.0, 0.3)
+            views[name] = fit_logistic(np.concatenate([x[train], given[name][0]]), labels, weight, 1e-4 if name == "text" else 1e-3)
+        if step == rounds or more is None:
             break
-        for name, other in (("text", "meta"), ("meta", "text")):
-            p = 1 / (1 + np.exp(-np.clip(views[name].raw(xs[name][pool]), -40, 40)))
-            order = np.argsort(p, kind="stable")
-            for value, ranked, limit in ((0, order, p <= 1 - sure), (1, order[::-1], p >= sure)):
-                fresh = [k for k in ranked if limit[k] and given[other][pool[k]] < 0][:each_round]
-                given[other][pool[fresh]] = value
+        for name, (x, labels) in more(views, step).items():
+            given[name] = (np.concatenate([given[name][0], x]), np.concatenate([given[name][1], labels]))
     weight = np.where(y[aside] == 1, prior / max(1, (y[aside] == 1).sum()), (1 - prior) / max(1, (y[aside] == 0).sum()))
     logits = []
     for name, x in xs.items():
@@ -196,30 +221,83 @@ def _inputs(docs: DataFrame, id_col: str, text_col: str) -> list:
     return [F.col(id_col).alias("id"), F.col(text_col).alias("text"), there("lang", "string"), there("source", "string"), there("n_chars", "long")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", each_class: int = 1500, pool: int = 3000, id_col: str = "doc_id", text_col: str = "text", seed: int = 3) -> CoTrained:
-    """Co-train on at most ``each_class`` labelled rows of each class and ``pool`` unlabelled rows.
-
-    Rows are chosen by a seeded hash of their id; these bounds are the only limits.
-    """
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
-    counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    prior = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
-    chance = F.xxhash64(F.lit(seed), "id")
-    pick = lambda y: marked.where(F.col("y") == y).orderBy(chance, "id").limit(each_class)
-    rest = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull()).join(marked, "id", "left_anti").distinct().orderBy(chance, "id").limit(pool).withColumn("y", F.lit(-1))
-    chosen = F.broadcast(pick(0).unionByName(pick(1)).unionByName(rest))
-    sample = docs.select(*_inputs(docs, id_col, text_col)).join(chosen, "id")
+def _collected(sample: DataFrame) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(rows (id, mark), text features, metadata features) of a bounded sample of (id, mark, inputs), by id and mark."""
 
     def run(batches):
         for batch in batches:
             for a, b, xt, xm in both_features(batch):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array([x.astype(np.float16).tobytes() for x in xt], pa.binary()), pa.array([x.astype(np.float16).tobytes() for x in xm], pa.binary())], ["id", "y", "xt", "xm"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), pa.array([x.astype(np.float16).tobytes() for x in xt], pa.binary()), pa.array([x.astype(np.float16).tobytes() for x in xm], pa.binary())], ["id", "mark", "xt", "xm"])
 
     kind = sample.schema["id"].dataType.simpleString()
-    got = sample.mapInArrow(run, f"id {kind}, y int, xt binary, xm binary").toArrow().sort_by("id")
+    got = sample.mapInArrow(run, f"id {kind}, mark long, xt binary, xm binary").toArrow().sort_by([("id", "ascending"), ("mark", "ascending")])
     unpack = lambda c, width: np.frombuffer(b"".join(got[c].to_pylist()), dtype=np.float16).reshape(-1, width).astype(np.float32)
-    return co_train(unpack("xt", (1 << SHAPE_BITS) + _DENSE), unpack("xm", META), np.array(got["y"].to_pylist(), dtype=np.int64), prior, seed=seed)
+    return got.select(["id", "mark"]), unpack("xt", TEXT), unpack("xm", META)
+
+
+def sure_documents(docs: DataFrame, views: dict[str, View], sure: float) -> DataFrame:
+    """(id, mark, text double, meta double): logits of documents that a view is sure of; ``mark`` is the text's hash."""
+    shared = docs.sparkSession.sparkContext.broadcast(views)
+    limit = float(np.log(sure / (1 - sure)))
+
+    def run(batches):
+        for batch in batches:
+            for a, _, xt, xm in both_features(batch):
+                z = [shared.value[name].raw(x).astype(float) for name, x in (("text", xt), ("meta", xm))]
+                at = pa.array(a + np.flatnonzero((np.abs(z[0]) >= limit) | (np.abs(z[1]) >= limit)))
+                keep = np.asarray(at) - a
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("mark").take(at), pa.array(z[0][keep]), pa.array(z[1][keep])], ["id", "mark", "text", "meta"])
+
+    return docs.where(F.col("id").isNotNull()).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, mark long, text double, meta double")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", each_class: int = 1500, rounds: int = 4, each_round: int = 200, sure: float = 0.95, id_col: str = "doc_id", text_col: str = "text", seed: int = 3) -> CoTrained:
+    """Co-train on at most ``each_class`` labelled rows of each class, chosen by a seeded hash of their id.
+
+    In each round both views score every unlabelled document; the
+    ``each_round`` most sure ones of each class, over the whole table, become
+    training rows of the other view. Only training rows come to the driver.
+    """
+    spark = docs.sparkSession
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
+    counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    prior = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
+    pick = lambda y: marked.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(each_class)
+    table = docs.select(*_inputs(docs, id_col, text_col), text_hash(F.col(text_col)).alias("mark"))
+    rows = table.join(F.broadcast(pick(0).unionByName(pick(1))), "id")
+    one_each = rows.groupBy("id").agg(F.min(F.struct("mark", "text", "lang", "source", "n_chars", "y")).alias("x"))
+    known, xt, xm = _collected(one_each.select("id", "x.text", "x.lang", "x.source", "x.n_chars", F.col("x.y").cast("long").alias("mark")))
+    taken: dict[str, set] = {"text": set(), "meta": set()}
+
+    def more(views: dict[str, View], step: int):
+        path = write_table(sure_documents(table, views, sure), "sure")
+        found = spark.read.schema(f"id {table.schema['id'].dataType.simpleString()}, mark long, text double, meta double").parquet(path)
+        free = found.join(marked.select("id"), "id", "left_anti")
+        chosen: dict[str, dict] = {"text": {}, "meta": {}}
+        limit = float(np.log(sure / (1 - sure)))
+        for name, other in (("text", "meta"), ("meta", "text")):
+            for value, ranked in ((0, F.col(name)), (1, -F.col(name))):
+                # As many more as earlier rounds may have taken.
+                top = free.where(ranked <= -limit).select("id", "mark", ranked.alias("z")).distinct().orderBy("z", "id", "mark").limit(each_round * (step + 1) * 2).collect()
+                fresh = [(r["id"], r["mark"]) for r in top if (r["id"], r["mark"]) not in taken[other]][:each_round]
+                chosen[other] |= {k: value for k in fresh if k not in chosen[other]}
+            taken[other] |= set(chosen[other])
+        remove_table(spark, path)
+        wanted = sorted(set(chosen["text"]) | set(chosen["meta"]))
+        if not wanted:
+            return {}
+        names = spark.createDataFrame(wanted, f"k {table.schema['id'].dataType.simpleString()}, m long")
+        there = table.join(F.broadcast(names), (F.col("id") == F.col("k")) & (F.col("mark") == F.col("m")), "left_semi").dropDuplicates(["id", "mark"])
+        at, new_text, new_meta = _collected(there)
+        keys = list(zip(at["id"].to_pylist(), at["mark"].to_pylist(), strict=True))
+        out = {}
+        for name, x in (("text", new_text), ("meta", new_meta)):
+            own = [k for k, key in enumerate(keys) if key in chosen[name]]
+            out[name] = (x[own], np.array([chosen[name][keys[k]] for k in own], dtype=np.int64))
+        return out
+
+    return co_train(xt, xm, np.array(known["mark"].to_pylist(), dtype=np.int64), prior, more, rounds, seed)
 
 
 def score(docs: DataFrame, model: CoTrained, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,7 +307,6 @@ def score(docs: DataFrame, model: CoTrained, threshold: float = 0.3, id_col: str
 
     def run(batches):
         m = shared.value
-        sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         for batch in batches:
             for a, b, xt, xm in both_features(batch):
                 t, q = m.text.logit(xt).astype(float), m.meta.logit(xm).astype(float)

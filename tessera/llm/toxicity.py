@@ -12,8 +12,10 @@ for each bucket, so a text costs one table lookup for each n-gram.
 
 Defined results: null and empty texts, and texts without n-grams, get the base
 rate; without labels of both classes every text gets the base rate; rows with a
-null id are never held out; repeated rows get equal scores; if one id has
-several labels each of them is a training row.
+null id are never held out; repeated rows get equal scores; of rows that repeat
+an id the one with the least hash of its text is a training row, once for each
+label that its id has; an empty table gives no rows; other columns, whatever
+their names, are ignored; all of a text of any length is scored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textbatch as tb
+from tessera.llm.linededup import text_hash
+from tessera.llm.storage import written
 
 BUCKET_BITS = 16
 SIZES = (3, 4, 5, 6)
@@ -93,20 +97,25 @@ def gram_buckets(data: np.ndarray, limits: np.ndarray):
 
 
 def bags(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Buckets and their shares in each text, the added n-grams among the whole."""
+    """Buckets (uint16) and how often each stands in the different words of each text (uint32)."""
     data, limits = tb.string_buffers(column)
     out = []
     for low, high in tb.row_chunks(limits, 1_000_000):
         part = [(row, bucket) for _, bucket, row in gram_buckets(data[limits[low] : limits[high]], limits[low : high + 1] - limits[low])]
         key = np.concatenate([r.astype(np.int64) << BUCKET_BITS | b for r, b in part]) if part else np.zeros(0, np.int64)
         key, count = np.unique(key, return_counts=True)
-        row, bucket = key >> BUCKET_BITS, (key & ((1 << BUCKET_BITS) - 1)).astype(np.int32)
+        row, bucket = key >> BUCKET_BITS, (key & ((1 << BUCKET_BITS) - 1)).astype(np.uint16)
         cut = np.searchsorted(row, np.arange(high - low + 1))
         for a, b in zip(cut[:-1], cut[1:], strict=True):
-            out.append((bucket[a:b], (count[a:b] / (count[a:b].sum() + SMOOTH)).astype(np.float32)))
+            out.append((bucket[a:b], count[a:b].astype(np.uint32)))
     return out
 
 
+def shares(count: np.ndarray) -> np.ndarray:
+    """Shares of a text's buckets, the added n-grams among the whole."""
+    return (count / (count.sum() + SMOOTH)).astype(np.float32)
+
+
 def text_logits(column: pa.Array, model: Model) -> np.ndarray:
     data, limits = tb.string_buffers(column)
     out = np.full(len(column), model.bias)
@@ -135,8 +144,8 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, pri
     bias = np.zeros(2, np.float32)
     grown = [np.full(x.shape, 1e-3, np.float32) for x in (vectors, soft, bias)]
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
-    used = np.unique(np.concatenate([b for b, _ in features])) if features else np.zeros(0, np.int32)
-    columns, everything = [np.searchsorted(used, b) for b, _ in features], vectors
+    used = np.unique(np.concatenate([b for b, _ in features])) if features else np.zeros(0, np.uint16)
+    columns, everything = [np.searchsorted(used, b).astype(np.uint16) for b, _ in features], vectors
     vectors, grown[0] = vectors[used], grown[0][used]
     dense = np.zeros((batch, len(used)), np.float32)
     done = 0
@@ -147,7 +156,7 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, pri
             part = order[start : start + batch]
             dense.fill(0)
             for row, k in enumerate(part):
-                dense[row, columns[k]] = features[k][1]
+                dense[row, columns[k]] = shares(features[k][1])
             x = dense[: len(part)]
             hidden = (x @ vectors) * scale
             logits = hidden @ soft + bias
@@ -170,26 +179,46 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", each_class: int = 3000, id_col: str = "doc_id", text_col: str = "text", seed: int = 5) -> Model:
+def within(chance: np.ndarray, labels: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+    """Rows in order of ``chance`` whose running size in their class stays within half of ``most``."""
+    keep = np.zeros(len(labels), dtype=bool)
+    for value in (0, 1):
+        own = np.flatnonzero(labels == value)
+        own = own[np.argsort(chance[own], kind="stable")]
+        keep[own] = np.cumsum(sizes[own]) <= most // 2
+    return keep
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", each_class: int = 3000, most_entries: int = 20_000_000, id_col: str = "doc_id", text_col: str = "text", seed: int = 5) -> Model:
     """Train on at most ``each_class`` labelled rows of each class, chosen by a seeded hash.
 
-    This bound is the only limit; labels of held-out rows are never read.
+    The driver takes them in that order up to ``most_entries`` buckets in all
+    (6 bytes each, half of it for each class). These bounds are the only
+    limits; labels of held-out rows are never read.
     """
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id"))
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id")).distinct()
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     prior = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
-    pick = lambda y: marked.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(each_class)
+    chance = F.xxhash64(F.lit(seed), "id")
+    pick = lambda y: marked.where(F.col("y") == y).orderBy(chance, "id").limit(each_class)
     chosen = F.broadcast(pick(0).unionByName(pick(1)))
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("version")).join(chosen, "id")
+    sample = rows.groupBy("id", "y").agg(F.min(F.struct("version", "text")).alias("x")).select("id", "y", chance.alias("chance"), "x.text")
 
     def run(batches):
         for batch in batches:
             found = bags(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.float32()))], ["id", "y", "buckets", "shares"])
+            packed = [pa.array([x[k].tobytes() for x in found], pa.binary()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("chance"), pa.array([len(x[0]) for x in found], pa.int64()), *packed], ["id", "y", "chance", "size", "buckets", "counts"])
 
     kind = sample.schema["id"].dataType.simpleString()
-    got = sample.mapInArrow(run, f"id {kind}, y int, buckets array<int>, shares array<float>").toArrow().sort_by("id")
-    features = [(np.asarray(b.values, np.int32), np.asarray(s.values, np.float32)) for b, s in zip(got["buckets"], got["shares"], strict=True)]
+    found = written(sample.mapInArrow(run, f"id {kind}, y int, chance long, size long, buckets binary, counts binary"), "bags")
+    sizes = found.select("id", "y", "chance", "size").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    chance_, y, size = (sizes[c].to_numpy() for c in ("chance", "y", "size"))
+    keep = within(chance_, y, size, most_entries)
+    kept = found if keep.all() else found.join(F.broadcast(docs.sparkSession.createDataFrame(list(zip(sizes["id"].filter(pa.array(keep)).to_pylist(), y[keep].tolist(), strict=True)), f"id {kind}, y int")), ["id", "y"], "left_semi")
+    got = kept.select("id", "y", "buckets", "counts").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    features = [(np.frombuffer(b.as_buffer(), np.uint16), np.frombuffer(c.as_buffer(), np.uint32)) for b, c in zip(got["buckets"], got["counts"], strict=True)]
     return train(features, np.asarray(got["y"].to_pylist(), dtype=np.int64), prior, seed=seed)
 
 
