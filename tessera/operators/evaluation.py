@@ -112,7 +112,7 @@ def _mean(x: Column) -> Column:
     return F.coalesce(F.avg(x), F.lit(0.0))
 
 
-#: Name to aggregate over (pred, label) rows that have gone through ``with_ngrams``; other names are left out.
+#: Name to aggregate over (pred, label) rows that have gone through ``with_ngrams``; see CLASS_METRICS for the others.
 METRICS = {
     "accuracy": accuracy,
     "exact_match": exact_match,
@@ -135,9 +135,25 @@ def row_scores(df: DataFrame, names: list[str], pred: str = "pred", label: str =
     return with_ngrams(df, pred, label, most).withColumns({name: make() for name, make in wanted.items()})
 
 
-def compute(df: DataFrame, names: list[str], pred: str = "pred", label: str = "label") -> DataFrame:
-    """One row with the known metrics among ``names``."""
-    return row_scores(df, names, pred, label).agg(*[METRICS[n](F.col(pred), F.col(label)).alias(n) for n in names if n in METRICS])
+#: Name to average of the F1 of classes: what needs a row for each class first.
+CLASS_METRICS = {"f1": "macro", "f1_macro": "macro", "f1_weighted": "weighted"}
+
+
+def compute(df: DataFrame, names: list[str] = ("accuracy", "exact_match", "f1"), pred: str = "pred", label: str = "label") -> DataFrame:
+    """One row with the known metrics among ``names``; unknown names are left out."""
+    names = list(dict.fromkeys(n for n in names if n in METRICS or n in CLASS_METRICS))
+    rows, classes = [n for n in names if n in METRICS], [n for n in names if n in CLASS_METRICS]
+    parts = []
+    if rows or not classes:
+        parts.append(row_scores(df, rows, pred, label).agg(F.lit(1).alias("_one"), *[METRICS[n](F.col(pred), F.col(label)).alias(n) for n in rows]))
+    if classes:
+        texts = df.select(F.col(pred).cast("string").alias("p"), F.col(label).cast("string").alias("r"))
+        found = f1_per_class(texts, "p", "r")
+        average = {"macro": F.avg("f1"), "weighted": F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support"))}
+        parts.append(found.agg(F.lit(1).alias("_one"), *[F.coalesce(average[CLASS_METRICS[n]], F.lit(0.0)).alias(n) for n in classes]))
+    # Each part is one row.
+    joined = parts[0] if len(parts) == 1 else parts[0].join(F.broadcast(parts[1]), "_one")
+    return joined.select(*names)
 
 
 def flat_token_accuracy(df: DataFrame, pred: str, label: str) -> DataFrame:
@@ -208,6 +224,17 @@ def select_benchmarks(catalog: DataFrame, names: list[str] | None = None, fields
     return catalog
 
 
+def positional_join(left: DataFrame, right: DataFrame, order: str) -> DataFrame:
+    """The rows of both sides at equal ``order``; an error if one side has a row that the other lacks."""
+    joined = left.join(right, order, "full")
+    marks = [F.col(c) for c in (f"_there_{x}" for x in "lr")]
+    both = left.withColumn("_there_l", F.lit(True)).join(right.withColumn("_there_r", F.lit(True)), order, "full")
+    odd = both.where(marks[0].isNull() | marks[1].isNull()).limit(1).collect()
+    if odd:
+        raise ValueError(f"the sides differ in length: {odd[0][order]} is on one side only")
+    return joined
+
+
 def first_match(left: DataFrame, right: DataFrame, key: str, right_key: str, order: list[str], columns: list[str]) -> DataFrame:
     """Left join with the first right row of each key, in ``order``; all left rows stay."""
     firsts = right.groupBy(F.col(right_key).alias("_key")).agg(F.min(F.struct(*order, *columns)).alias("_first"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,21 +11,25 @@ def early_stopping(history: DataFrame, run: str = "run", epoch: str = "epoch", l
     """Adds best (so far), waited (epochs without improvement) and stopped.
 
     An epoch improves if its loss is below the best so far by more than
-    ``min_delta``. A run's epochs are folded in order; a run is one training.
+    ``min_delta``. A run's epochs are folded in order, in one pass; a run is one training.
     """
-    runs = history.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(F.col(epoch).alias("e"), F.col(loss).alias("l")))).alias("rows"))
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("wait"), F.lit(False).alias("stop"), F.array().cast("array<struct<e:bigint,l:double,best:double,wait:int,stop:boolean>>").alias("out"))
-
-    def step(s, x):
-        better = s["best"].isNull() | (x["l"] < s["best"] - min_delta)
-        best = F.when(better, x["l"]).otherwise(s["best"])
-        wait = F.when(better, 0).otherwise(s["wait"] + 1)
-        stop = s["stop"] | (wait >= patience)
-        row = F.struct(x["e"].alias("e"), x["l"].alias("l"), best.alias("best"), wait.alias("wait"), stop.alias("stop"))
-        return F.struct(best.alias("best"), wait.alias("wait"), stop.alias("stop"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    folded = runs.select(run, F.inline(F.aggregate("rows", start, step)["out"]))
-    return folded.select(run, F.col("e").alias(epoch), F.col("l").alias(loss), "best", F.col("wait").alias("waited"), F.col("stop").alias("stopped"))
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("e", kind="stable", ignore_index=True)
+        best, wait, stop, rows = None, 0, False, []
+        for value in frame["l"].tolist():
+            if best is None or value < best - min_delta:
+                best, wait = value, 0
+            else:
+                wait += 1
+            stop = stop or wait >= patience
+            rows.append((best, wait, stop))
+        return frame.assign(best=[r[0] for r in rows], wait=[r[1] for r in rows], stop=[r[2] for r in rows])
+
+    rows = history.select(F.col(run).alias("r"), F.col(epoch).cast("long").alias("e"), F.col(loss).cast("double").alias("l"))
+    kind = rows.schema["r"].dataType.simpleString()
+    folded = rows.groupBy("r").applyInPandas(fold, f"r {kind}, e long, l double, best double, wait int, stop boolean")
+    return folded.select(F.col("r").alias(run), F.col("e").alias(epoch), F.col("l").alias(loss), "best", F.col("wait").alias("waited"), F.col("stop").alias("stopped"))
 
 
 def best_epoch(history: DataFrame, run: str = "run", epoch: str = "epoch", loss: str = "val_loss", lower_is_better: bool = True) -> DataFrame:

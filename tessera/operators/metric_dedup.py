@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
@@ -59,10 +60,11 @@ def _weighted_cosine(p: Column, r: Column) -> Column:
     return F.coalesce(F.try_divide(both, size), F.lit(0.0))
 
 
-def similarity(x: Column, y: Column, stops) -> Column:
-    """0 if a text is empty; TF-IDF cosine, or word overlap where no term is left."""
+def similarity(x: Column, y: Column, stops, x_vector: Column | None = None, y_vector: Column | None = None) -> Column:
+    """0 if a text is empty; the cosine of vectors where both are there, else of TF-IDF, or word overlap where no term is left."""
     empty = (F.coalesce(F.trim(x), F.lit("")) == "") | (F.coalesce(F.trim(y), F.lit("")) == "")
-    return F.when(empty, 0.0).otherwise(F.coalesce(tfidf_cosine(x, y, stops), word_overlap(x, y)))
+    by_vector = [] if x_vector is None or y_vector is None else [F.when(x_vector.isNotNull() & y_vector.isNotNull(), a.cosine(x_vector, y_vector))]
+    return F.when(empty, 0.0).otherwise(F.coalesce(*by_vector, tfidf_cosine(x, y, stops), word_overlap(x, y)))
 
 
 def is_similar(general: Column, specific: Column, combined: Column, general_least: float = 0.7, least: float = 0.7) -> Column:
@@ -115,20 +117,45 @@ def first_fit(items: list[tuple[str, str]], similar: Callable[[str, str], float]
     return out
 
 
-def deduplicate(metrics: DataFrame, group: str, order: list[str], general_least: float = 0.7, least: float = 0.7, stops: frozenset[str] | None = None) -> DataFrame:
+def vector_similarity(encode: Callable[[list[str]], list], fallback: Callable[[str, str], float]) -> Callable[[str, str], float]:
+    """Cosine of encoded texts, each encoded once; ``fallback`` where a text is empty or can't be encoded."""
+    known: dict[str, np.ndarray | None] = {}
+
+    def vector(text: str):
+        if text not in known:
+            try:
+                known[text] = np.asarray(encode([text])[0], dtype=float)
+            except Exception:
+                known[text] = None
+        return known[text]
+
+    def similar(x: str, y: str) -> float:
+        if not x.strip() or not y.strip():
+            return 0.0
+        u, v = vector(x), vector(y)
+        size = 0.0 if u is None or v is None else float(np.linalg.norm(u) * np.linalg.norm(v))
+        return float(u @ v) / size if size else fallback(x, y)
+
+    return similar
+
+
+def deduplicate(metrics: DataFrame, group: str, order: list[str], general_least: float = 0.7, least: float = 0.7, stops: frozenset[str] | None = None, encode: Callable[[list[str]], list] | None = None) -> DataFrame:
     """(group, position, general, specifics): merged descriptions of each group, in order of ``order``.
 
-    Rows whose two descriptions are empty are left out.
+    Rows whose two descriptions are empty are left out. With ``encode`` (texts
+    to vectors) similarity is the cosine of vectors first.
     """
     stops = stop_words() if stops is None else stops
 
     def f(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(list(order), kind="stable")
         cache: dict[tuple[str, str], float] = {}
+        by_text = lambda x, y: text_similarity(x, y, stops)
+        measure = vector_similarity(encode, by_text) if encode else by_text
 
         def similar(x: str, y: str) -> float:
             if (x, y) not in cache:
-                cache[x, y] = text_similarity(x, y, stops)
+                cache[x, y] = measure(x, y)
             return cache[x, y]
 
         merged = first_fit(list(zip(frame["general"], frame["specific"], strict=True)), similar, general_least, least)

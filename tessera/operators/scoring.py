@@ -73,6 +73,31 @@ def batch_statistics(scored: DataFrame, metric_counts: DataFrame) -> DataFrame:
     return joined.withColumn("reduction", F.coalesce(F.try_divide(F.col("n_metrics") - F.col("n_kept"), F.col("n_metrics")), F.lit(0.0)))
 
 
+def pooled_metrics(scored: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(sample_id, cap, k, general, specific) of the metrics that a batch pools: kept graders of samples that aren't hard."""
+    kept = F.when(F.col("cap") == "weak", F.col("keep_weak")).when(F.col("cap") == "normal", F.col("keep_normal")).otherwise(True)
+    flags = scored.where("NOT is_hard").select("sample_id", *[f"keep_{g}" for g in GRADERS])
+    return metrics.join(flags, "sample_id").where(kept).drop(*[f"keep_{g}" for g in GRADERS])
+
+
+def deduplication_statistics(pooled: DataFrame, merged: DataFrame, scored: DataFrame) -> DataFrame:
+    """One row of the eight figures of a batch's deduplication; rates are 0 without metrics.
+
+    ``pooled`` are its metrics (each with one specific description), ``merged``
+    what is left of them (general, specifics).
+    """
+    before = pooled.agg(F.count("*").alias("original_metrics"), F.lit(1).alias("one"))
+    after = merged.agg(F.count("*").alias("merged_metrics"), F.coalesce(F.sum(F.size("specifics")), F.lit(0)).alias("merged_specifics"), F.lit(1).alias("one"))
+    hard = scored.agg(F.count_if("is_hard").alias("hard_cases"), F.lit(1).alias("one"))
+    rows = before.join(after, "one").join(hard, "one")  # three single rows
+    ratio = lambda x: F.coalesce(F.try_divide(F.col(x), F.col("original_metrics")), F.lit(0.0))
+    some = F.col("original_metrics") > 0
+    return rows.select(
+        "original_metrics", "merged_metrics", F.when(some, 1 - ratio("merged_metrics")).otherwise(0.0).alias("deduplication_rate"), ratio("merged_metrics").alias("reduction_ratio"),
+        F.col("original_metrics").alias("original_specifics"), "merged_specifics", F.when(some, 1 - ratio("merged_specifics")).otherwise(0.0).alias("specific_reduction_rate"), "hard_cases",
+    )
+
+
 #: The mock grader's scores and number of metrics by capability.
 MOCK_GRADES = {"weak": (7.5, 7.0, 2), "normal": (8.2, 8.5, 3), "sota": (8.7, 9.0, 5)}
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as a
-from tessera.operators import samples, scoring
+from tessera.operators import features, samples, scoring
 from tessera.plans.q_agents import ALL, _folder, _tokens
 from tessera.plans.q_text import SCORED
 from tessera.plans.registry import query
-from tessera.sources import readers, writers
+from tessera.sources import writers
 
 DIALOGUE = "SELECT conv_id, list_transform(list_sort(list({'i': idx, 'q': question, 'a': answer})), lambda x: x) AS d FROM ({v_turns}) t GROUP BY conv_id"
 
@@ -61,7 +61,7 @@ def token_range_violations(i):
 
 @query("SELECT conv_id, idx, conv_id // 100 AS batch FROM ({v_turns}) t")
 def batch_ids(i):
-    return i.view("v_turns").select("conv_id", "idx", F.floor(F.col("conv_id") / 100).alias("batch"))
+    return features.batches(i.view("v_turns"), "conv_id", 100).select("conv_id", "idx", "batch")
 
 
 @query("SELECT split, count(*) AS n FROM (SELECT CASE WHEN c_custkey < floor(n * 0.8::DOUBLE) THEN 'train' WHEN c_custkey < floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM customer, (SELECT count(*) AS n FROM customer) c) t GROUP BY split")
@@ -79,13 +79,6 @@ def cluster_sink(i):
     return i.spark.read.schema("c_custkey long, cluster_id string").json(p).groupBy("cluster_id").agg(F.count("c_custkey").alias("n"))
 
 
-@query("SELECT doc_id, quality, toxic FROM labels")
-def json_list(i):
-    lines = i.table("labels").select(F.to_json(F.struct("*")).alias("value"))
-    writers.text(lines, "value", p := _folder(i))
-    return readers.load(i.spark, p, "doc_id long, quality int, toxic int", fmt="jsonl")
-
-
 @query()
 def embed_texts(i):
     return samples.embed(i.view("v_metrics"), "general", samples.hashed_ngrams)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,39 +53,57 @@ def json_data(spark: SparkSession, path: str, schema) -> DataFrame:
     return rows.select(F.inline(F.when(F.col("data").isNotNull(), F.col("data")).otherwise(own)))
 
 
-def csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A header and text columns; quoted line breaks and doubled quotes are read."""
-    return spark.read.option("header", True).option("sep", sep).option("inferSchema", False).option("multiLine", True).option("escape", '"').csv(path)
+def csv(spark: SparkSession, path: str | list[str], sep: str = ",", multi_line: bool = True) -> DataFrame:
+    """A header and text columns; quoted line breaks and doubled quotes are read.
+
+    A quoted line break needs whole files as tasks; without any,
+    ``multi_line=False`` lets Spark split large files.
+    """
+    return spark.read.option("header", True).option("sep", sep).option("inferSchema", False).option("multiLine", multi_line).option("escape", '"').csv(path)
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(id, text) of each line that isn't blank; id is its line number from 0, blank lines counted.
+def numbered(lines: DataFrame) -> DataFrame:
+    """(n, value): the number of each line of text files from 0, files and their blocks in order.
 
-    Line numbers need the order of the file: partitions are counted first.
+    Lines are counted in each block of a file first; one row for each block
+    gives the number of its first line.
     """
-    lines = spark.read.text(path)
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("id long, text string")
-    return numbered.select("id", F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("text")).where(F.col("text") != "")
+    at = lines.select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+    blocks = at.groupBy("f", "b").agg(F.min("m").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select(F.col("f").alias("file"), F.col("b").alias("block"), "first", before.alias("before"))
+    joined = at.join(starts, (F.col("f") == F.col("file")) & (F.col("b") == F.col("block")))
+    return joined.select((F.col("m") - F.col("first") + F.col("before")).alias("n"), "value")
+
+
+def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(id, text) of each line that isn't blank; id is its line number from 0, blank lines counted."""
+    lines = numbered(spark.read.text(path))
+    return lines.select(F.col("n").alias("id"), F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("text")).where(F.col("text") != "")
 
 
 def with_ordinal(spark: SparkSession, path: str, schema) -> DataFrame:
     """JSON lines with ``ordinal``, the position among the lines that aren't blank."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("ordinal long, line string")
-    return numbered.select("ordinal", F.from_json("line", _schema(schema), {"mode": "FAILFAST"}).alias("r")).select("ordinal", "r.*")
+    lines = numbered(spark.read.text(path).where(F.trim("value") != ""))
+    return lines.select(F.col("n").alias("ordinal"), F.from_json("value", _schema(schema), {"mode": "FAILFAST"}).alias("r")).select("ordinal", "r.*")
+
+
+def line_count(spark: SparkSession, path: str) -> DataFrame:
+    """One row, n: the lines that aren't blank."""
+    return spark.read.text(path).agg(F.count_if(F.trim("value") != "").alias("n"))
 
 
 def parquet(spark: SparkSession, path: str, columns: list[str] | None = None, clean: bool = True) -> DataFrame:
     """Parquet, pruned to the columns that are there; NaN becomes null with ``clean``."""
-    rows = spark.read.parquet(path)
+    rows = spark.read.option("mergeSchema", True).parquet(*path) if isinstance(path, list) else spark.read.parquet(path)
     rows = rows.select(*[c for c in columns if c in rows.columns]) if columns else rows
     if not clean:
         return rows
     return rows.select(*[F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name) for f in rows.schema])
 
 
-def load(spark: SparkSession, path: str, schema=None, fmt: str | None = None) -> DataFrame:
-    """Dispatch on the suffix; an unknown one is an error."""
+def load(spark: SparkSession, path: str | list[str], schema=None, fmt: str | None = None) -> DataFrame:
+    """Dispatch on the suffix, or ``fmt`` for a list of paths; an unknown one is an error."""
     fmt = fmt or next((f for s, f in FORMATS.items() if path.lower().rstrip("/").endswith(s)), None)
     if fmt in ("json", "jsonl"):
         if schema is None:
@@ -100,20 +118,80 @@ def load(spark: SparkSession, path: str, schema=None, fmt: str | None = None) ->
     raise ValueError(f"unsupported format: {path}")
 
 
+def _headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Paths of CSV files by their first line, which names the columns."""
+    found: dict[str, list[str]] = {}
+    for path in paths:  # a line of each file, no scan
+        head = spark.read.text(path).limit(1).collect()
+        found.setdefault(head[0]["value"] if head else "", []).append(path)
+    return found
+
+
+def files(spark: SparkSession, folder: str, pattern: str = "*") -> list[str]:
+    """Paths in a folder that match a pattern, by name; those with a leading . or _ are left out."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
+    paths = sorted(str(x.getPath().toString()) for x in found)
+    return [p for p in paths if p.rstrip("/").rsplit("/", 1)[-1][0] not in "._"]
+
+
 def load_all(spark: SparkSession, paths: list[str], schema=None) -> tuple[DataFrame | None, list[tuple[str, str]]]:
-    """Union of all files, columns that a file lacks as null; and (path, error) of the files that failed."""
-    found, failed = None, []
+    """Union of all files, columns that a file lacks as null; and (path, error) of the files that failed.
+
+    Files of one format (CSV: and header) are one read. Only where that fails
+    are its files tried one by one, to name the bad ones.
+    """
+    groups: dict[tuple, list[str]] = {}
+    failed: list[tuple[str, str]] = []
     for path in paths:
+        fmt = next((f for s, f in FORMATS.items() if path.lower().rstrip("/").endswith(s)), None)
+        if fmt is None:
+            failed.append((path, f"unsupported format: {path}"))
+        else:
+            groups.setdefault((fmt,), []).append(path)
+    for fmt in ("csv", "tsv"):
+        for path in groups.pop((fmt,), []):
+            try:
+                header = next(iter(_headers(spark, [path])))
+            except Exception as e:
+                failed.append((path, str(e).splitlines()[0]))
+                continue
+            groups.setdefault((fmt, header), []).append(path)
+
+    def tried(own: list[str], fmt: str):
+        rows = load(spark, own, schema, fmt)
+        rows.limit(1).collect()
+        return rows
+
+    parts = []
+    for (fmt, *_), own in groups.items():
         try:
-            rows = load(spark, path, schema)
-            rows.limit(1).collect()
-        except Exception as e:
-            failed.append((path, str(e).splitlines()[0]))
+            parts.append(tried(own, fmt))
             continue
+        except Exception as e:
+            if len(own) == 1:
+                failed.append((own[0], str(e).splitlines()[0]))
+                continue
+        good = []
+        for path in own:
+            try:
+                tried([path], fmt)
+                good.append(path)
+            except Exception as e:
+                failed.append((path, str(e).splitlines()[0]))
+        if good:
+            parts.append(load(spark, good, schema, fmt))
+    found = None
+    for rows in parts:
         found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
     return found, failed
 
 
+def load_folder(spark: SparkSession, folder: str, schema=None, pattern: str = "*") -> tuple[DataFrame | None, list[tuple[str, str]]]:
+    """``load_all`` over the files of a folder."""
+    return load_all(spark, files(spark, folder, pattern), schema)
+
+
 def clusters(spark: SparkSession, path: str) -> DataFrame:
     """(cluster_id, size, sample_id, data) of a cluster file."""
     rows = json(spark, path, schemas.CLUSTER_FILE).select(F.explode("clusters").alias("c"))

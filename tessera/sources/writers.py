@@ -28,15 +28,34 @@ def by_cluster(samples: DataFrame, path: str, mode: str = "overwrite") -> None:
     samples.where(F.col("cluster_id").isNotNull()).write.mode(mode).partitionBy("cluster_id").json(path)
 
 
-def cluster_documents(labelled: DataFrame, key: str = "sample_id", label: str = "cluster_id") -> DataFrame:
-    """Clusters by id with size, percentage and the ids of their samples; noise is one of them.
+def cluster_records(labelled: DataFrame, key: str, label: str, value, most: int) -> DataFrame:
+    """(cluster_id, part, size, percentage, samples): a cluster in parts of about ``most`` samples, in order of their keys.
 
-    Ids only: the samples themselves are written by ``by_cluster``, since one
-    nested record can't hold a cluster of any size.
+    Parts are drawn by hash, so that no record and no task holds a large cluster.
     """
-    sizes = labelled.groupBy(F.col(label).alias("cluster_id")).agg(F.count("*").alias("size"), F.sort_array(F.collect_list(key)).alias("samples"))
-    total = labelled.agg(F.count("*").alias("total"))
-    return sizes.join(F.broadcast(total), F.lit(True)).select("cluster_id", "size", (F.col("size") * 100.0 / F.col("total")).alias("percentage"), "samples")
+    sizes = labelled.groupBy(F.col(label).alias("_cluster")).agg(F.count("*").alias("_size"))
+    total = labelled.agg(F.count("*").alias("_total"))
+    known = sizes.join(F.broadcast(total), F.lit(True)).select("_cluster", "_size", (F.col("_size") * 100.0 / F.col("_total")).alias("_percentage"))
+    rows = labelled.select(F.col(label).alias("_label"), F.struct(F.col(key).alias("k"), value.alias("v")).alias("_x")).join(known, F.col("_label").eqNullSafe(F.col("_cluster")))
+    part = F.pmod(F.xxhash64("_x.k"), F.ceil(F.col("_size") / most)).cast("int").alias("part")
+    grouped = rows.groupBy("_cluster", part, "_size", "_percentage").agg(F.array_sort(F.collect_list("_x")).alias("_x"))
+    return grouped.select(F.col("_cluster").alias("cluster_id"), "part", F.col("_size").alias("size"), F.col("_percentage").alias("percentage"), F.transform("_x", lambda x: x["v"]).alias("samples"))
+
+
+def cluster_documents(labelled: DataFrame, key: str = "sample_id", label: str = "cluster_id", most: int = 100_000) -> DataFrame:
+    """(cluster_id, part, size, percentage, samples): clusters with the ids of their samples; noise is one of them."""
+    return cluster_records(labelled, key, label, F.col(key), most)
+
+
+def cluster_file(labelled: DataFrame, path: str, columns: list[str], key: str = "sample_id", label: str = "cluster_id", most: int = 1000, mode: str = "overwrite") -> None:
+    """Cluster records with their samples inside, as JSON lines, clusters in order; noise counts as a cluster."""
+    sample = F.struct(F.col(key).alias("sample_id"), F.col(label).alias("cluster_id"), F.struct(*columns).alias("data"))
+    cluster_records(labelled, key, label, sample, most).repartitionByRange("cluster_id", "part").sortWithinPartitions("cluster_id", "part").write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def benchmark_report(summary: DataFrame, path: str, poor_below: float = 0.7, mode: str = "overwrite") -> None:
+    """A record for each benchmark with its figures and whether it is a poor performer."""
+    jsonl(summary.withColumn("is_poor_performer", F.col("accuracy") < poor_below), path, mode)
 
 
 def preview(df: DataFrame, n: int = 3, order: str | None = None) -> list[dict]:
