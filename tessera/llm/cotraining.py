@@ -37,6 +37,7 @@ from tessera.llm.storage import remove_table, write_table
 WORD_BITS = 10
 SHAPE_BITS = 10
 META = 160
+ROWS = 256  # rows whose features are held at once
 _DENSE = 6
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[ord("a") : ord("z") + 1] = ord("a")
@@ -117,7 +118,12 @@ def text_features(data: np.ndarray, limits: np.ndarray) -> np.ndarray:
     words, chars, repeated = _counts(data, limits)
     size = np.maximum(1, words)
     dense = (repeated / size, np.minimum(1, words / 50), np.minimum(1, words / 500), np.log1p(words) / 10, np.minimum(2, chars / size / 10), words == 0)
-    return np.hstack([np.sqrt(word_shares(data, limits)), np.sqrt(shape_shares(data, limits)), np.stack(dense, axis=1)]).astype(np.float32)
+    out = np.empty((len(words), TEXT), dtype=np.float32)
+    a, b = 1 << WORD_BITS, (1 << WORD_BITS) + (1 << SHAPE_BITS)
+    np.sqrt(word_shares(data, limits), out=out[:, :a], casting="same_kind")
+    np.sqrt(shape_shares(data, limits), out=out[:, a:b], casting="same_kind")
+    out[:, b:] = np.stack(dense, axis=1)
+    return out
 
 
 def meta_features(source: list, lang: list, n_chars: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
@@ -138,8 +144,8 @@ def both_features(batch: pa.RecordBatch):
     data, limits = tb.string_buffers(batch.column("text"))
     source, lang, length = (batch.column(c).to_pylist() for c in ("source", "lang", "n_chars"))
     for low, high in tb.row_chunks(limits, 1_000_000):
-        for a in range(low, high, 2000):
-            b = min(a + 2000, high)
+        for a in range(low, high, ROWS):
+            b = min(a + ROWS, high)
             part, local = data[limits[a] : limits[b]], limits[a : b + 1] - limits[a]
             ends = np.zeros(len(part) + 1, dtype=np.int64)
             np.cumsum(part == 10, out=ends[1:])
