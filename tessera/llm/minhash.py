@@ -2,9 +2,10 @@
 
 Documents are weighted sets of word shingles, weight = (1 + ln tf) * idf. The
 idf falls only for shingles in more than 1 / ``COMMON`` of all documents, from 1
-to 1 - ``SPAN``, so that the edits of a heavily copied text don't outweigh what
-its copies share; the table of such shingles has a bound (``COMMON`` times the
-mean number of shingles of a document), whatever the input. Improved consistent
+to 1 - ``span``, so that the edits of a heavily copied text don't outweigh what
+its copies share (README: what other spans lose); the table of such shingles has
+a bound (``COMMON`` times the mean number of shingles of a document), whatever
+the input. Improved consistent
 weighted sampling (one sample of all shingles for each slot; for heavy
 documents one sample for each of as many bins, empty bins borrowing) gives a
 sketch, its bands give buckets. Documents of a bucket whose sketches are alike
@@ -17,8 +18,9 @@ threshold share a class.
 Defined results: documents with the same words in the same order (null, empty
 and blank texts among them) are one class without any sampling; texts of fewer
 words than a shingle have one shingle of all their words; repeated rows share a
-class; ids may be null; an empty table gives no rows; other columns are
-ignored.
+class, and so do pairs exactly at the threshold; ids may be null; an empty table
+gives no rows; other columns, whatever their names, are ignored; a text of any
+length is shingled whole, in memory linear in its length.
 """
 
 from __future__ import annotations
@@ -42,11 +44,11 @@ FULL_WEIGHT = 160.0  # up to this weight a document gets a full sample for each
 class Idf:
     """Sorted hashes of common shingles with their factors; every other shingle has factor 1."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n_docs: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n_docs: int, span: float = SPAN):
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         ratio = np.minimum(1.0, counts[order] / max(1, n_docs))
-        self.factors = 1 - SPAN * np.clip(np.log(np.maximum(ratio * COMMON, 1)) / np.log(COMMON), 0, 1)
+        self.factors = 1 - span * np.clip(np.log(np.maximum(ratio * COMMON, 1)) / np.log(COMMON), 0, 1)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         out = np.ones(len(h))
@@ -86,7 +88,7 @@ def _chunks(column: pa.Array, most: int = 2_000_000):
         yield low, high, data[limits[low] : limits[high]], limits[low : high + 1] - limits[low]
 
 
-def common_shingles(docs: DataFrame, size: int, text_col: str) -> tuple[Idf, int]:
+def common_shingles(docs: DataFrame, size: int, text_col: str, span: float = SPAN) -> tuple[Idf, int]:
     """Exact document counts of all shingles in at least 1 / COMMON of the documents.
 
     A first pass counts with loss in each partition and reports what may be in
@@ -126,7 +128,7 @@ def common_shingles(docs: DataFrame, size: int, text_col: str) -> tuple[Idf, int
     names = np.array([r["h"] for r in bound.select("h").collect()], dtype=np.int64).view(np.uint64)
     names.sort()
     if not len(names):
-        return Idf(names, np.zeros(0), n_docs), n_docs
+        return Idf(names, np.zeros(0), n_docs, span), n_docs
     shared = docs.sparkSession.sparkContext.broadcast(names)
 
     def exact(batches):
@@ -141,7 +143,7 @@ def common_shingles(docs: DataFrame, size: int, text_col: str) -> tuple[Idf, int
         yield pa.RecordBatch.from_arrays([pa.array(wanted[there].view(np.int64)), pa.array(total[there])], ["h", "n"])
 
     rows = texts.mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * COMMON >= n_docs).collect()
-    return Idf(np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in rows], dtype=float), n_docs), n_docs
+    return Idf(np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in rows], dtype=float), n_docs, span), n_docs
 
 
 def _sample(h: np.ndarray, log_w: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
@@ -615,7 +617,8 @@ def class_labels(texts: DataFrame, links: DataFrame, idf, size: int, least: floa
     columns = ("label", "key", "text", "sketches")
     ranged = texts.repartitionByRange("label", "key").sortWithinPartitions("label", "key").select(*columns)
     local = written(ranged.mapInArrow(_block_classes(idf, size, least, like, True), _CLASS), "classes")
-    firsts = local.where(F.col("text").isNotNull()).select(*columns).repartition("label").sortWithinPartitions("label", "key").select(*columns)
+    # Ranges again, for the firsts of one large group would be one task; what lies in different ranges meets below.
+    firsts = local.where(F.col("text").isNotNull()).select(*columns).repartitionByRange("label", "key").sortWithinPartitions("label", "key").select(*columns)
     again = firsts.mapInArrow(_block_classes(idf, size, least, like, False), _CLASS)
     at = local.select("key", "block")
     crossing = links.join(at.select(F.col("key").alias("a"), F.col("block").alias("x")), "a").join(at.select(F.col("key").alias("b"), F.col("block").alias("y")), "b").where("x <> y").select("a", "b")
@@ -625,14 +628,14 @@ def class_labels(texts: DataFrame, links: DataFrame, idf, size: int, least: floa
     return joined(labels, met(pairs, ("text", "sketches"), _near_texts(idf, size, least, like)))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, span: float = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, version, class_doc, class_version, class_size, stays) for every row.
 
     ``class_doc`` and ``class_version`` name the class by its first member
     (least id, null last, then version); ``stays`` is true for that member.
     ``version`` is the hash of the text.
     """
-    idf, _ = common_shingles(docs, size, text_col)
+    idf, _ = common_shingles(docs, size, text_col, span)
     rows = written(sketch_rows(docs, idf, size, id_col, text_col), "sketches")
     place = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "version")
     reps = written(rows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("rows"), F.first("sketches").alias("sketches")).select("key", "first", "first.doc", "first.version", "rows", "sketches"), "reps")

@@ -226,6 +226,62 @@ def test_sampling_estimates_weighted_jaccard():
         assert hits and all(abs(x - 0.8) < 0.2 for _, x in hits)
 
 
+@pytest.mark.parametrize("size", [60, 110, 125, 155, 165, 190, 400, 3000])
+def test_candidates_are_found_on_both_sides_of_the_full_sample(size):
+    """Pairs just over the threshold share a bucket and look alike, whichever sketches their weights give them."""
+    r = np.random.default_rng(size)
+    n, found = 120, 0
+    for _ in range(n):
+        own = size - int(size * 0.81 * 2 / 1.81)  # similarity of 0.81 for two sets of this size
+        h = r.integers(1, 2**63, size + own, dtype=np.uint64)
+        rows = np.repeat([0, 1], size)
+        sets = np.concatenate([np.sort(h[:size]), np.sort(h[own:])])
+        kinds = {}
+        for kind, at, slots in minhash.sketches(rows, sets, np.ones(2 * size), 2):
+            if len(at) == 2:
+                small = (slots & np.uint64(0xFF)).astype(np.uint8)
+                keys = minhash.band_keys(kind, slots)
+                kinds[kind] = (keys[0] == keys[1]).any() and (small[0] == small[1]).mean() >= 0.6
+        found += any(kinds.values())
+    assert found >= 0.98 * n
+
+
+def similar_pairs(texts, least=0.8):
+    """All pairs of different word sequences with a plain Jaccard similarity of ``least``, by an inverted index."""
+    docs = {}
+    for k, x in enumerate(texts):
+        w = tuple((x or "").encode().split())
+        docs.setdefault(w, k)
+    sets = {k: {w[i : i + 5] for i in range(max(1, len(w) - 4))} for w, k in docs.items() if w}
+    index = {}
+    for k, grams in sets.items():
+        for g in grams:
+            index.setdefault(g, []).append(k)
+    shared = {}
+    for own in index.values():
+        for i, a in enumerate(own):
+            for b in own[:i]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    return [(a, b) for (a, b), n in shared.items() if n >= least * (len(sets[a]) + len(sets[b]) - n)]
+
+
+def test_near_duplicates_recall_on_a_real_table(spark, sf):
+    rows = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "text").toPandas().sort_values("doc_id")
+    pairs = similar_pairs(rows.text.tolist())
+    got = {x.doc: x.class_doc for x in minhash.near_duplicates(spark.createDataFrame(rows)).collect()}
+    ids = rows.doc_id.tolist()
+    together = sum(got[ids[a]] == got[ids[b]] for a, b in pairs)
+    print("similar pairs", len(pairs), "in one class", together)
+    assert len(pairs) >= 40 and together >= 0.95 * len(pairs)
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    long = words(300_000, 8)
+    texts = [" ".join(long), " ".join(long[:150_000] + ["edit"] + long[150_001:]), " ".join(long[::-1]), "short"]
+    got = {x.doc: x.class_doc for x in minhash.near_duplicates(spark.createDataFrame(rows_of(texts), DOCS).selectExpr("*", "1 AS key", "2 AS version")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
 def test_hot_group_is_cut_into_blocks(spark, monkeypatch):
     base = words(200, 1)
     texts = []
