@@ -6,8 +6,10 @@ loses too much of its text that way is rejected. Counts for whole documents
 are kept beside.
 
 Defined results: null text is empty text, has no words and fails the base
-rules; repeated rows give repeated results; there is no state between rows, so
-ties and hot sources need no care; columns beside id and text are ignored.
+rules; repeated rows give repeated results; a document exactly at a threshold
+is kept; there is no state between rows, so ties and hot sources need no care;
+an empty table gives no rows; columns beside id and text, whatever their names,
+are ignored; a text of any length is judged whole, in time linear in its length.
 """
 
 from __future__ import annotations
@@ -25,8 +27,21 @@ from tessera.llm import textbatch as tb
 _END_MARKS = (b".", b"!", b"?", b'"', b"'", b":", b";", b")", "…".encode(), "”".encode(), "»".encode(), "。".encode())
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 _SEPARATORS = re.compile(rb"[|\xbb]|\xe2\x80\xa2|\xc2\xb7|>>")
-_MENU = re.compile(rb"(?i)^\W*(home|menu|login|log in|sign (in|up)|search|contact( us)?|about( us)?|next|previous|share|subscribe|skip to \w+)\b")
-_BOILERPLATE = re.compile(rb"(?i)licen[sc]ed under|all rights reserved|copyright\s+(\(c\)|\xc2\xa9|\d{4})|terms (of (use|service)|and conditions)|privacy policy|cookie(s| policy)|enable javascript|spdx-license|without warrant(y|ies)")
+# Words that lead entries of menus, and phrases of boilerplate, in English, German, Spanish and French.
+MENU = (
+    "home", "menu", "login", "log in", "sign in", "sign up", "search", "contact", "about", "next", "previous", "share", "subscribe", "skip to \\w+",
+    "startseite", "menü", "anmelden", "registrieren", "suche", "kontakt", "über uns", "weiter", "zurück", "teilen", "abonnieren", "impressum",
+    "inicio", "menú", "iniciar sesión", "registrarse", "buscar", "contacto", "acerca de", "siguiente", "anterior", "compartir", "suscribirse",
+    "accueil", "connexion", "s'inscrire", "rechercher", "à propos", "suivant", "précédent", "partager", "s'abonner",
+)
+BOILERPLATE = (
+    "licen[sc]ed under", "all rights reserved", "copyright\\s+(\\(c\\)|©|\\d{4})", "terms (of (use|service)|and conditions)", "privacy policy", "cookie(s| policy)", "enable javascript", "spdx-license", "without warrant(y|ies)",
+    "lizenziert unter", "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutz(erklärung|hinweise)", "ohne gewähr",
+    "bajo (la )?licencia", "todos los derechos reservados", "condiciones de uso", "política de (privacidad|cookies)", "sin garantía",
+    "sous licence", "tous droits réservés", "conditions (générales )?d'utilisation", "politique de confidentialité", "mentions légales", "sans garantie",
+)
+_MENU = re.compile(rb"(?i)^\W*(" + "|".join(MENU).encode() + rb")(?![a-z0-9_\x80-\xff])")
+_BOILERPLATE = re.compile(rb"(?i)" + "|".join(BOILERPLATE).encode())
 _UPPER = re.compile(rb"[A-Z]")
 _LOWER = re.compile(rb"[a-z]")
 

@@ -175,6 +175,67 @@ def test_quality_verdicts():
     assert quality_rules.cleaned("Good line, it ends well.\nHome | A | B | C\nGood line, it ends well.") == "Good line, it ends well."
 
 
+def brute_kept(text):
+    """The verdict, line by line on characters instead of bytes."""
+    seen, whole, lost, junk = set(), 0, 0, 0
+    ends = tuple(".!?\"':;)…”»。")
+    for line in (text or "").split("\n"):
+        bare = line.strip(" \t\n\r\x0b\x0c")
+        if not bare:
+            continue
+        size = len(bare.encode())
+        whole += size
+        words = line.encode().split()
+        n = len(words)
+        marks = len(re.findall(r"[|»•·]|>>", line))
+        ended = bare.endswith(ends)
+        menu = n <= 6 and not ended and re.match(r"(?ai)^\W*(" + "|".join(quality_rules.MENU).replace("\\w", "[a-zA-Z0-9_]") + r")(?![a-zA-Z0-9_\x80-\U0010ffff])", line)
+        upper, lower = sum("A" <= c <= "Z" for c in line), sum("a" <= c <= "z" for c in line)
+        if marks >= 2 and marks >= 0.2 * n or menu:
+            fault = "navigation"
+        elif len(re.findall(r"[#*$%&|<>]", line)) > 0.2 * n + 1 or line.count("!") > 0.3 * n + 1 and upper > lower or n < 8 and not ended:
+            fault = "punctuation"
+        elif n <= 60 and re.search("(?i)" + "|".join(quality_rules.BOILERPLATE), line) or line in seen:
+            fault = "boilerplate"
+        else:
+            fault = None
+        seen.add(line)
+        lost += size * (fault is not None)
+        junk += size * (fault not in (None, "boilerplate"))
+    return not brute_base(text)[-1] and (lost / whole if whole else 0.0) <= 0.4 and junk <= 0.2 * whole
+
+
+def test_quality_verdict_equals_brute_force(spark, sf):
+    r = random.Random(5)
+    lines = ["Accueil | Suivant", "Startseite", "Alle Rechte vorbehalten und nichts sonst hier in dieser langen Zeile.", "BUY!! NOW!! ALL!! OF!! IT!!", "# * $ % &", "bare words only", "Zurück", "Zurückhaltung ist gut, sagt man hier.", "Política de cookies de este sitio web que se lee aquí."]
+    sound = ["This line has quite enough of plain words and ends well.", "Une phrase entière qui finit bien par un point ici.", "Noch ein ganzer Satz, der ordentlich mit einem Punkt endet."]
+    texts = ["\n".join(f"{r.choice(sound)} {k}." if r.random() < 0.8 else r.choice(lines) for k in range(r.randrange(1, 30))) for _ in range(150)]
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("text").toPandas().text.tolist()
+    texts += [x for x in docs if x and len(x) < 3000][:400] + [None, "", "\n", texts[0]]
+    rows = spark.createDataFrame([(k, x, k, True) for k, x in enumerate(texts)], "doc_id long, text string, n_words long, kept boolean")
+    got = {x.doc_id: x.kept for x in quality_rules.judge(rows).collect()}
+    assert got == {k: brute_kept(x) for k, x in enumerate(texts)}
+    assert 0 < sum(got.values()) < len(got) and quality_rules.judge(rows.limit(0)).count() == 0
+
+
+def test_very_long_texts_are_read_whole(spark):
+    """A text of two megabytes, whose last words matter, through each operator that works row by row."""
+    text = " ".join(f"w{k % 977} is written here." for k in range(90_000))
+    df = spark.createDataFrame([(4, text + " wretch", "s", 1), (5, text, "s", 2), (5, text, "s", 3)], "doc_id long, text string, source string, size long")
+    n = len(text.split())
+    assert sorted(x.n_words for x in quality_rules.judge(df).collect()) == [n, n, n + 1]
+    assert sorted(x.size for x in mixing.mix(df).collect()) == [n, n, n + 1]
+    labels = spark.createDataFrame([(4, 1, 1), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    scored = cotraining.score(df, cotraining.fit(df, labels))
+    assert scored.count() == 3 and scored.select("row.*").columns == df.columns
+    model = toxicity.Model(np.zeros(1 << toxicity.BUCKET_BITS, np.float32), -1.0)
+    for _, bucket, _ in toxicity.gram_buckets(np.frombuffer(b"wretch", np.uint8), np.array([0, 6])):
+        model.table[bucket] = 90.0
+    a, b = (toxicity.text_logits(pa.array([x]), model)[0] for x in (text + " wretch", text))
+    assert a > b
+    assert {x.n_tokens > n for x in bpe.round_trip_digests(df, RANKS, public_tokenizers.PATTERN).collect()} == {True}
+
+
 def test_quality_agrees_with_labels(spark, sf):
     sf = sf.replace("0.001", "0.01")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
