@@ -85,6 +85,30 @@ def bytes_as_data_uri(x: Column) -> Column:
     return F.when(x.isNotNull(), F.concat(F.lit("data:image/jpeg;base64,"), F.regexp_replace(F.base64(x), r"\s", "")))
 
 
+def pick_image(*columns: Column) -> Column:
+    """The first of several image columns, base64 texts or data URIs, that can be used."""
+    return F.coalesce(*[as_data_uri(c) for c in columns])
+
+
+def usable_images(images: Column) -> Column:
+    """The images of an array (base64 texts or data URIs) whose bytes have a known format, as bytes."""
+    data = F.transform(images, decode_base64)
+    return F.filter(data, lambda x: x.isNotNull() & (image_format(x) != "unknown"))
+
+
+def merged_map(first: Column, second: Column) -> Column:
+    """Both maps; where they share a key the second wins."""
+    return F.map_concat(F.map_filter(first, lambda k, _: ~F.map_contains_key(second, k)), second)
+
+
+def detect(name: Column, kinds: dict[str, str], default: str) -> Column:
+    """The kind of the first keyword, in order, that stands in the lower-cased name."""
+    found = F.lit(None).cast("string")
+    for keyword, kind in reversed(kinds.items()):
+        found = F.when(F.contains(F.lower(name), F.lit(keyword)), kind).otherwise(found)
+    return F.coalesce(found, F.lit(default))
+
+
 def option_map(options: dict[str, Column]) -> Column:
     """Letter to stripped option text; blank options are left out."""
     pairs = [v for k, c in options.items() for v in (F.lit(k), strip(c))]

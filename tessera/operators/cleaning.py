@@ -98,6 +98,11 @@ def option_rows(df: DataFrame, letters: dict[str, str], image: str | None = None
     return out.where(keep & F.col(image).isNotNull() if image else keep)
 
 
+def common_fields(columns: list[str], wanted: tuple[str, ...]) -> list[str]:
+    """The wanted fields that a table has, in the order in which they are wanted."""
+    return [c for c in wanted if c in set(columns)]
+
+
 def dataset_statistics(df: DataFrame, text_col: str, label_col: str | None = None) -> DataFrame:
     """One row: number of rows, shortest, longest and mean text, number of labels."""
     size = F.length(text_col)

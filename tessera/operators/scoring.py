@@ -112,3 +112,34 @@ def mock_grades(samples: DataFrame, id_col: str = "sample_id") -> DataFrame:
 def with_fallback(parsed: DataFrame) -> DataFrame:
     """Scores of 5.0 at confidence 0.5 where a reply couldn't be parsed, marked as such."""
     return parsed.withColumns({"is_fallback": F.col("corr").isNull(), "corr": F.coalesce("corr", F.lit(5.0)), "train": F.coalesce("train", F.lit(5.0)), "corr_conf": F.coalesce("corr_conf", F.lit(0.5)), "train_conf": F.coalesce("train_conf", F.lit(0.5))})
+
+
+#: Fields that a grader's reply must have.
+REPLY_FIELDS = ("correctness_score", "correctness_confidence", "correctness_rationale", "training_quality_score", "training_quality_confidence", "training_quality_rationale", "overall_assessment")
+
+
+def evaluations(replies: DataFrame, strict: bool = True) -> DataFrame:
+    """Evaluation records of parsed replies: (sample_id, model_name, model_capability, reply struct, timestamp).
+
+    Metrics get both descriptions, empty where one is missing. A reply without
+    a required field is an error, or is left out if not ``strict``.
+    """
+    missing = F.array_compact(F.array(*[F.when(F.col(f"reply.{f}").isNull(), f) for f in REPLY_FIELDS]))
+    rows = replies.withColumn("_missing", missing)
+    if strict:
+        rows = rows.withColumn("_missing", F.when(F.size("_missing") > 0, F.raise_error(F.concat(F.lit("a reply lacks "), F.array_join("_missing", ", ")))).otherwise(F.col("_missing")))
+    filled = lambda x, c: F.coalesce(x[c], F.lit("")).alias(c)
+    metrics = F.transform(F.coalesce("reply.recommended_metrics", F.array()), lambda m: F.struct(filled(m, "general_metric_description"), filled(m, "specific_metric_description")))
+    return rows.where(F.size("_missing") == 0).select("model_name", "model_capability", "sample_id", *[F.col(f"reply.{f}").alias(f) for f in REPLY_FIELDS], metrics.alias("recommended_metrics"), "timestamp", F.col("reply.information_recap").alias("information_recap"))
+
+
+def as_triples(evaluated: DataFrame) -> DataFrame:
+    """One row for each sample with the record of each grader, as the reader of evaluation triples takes them."""
+    record = F.struct(*evaluated.columns)
+    newest = lambda g: F.max_by(F.when(F.col("model_capability") == g, record), F.when(F.col("model_capability") == g, F.coalesce("timestamp", F.lit(""))))
+    return evaluated.groupBy("sample_id").agg(*[newest(g).alias(g) for g in GRADERS])
+
+
+def with_overrides(defaults: dict[str, dict], given: dict[str, object]) -> dict[str, dict]:
+    """Grader settings with those of a file laid over them; an unknown grader or an entry that is no mapping changes nothing."""
+    return {g: own | (given[g] if isinstance(given.get(g), dict) else {}) for g, own in defaults.items()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as a
+from tessera.functions import text as t
 from tessera.operators import clusters, evaluation, features, metric_dedup, models, scoring
 from tessera.plans.q_agents import _folder
 from tessera.plans.q_eval import BLEU, CLASSES, r6
@@ -216,6 +217,59 @@ def benchmark_manager(i):
     return evaluation.benchmark_summary(manager.evaluate(i.spark, ["b"], models.EchoAdapter)).select("benchmark", "total", "correct")
 
 
+@query("SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN 'data:image/png;base64,AA==' WHEN 1 THEN 'data:image/jpeg;base64,' || repeat('QUJD', 6) END AS image FROM nation")
+def pick_image(i):
+    k = F.col("n_nationkey") % 3
+    images = (F.when(k == 0, "data:image/png;base64,AA=="), F.when(k == 1, "").otherwise("no image"), F.when(k == 1, F.repeat(F.lit("QUJD"), 6)))
+    return i.table("nation").select(F.col("n_nationkey").alias("id"), t.pick_image(*images).alias("image"))
+
+
+@query("SELECT n_nationkey AS id, n_nationkey % 3 AS n FROM nation")
+def usable_images(i):
+    good = F.base64(F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.lit("0123456789").cast("binary")))
+    images = F.concat(F.array_repeat(good, (F.col("n_nationkey") % 3).cast("int")), F.array(F.lit("????"), F.base64(F.lit("just some words").cast("binary"))))
+    return i.table("nation").select(F.col("n_nationkey").alias("id"), F.size(t.usable_images(images)).alias("n"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN contains(lower(c_mktsegment), 'build') THEN 'b' WHEN contains(lower(c_mktsegment), 'e') THEN 'e' ELSE 'other' END AS kind FROM customer")
+def detect_kind(i):
+    return i.table("customer").select(F.col("c_custkey").alias("id"), t.detect(F.col("c_mktsegment"), {"build": "b", "e": "e"}, "other").alias("kind"))
+
+
+@query("SELECT CAST(sample_id AS VARCHAR) AS sample_id, cap, corr, CAST(n_metrics AS INTEGER) AS n_metrics FROM ({v_scores}) s WHERE sample_id % 5 > 0")
+def evaluation_records(i):
+    metrics = F.transform(F.sequence(F.lit(1), F.col("n_metrics")), lambda k: F.struct(k.cast("string").alias("general_metric_description"), F.lit(None).cast("string").alias("specific_metric_description")))
+    texts = [F.when(F.col("sample_id") % 5 > 0, "x").alias(f) for f in ("correctness_rationale", "training_quality_rationale", "overall_assessment")]
+    reply = F.struct(F.col("corr").alias("correctness_score"), F.col("corr_conf").alias("correctness_confidence"), F.col("train").alias("training_quality_score"), F.col("train_conf").alias("training_quality_confidence"), *texts, metrics.alias("recommended_metrics"), F.lit(None).cast("string").alias("information_recap"))
+    replies = i.view("v_scores").select(F.col("sample_id").cast("string").alias("sample_id"), F.lit("m").alias("model_name"), F.col("cap").alias("model_capability"), reply.alias("reply"), F.lit("2026").alias("timestamp"))
+    writers.evaluation_triples(scoring.evaluations(replies, strict=False), p := _folder(i))
+    return readers.grader_rows(readers.evaluation_triples(i.spark, p, lines=True)).select("sample_id", "cap", "corr", "n_metrics")
+
+
+@query(f"WITH {SCORED} SELECT 'hard_cases' AS part, count(*) AS n FROM scored WHERE round(difficulty, 9) >= 3 OR round(greatest(corr_std, train_std), 9) >= 3 UNION ALL SELECT 'prompt', 2")
+def batch_report_sink(i):
+    scored = scoring.score(scoring.align(i.view("v_scores")))
+    prompt = i.spark.range(2).select(F.concat(F.lit("line "), F.col("id").cast("string")).alias("value"))
+    writers.batch_report(scoring.hard_cases(scored).select("sample_id", "difficulty"), i.view("v_metrics").select("general"), scored.agg(F.count("*").alias("n")), prompt, p := _folder(i))
+    count = lambda rows, name: rows.agg(F.lit(name).alias("part"), F.count("*").alias("n"))
+    return count(i.spark.read.schema("sample_id long").json(f"{p}/hard_cases"), "hard_cases").unionByName(count(i.spark.read.text(f"{p}/prompt"), "prompt"))
+
+
+@query("SELECT id, agents FROM (SELECT id, CASE WHEN id % 7 = 0 THEN 0 ELSE 2 END AS agents FROM ({v_completions}) t) x")
+def selection_inference(i):
+    class Replies:
+        """The prompt is the reply of a model that was asked before."""
+
+        def load(self):
+            pass
+
+        def generate(self, prompts):
+            return prompts
+
+    answered = models.generate(i.view("v_completions").select("id", "text"), Replies, prompt="text")
+    return answered.select("id", F.size(t.selection_agents(F.col("answer"))).alias("agents"))
+
+
 @query()
 def hierarchical_auto_k(i):
     return clusters.hierarchical(i.table("embeddings"), "vec_id", 3, 8, most=300)[0]

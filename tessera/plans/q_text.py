@@ -247,6 +247,5 @@ def safe_numbers(i):
 def metadata_merge(i):
     first = F.create_map(F.lit("a"), F.lit("one"), F.lit("b"), F.lit("one"))
     second = F.create_map(F.lit("b"), F.lit("two"), F.lit("c"), F.concat(F.lit("id"), F.col("item_id").cast("string")))
-    kept = F.map_filter(first, lambda k, _: ~F.map_contains_key(second, k))
-    merged = i.table("benchmark").select("item_id", F.map_concat(kept, second).alias("m"))
+    merged = i.table("benchmark").select("item_id", t.merged_map(first, second).alias("m"))
     return merged.select("item_id", F.col("m")["b"].alias("b"), F.col("m")["c"].alias("c"), F.col("m")["a"].alias("a"))

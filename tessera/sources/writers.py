@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,6 +58,26 @@ def benchmark_report(summary: DataFrame, path: str, poor_below: float = 0.7, mod
     jsonl(summary.withColumn("is_poor_performer", F.col("accuracy") < poor_below), path, mode)
 
 
+def evaluation_triples(evaluated: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Evaluation records as one JSON line for each sample, its graders side by side."""
+    from tessera.operators.scoring import as_triples
+
+    jsonl(as_triples(evaluated), path, mode)
+
+
+def batch_report(hard: DataFrame, merged: DataFrame, statistics: DataFrame, prompt: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """What a batch leaves: hard cases, merged metrics and figures as JSON lines, and its prompt (one text column) as text."""
+    for name, rows in (("hard_cases", hard), ("merged_metrics", merged), ("statistics", statistics)):
+        jsonl(rows, f"{path}/{name}", mode)
+    text(prompt, prompt.columns[0], f"{path}/prompt", mode)
+
+
+def results(rows: DataFrame, path: str, line: Column, mode: str = "overwrite") -> None:
+    """Inference results twice: as JSON lines, and as text with one readable ``line`` for each."""
+    jsonl(rows, f"{path}/json", mode)
+    text(rows.select(line.alias("value")), "value", f"{path}/text", mode)
+
+
 def preview(df: DataFrame, n: int = 3, order: str | None = None) -> list[dict]:
     rows = df.orderBy(order).limit(n) if order else df.limit(n)
     return [r.asDict(True) for r in rows.collect()]

@@ -3,9 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import workdir
-from tessera.operators import clusters, evaluation, features, metric_dedup, models
-from tessera.sources import readers, registry
+from tessera.operators import cleaning, clusters, evaluation, features, metric_dedup, models, scoring
 from tessera.operators.graph import distances
+from tessera.sources import readers, registry, writers
 
 
 def plain_dendrogram(x, linkage):
@@ -200,3 +200,27 @@ def test_shared_folder_must_be_named_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         workdir.shared_dir(Session())
+
+
+def test_evaluations_need_their_fields(spark):
+    fields = ", ".join(f"{f} {'double' if f.endswith(('score', 'confidence')) else 'string'}" for f in scoring.REPLY_FIELDS)
+    schema = f"sample_id string, model_name string, model_capability string, timestamp string, reply struct<{', '.join(x.replace(' ', ':', 1) for x in fields.split(', '))}, recommended_metrics:array<struct<general_metric_description:string,specific_metric_description:string>>, information_recap:string>"
+    whole = (1.0, 0.5, "r", 2.0, 0.5, "r", "o", [("g", None)], None)
+    rows = spark.createDataFrame([("a", "m", "sota", "1", whole), ("a", "m", "sota", "2", (3.0, *whole[1:])), ("b", "m", "weak", "1", (None, *whole[1:]))], schema)
+    kept = scoring.evaluations(rows, strict=False)
+    assert kept.count() == 2 and kept.first().recommended_metrics[0].specific_metric_description == ""
+    assert scoring.as_triples(kept).first().sota.correctness_score == 3.0
+    with pytest.raises(Exception, match="a reply lacks correctness_score"):
+        scoring.evaluations(rows).collect()
+
+
+def test_overrides_and_fields():
+    defaults = {"weak": {"a": 1, "b": 2}, "sota": {"a": 3}}
+    assert scoring.with_overrides(defaults, {"weak": {"b": 5}, "sota": "bad", "other": {}}) == {"weak": {"a": 1, "b": 5}, "sota": {"a": 3}}
+    assert cleaning.common_fields(["x", "image"], ("image", "picture")) == ["image"]
+
+
+def test_results_are_written_twice(spark, tmp_path):
+    df = spark.createDataFrame([(1, "yes")], "id int, answer string")
+    writers.results(df, f"{tmp_path}/out", F.concat_ws(": ", F.col("id").cast("string"), "answer"))
+    assert spark.read.text(f"{tmp_path}/out/text").first().value == "1: yes" and spark.read.schema("id int").json(f"{tmp_path}/out/json").first().id == 1
