@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm import textbatch as tb
 from tessera.llm.linededup import text_hash
 from tessera.llm.quality_rules import _counts
-from tessera.llm.storage import remove_table, write_table
+from tessera.llm.storage import remove_table, write_table, written
 
 WORD_BITS = 10
 SHAPE_BITS = 10
@@ -267,6 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", each_cla
     """
     spark = docs.sparkSession
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
+    marked = written(marked, "labels")
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     prior = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
     pick = lambda y: marked.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(each_class)
@@ -282,11 +283,17 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", each_cla
         free = found.join(marked.select("id"), "id", "left_anti")
         chosen: dict[str, dict] = {"text": {}, "meta": {}}
         limit = float(np.log(sure / (1 - sure)))
+        tops = None
         for name, other in (("text", "meta"), ("meta", "text")):
             for value, ranked in ((0, F.col(name)), (1, -F.col(name))):
                 # As many more as earlier rounds may have taken.
-                top = free.where(ranked <= -limit).select("id", "mark", ranked.alias("z")).distinct().orderBy("z", "id", "mark").limit(each_round * (step + 1) * 2).collect()
-                fresh = [(r["id"], r["mark"]) for r in top if (r["id"], r["mark"]) not in taken[other]][:each_round]
+                top = free.where(ranked <= -limit).select("id", "mark", ranked.alias("z")).distinct().orderBy("z", "id", "mark").limit(each_round * (step + 1) * 2)
+                top = top.select(F.lit(other).alias("to"), F.lit(value).alias("y"), "z", "id", "mark")
+                tops = top if tops is None else tops.unionByName(top)
+        ranked_rows = sorted(tops.collect(), key=lambda r: (r["z"], r["id"], r["mark"]))
+        for other in ("meta", "text"):
+            for value in (0, 1):
+                fresh = [(r["id"], r["mark"]) for r in ranked_rows if (r["to"], r["y"]) == (other, value) and (r["id"], r["mark"]) not in taken[other]][:each_round]
                 chosen[other] |= {k: value for k in fresh if k not in chosen[other]}
             taken[other] |= set(chosen[other])
         remove_table(spark, path)
