@@ -1,4 +1,9 @@
-"""The ten training-data queries, each its operator over its whole table."""
+"""The ten training-data queries, each its operator over its whole table.
+
+Nulls, repeated rows, ties, empty tables and texts of any length give what the
+operators' modules state; each query has one row for each row of its table, the
+search ``k`` rows at most for each query vector.
+"""
 
 from __future__ import annotations
 
@@ -22,20 +27,24 @@ def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, removed bytes, removed runs and digest of what is left of every document, for strings of 100 bytes."""
     found = suffix.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
     return found.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of words and lines, base verdict and the verdict of the line rules for every document."""
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
 def op4_budget_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, its source's size and target, and the words the mix takes of every document."""
     plan = mixing.mix(_table(spark, sf_dir, "documents"))
     return plan.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def op5_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of both views, their blend and the verdict for every document."""
     docs = _table(spark, sf_dir, "documents")
     model = cotraining.fit(docs, _table(spark, sf_dir, "labels"))
     scored = cotraining.score(docs.select("doc_id", "text", "lang", "source", "n_chars"), model)
@@ -57,6 +66,7 @@ def op6_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows of every query (ids divisible by 50) by integer inner product."""
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
@@ -104,10 +114,12 @@ GROUP BY k.doc
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of token ids, and digest of the decoded bytes, of every document."""
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of every document, and whether its label was held out."""
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
