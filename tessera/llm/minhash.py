@@ -617,8 +617,8 @@ def class_labels(texts: DataFrame, links: DataFrame, idf, size: int, least: floa
     columns = ("label", "key", "text", "sketches")
     ranged = texts.repartitionByRange("label", "key").sortWithinPartitions("label", "key").select(*columns)
     local = written(ranged.mapInArrow(_block_classes(idf, size, least, like, True), _CLASS), "classes")
-    # Ranges again, for the firsts of one large group would be one task; what lies in different ranges meets below.
-    firsts = local.where(F.col("text").isNotNull()).select(*columns).repartitionByRange("label", "key").sortWithinPartitions("label", "key").select(*columns)
+    # The firsts of a label meet in one task, cut into blocks: what they join here need not meet block by block below.
+    firsts = local.where(F.col("text").isNotNull()).select(*columns).repartition("label").sortWithinPartitions("label", "key").select(*columns)
     again = firsts.mapInArrow(_block_classes(idf, size, least, like, False), _CLASS)
     at = local.select("key", "block")
     crossing = links.join(at.select(F.col("key").alias("a"), F.col("block").alias("x")), "a").join(at.select(F.col("key").alias("b"), F.col("block").alias("y")), "b").where("x <> y").select("a", "b")
