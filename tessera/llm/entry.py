@@ -1,4 +1,4 @@
-"""The ten training-data queries, each its operator over its whole table.
+"""The training-data queries, each its operator over its whole table.
 
 Nulls, repeated rows, ties, empty tables and texts of any length give what the
 operators' modules state; each query has one row for each row of its table, the
@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, cotraining, linededup, minhash, mixing, pii, quality_rules, suffix, topk, toxicity
+from tessera.llm import bpe, cotraining, linededup, minhash, mixing, pii, quality_rules, substrings, suffix, topk, toxicity
 from tessera.llm.storage import small_batches
 
 
@@ -125,9 +125,46 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, removed words and digest of what is left of every document, for windows of 13 words."""
+    small_batches(spark)
+    found = substrings.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
+    return found.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", "kept_sha256", F.size("spans").cast("long").alias("n_spans"))
+
+
+OP11_SQL = """
+WITH numbered AS (
+    SELECT row_number() OVER () AS doc, doc_id, coalesce(doc_id, 9223372036854775807) AS place,
+           regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+    FROM documents
+), starts AS (
+    SELECT doc, place, words, unnest(range(1, len(words) - 11)) AS k FROM numbered WHERE len(words) >= 13
+), keyed AS (
+    SELECT doc, place, k, array_to_string(words[k:k + 12], ' ') AS w FROM starts
+), firsts AS (
+    SELECT w, min(place) AS first FROM keyed GROUP BY w
+), covered AS (
+    SELECT DISTINCT doc, unnest(range(k, k + 13)) AS pos FROM keyed JOIN firsts USING (w) WHERE first < place
+), spread AS (
+    SELECT doc, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM numbered
+), cut AS (
+    SELECT s.doc, s.pos, s.word, c.pos IS NOT NULL AS gone,
+           c.pos IS NOT NULL AND lag(c.pos) OVER (PARTITION BY s.doc ORDER BY s.pos) IS NULL AS opens
+    FROM spread s LEFT JOIN covered c ON s.doc = c.doc AND s.pos = c.pos
+), summed AS (
+    SELECT doc, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+           string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept
+    FROM cut GROUP BY doc
+)
+SELECT n.doc_id, len(n.words) AS n_words, coalesce(s.n_removed, 0) AS n_removed,
+       sha256(coalesce(s.kept, '')) AS kept_sha256, coalesce(s.n_spans, 0) AS n_spans
+FROM numbered n LEFT JOIN summed s ON n.doc = s.doc
+"""
+
+
 def queries():
-    return {f.__name__: f for f in (op1_minhash_neardup, op2_suffix_dedup, op3_quality_rules, op4_budget_mixing, op5_quality_cotraining, op6_pii_disclosure, op7_exact_topk, op8_line_dedup, op9_byte_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_minhash_neardup, op2_suffix_dedup, op3_quality_rules, op4_budget_mixing, op5_quality_cotraining, op6_pii_disclosure, op7_exact_topk, op8_line_dedup, op9_byte_bpe, op10_toxicity, op11_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": OP7_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op7_exact_topk": OP7_SQL, "op8_line_dedup": OP8_SQL, "op11_substring_dedup": OP11_SQL}

@@ -125,3 +125,11 @@ def shingles(word_hashes: np.ndarray, rows: np.ndarray, size: int, n_rows: int)
         order = np.argsort(r, kind="stable")
         h, r = h[order], r[order]
     return h, r
+
+
+def sequence_prefix(values: np.ndarray) -> np.ndarray:
+    """As ``prefix_hashes``, of a sequence of 64-bit values in place of bytes; ``span_hashes`` takes either."""
+    powers, _ = _power_tables(len(values) + 1)
+    out = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum((mix64(values) | U64(1)) * powers[: len(values)], out=out[1:])
+    return out
