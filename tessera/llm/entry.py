@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, cotraining, linededup, minhash, mixing, pii, quality_rules, substrings, suffix, topk, toxicity
+from tessera.llm import bpe, cotraining, exponion, linededup, minhash, mixing, pii, quality_rules, substrings, suffix, topk, toxicity, whitening
 from tessera.llm.storage import small_batches
 
 
@@ -162,9 +162,56 @@ FROM numbered n LEFT JOIN summed s ON n.doc = s.doc
 """
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deviation of every usable vector, and its values along the eight widest components."""
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=8)
+    return found.select(F.col("id").alias("vec_id"), "component", "n", "deviation", "whitened", "explained", "identity_error", "eigenvalue")
+
+
+def op13_exponion_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector of 64 components after five rounds from 40 drawn centroids."""
+    found = exponion.cluster(_table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_sql(k: int = 40, rounds: int = 5) -> str:
+    """The rounds one after another: ``m`` assigns vectors to the centroids ``c`` before, by all distances."""
+    steps = [f"""
+WITH kept AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+    SELECT row_number() OVER (ORDER BY h, v) - 1 AS number, v
+    FROM (SELECT sha256('2:' || vec_id) AS h, v FROM kept ORDER BY h, v LIMIT {k}) t
+)"""]
+    for turn in range(rounds + 1):
+        steps.append(f"""m{turn} AS (
+    SELECT vec_id, v, min(struct_pack(d := d, number := number)) AS best FROM (
+        SELECT p.vec_id, p.v, c.number, CAST(list_sum(list_transform(list_zip(p.v, c.v), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT) AS d
+        FROM kept p CROSS JOIN c{turn} c
+    ) t GROUP BY vec_id, v
+)""")
+        if turn < rounds:
+            steps.append(f"""c{turn + 1} AS (
+    SELECT c.number, coalesce(u.v, c.v) AS v FROM c{turn} c LEFT JOIN (
+        SELECT number, list(CAST(floor(s::DOUBLE / n) AS BIGINT) ORDER BY k) AS v FROM (
+            SELECT number, k, sum(x) AS s, count(*) AS n FROM (
+                SELECT best.number AS number, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM m{turn}
+            ) t GROUP BY number, k
+        ) t GROUP BY number
+    ) u ON c.number = u.number
+)""")
+    return ", ".join(steps) + f"""
+SELECT m.vec_id, CAST(m.best.number AS INTEGER) AS cluster, m.best.d AS distance,
+       CAST(sum(m.best.d) OVER (PARTITION BY m.best.number) AS BIGINT) AS cluster_inertia,
+       CAST(sum(m.best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM m{rounds} m JOIN c{rounds} c ON m.best.number = c.number
+"""
+
+
 def queries():
-    return {f.__name__: f for f in (op1_minhash_neardup, op2_suffix_dedup, op3_quality_rules, op4_budget_mixing, op5_quality_cotraining, op6_pii_disclosure, op7_exact_topk, op8_line_dedup, op9_byte_bpe, op10_toxicity, op11_substring_dedup)}
+    return {f.__name__: f for f in (op1_minhash_neardup, op2_suffix_dedup, op3_quality_rules, op4_budget_mixing, op5_quality_cotraining, op6_pii_disclosure, op7_exact_topk, op8_line_dedup, op9_byte_bpe, op10_toxicity, op11_substring_dedup, op12_embedding_whitening, op13_exponion_clustering)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": OP7_SQL, "op8_line_dedup": OP8_SQL, "op11_substring_dedup": OP11_SQL}
+    return {"op7_exact_topk": OP7_SQL, "op8_line_dedup": OP8_SQL, "op11_substring_dedup": OP11_SQL, "op13_exponion_clustering": op13_sql()}
