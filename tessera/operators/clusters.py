@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as a
 from tessera.operators.features import mean_pool
+from tessera.operators import linkage as hierarchy
+from tessera.operators.density import dbscan, eps_range, k_distance, neighbours, search_dbscan  # noqa: F401
+from tessera.operators.graph import block_pairs, distances, matrix
 from tessera.workdir import checkpointed
-from tessera.operators.graph import block_pairs, connected_components, distances, matrix
 
 
 def without_noise(df: DataFrame, label: str = "label") -> DataFrame:
@@ -91,54 +93,6 @@ def davies_bouldin(df: DataFrame, vector: str = "embedding", label: str = "label
     return pairs.groupBy("l").agg(F.max("r").alias("r")).agg(F.avg("r").alias("score"))
 
 
-def neighbours(df: DataFrame, key: str, k: int, vector: str = "embedding") -> DataFrame:
-    """(key, rank, distance): the k nearest of every point, itself at rank 1 with distance 0."""
-
-    def f(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"key": pd.Series([], dtype="int64"), "other": pd.Series([], dtype="int64"), "distance": pd.Series([], dtype=float)})
-        d = distances(matrix(left), matrix(right))
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"key": np.repeat(left["key"].to_numpy(), near.shape[1]), "other": right["key"].to_numpy()[near.ravel()], "distance": np.take_along_axis(d, near, 1).ravel()})
-
-    points = df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vec"))
-    met = block_pairs(points, "key", "vec", [], f, "key long, other long, distance double")
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("distance", "other"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("key", "rank", "distance")
-
-
-def k_distance(df: DataFrame, key: str, k: int = 11, skip: int = 3, vector: str = "embedding") -> DataFrame:
-    """(key, distance): mean distance to the neighbours of ranks skip + 1 to k."""
-    return neighbours(df, key, k, vector).where(F.col("rank") > skip).groupBy("key").agg(F.avg("distance").alias("distance"))
-
-
-def eps_range(k_distances: DataFrame, low: float = 0.25, high: float = 0.9) -> DataFrame:
-    return k_distances.agg(F.percentile("distance", F.lit(low)).alias("low"), F.percentile("distance", F.lit(high)).alias("high"))
-
-
-def dbscan(df: DataFrame, key: str, eps: float, min_samples: int, vector: str = "embedding") -> DataFrame:
-    """(key, label): the least core key of each cluster as label, -1 for noise.
-
-    A core point has ``min_samples`` points within eps, itself among them;
-    border points go to the cluster with the least label next to them.
-    """
-
-    def f(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
-        i, j = np.nonzero(distances(matrix(left), matrix(right)) <= eps)
-        return pd.DataFrame({"a": left["key"].to_numpy()[i], "b": right["key"].to_numpy()[j]})
-
-    points = df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vec"))
-    near = checkpointed(block_pairs(points, "key", "vec", [], f, "a long, b long"))
-    core = checkpointed(near.groupBy(F.col("a").alias("core")).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("core"))
-    to_core = near.join(core.withColumnRenamed("core", "b"), "b", "left_semi")
-    labels = connected_components(to_core.join(core.withColumnRenamed("core", "a"), "a", "left_semi"))
-    reached = to_core.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
-    own = labels.select(F.col("node").alias("key"), F.col("label").alias("own"))
-    return points.select("key").join(own, "key", "left").join(reached, "key", "left").select("key", F.coalesce("own", "near", F.lit(-1)).alias("label"))
-
-
 def choose_k(df: DataFrame, key: str, low: int, high: int, vector: str = "embedding", seed: int = 42, most: int = 10_000) -> tuple[int, list[tuple[int, float]]]:
     """The k of the best 0.7 silhouette + 0.3 CH / 10000 over a seeded sample; the first among equals."""
     sample = checkpointed(df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(most).select(key, vector))
@@ -152,39 +106,9 @@ def choose_k(df: DataFrame, key: str, low: int, high: int, vector: str = "embedd
 
 
 def dendrogram(x: np.ndarray, linkage: str = "ward") -> list[tuple[int, int, float]]:
-    """Merges (cluster, cluster, height) by Lance-Williams updates; new clusters count on from n."""
-    n = len(x)
-    d = distances(x, x) ** (2 if linkage == "ward" else 1)
-    np.fill_diagonal(d, np.inf)
-    size, name, out = np.ones(n), np.arange(n), []
-    # The nearest of each cluster is kept, so that a merge costs a row, not the matrix.
-    near = d.argmin(axis=1) if n else np.zeros(0, dtype=np.int64)
-    least = d[np.arange(n), near]
-    for step in range(n - 1):
-        p = int(np.argmin(least))
-        i, j = min(p, int(near[p])), max(p, int(near[p]))
-        height = d[i, j]
-        out.append((int(min(name[i], name[j])), int(max(name[i], name[j])), float(np.sqrt(height) if linkage == "ward" else height)))
-        if linkage == "ward":
-            total = size[i] + size[j] + size
-            new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * height) / total
-        elif linkage == "complete":
-            new = np.maximum(d[i], d[j])
-        elif linkage == "single":
-            new = np.minimum(d[i], d[j])
-        else:
-            new = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        new[np.isinf(d[i]) | np.isinf(d[j])] = np.inf
-        d[i], d[:, i] = new, new
-        d[i, i], d[j], d[:, j] = np.inf, np.inf, np.inf
-        size[i], name[i] = size[i] + size[j], n + step
-        stale = np.flatnonzero((near == i) | (near == j))
-        stale = np.union1d(stale, [i, j])
-        near[stale] = d[stale].argmin(axis=1)
-        least[stale] = d[stale, near[stale]]
-        closer = (new < least) | (new == least) & (i < near) & np.isfinite(new)
-        near[closer], least[closer] = i, new[closer]
-    return out
+    """Merges (cluster, cluster, height) of rows that one task holds; new clusters count on from n."""
+    size = np.ones(len(x))
+    return hierarchy.merge_matrix(hierarchy.ward_squares(x, size) if linkage == "ward" else distances(x, x), size, linkage)
 
 
 def cut(merges: list[tuple[int, int, float]], n: int, k: int | None = None, height: float | None = None) -> np.ndarray:
@@ -204,17 +128,21 @@ def cut(merges: list[tuple[int, int, float]], n: int, k: int | None = None, heig
     return np.argsort(np.argsort(first))[label]
 
 
-def agglomerative(df: DataFrame, group: str, key: str, k: int | None = None, height: float | None = None, linkage: str = "ward", vector: str = "embedding") -> DataFrame:
-    """(group, key, label): hierarchical clusters inside each group; a group is held in one task."""
+def agglomerative(df: DataFrame, group: str, key: str, k: int | None = None, height: float | None = None, linkage: str = "ward", vector: str = "embedding", small: int = 1024) -> DataFrame:
+    """(grp, key, label): hierarchical clusters inside each group, k of them or those of the merges up to a height.
 
-    def f(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("key", ignore_index=True)
-        x = matrix(frame)
-        labels = cut(dendrogram(x, linkage), len(x), None if k is None else min(k, len(x)), height)
-        return pd.DataFrame({"grp": frame["grp"], "key": frame["key"], "label": labels})
+    Groups of over ``small`` points are merged in rounds over the whole table,
+    see ``linkage``; no task holds such a group or its distances.
+    """
+    points = df.where(F.col(vector).isNotNull()).select(F.col(group).cast("string").alias("grp"), F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vec"))
+    points = checkpointed(points)
+    return hierarchy.labels(points, checkpointed(hierarchy.merges(points, linkage, small)), k, height)
 
-    points = df.select(F.col(group).cast("string").alias("grp"), F.col(key).cast("long").alias("key"), F.col(vector).alias("vec"))
-    return points.groupBy("grp").applyInPandas(f, "grp string, key long, label int")
+
+def bisecting(df: DataFrame, k: int, key: str, vector: str = "embedding", seed: int = 42) -> DataFrame:
+    """(key, label) by bisecting k-means, for tables whose hierarchy is too large to merge upward."""
+    points = df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    return BisectingKMeans(k=k, seed=seed).fit(points).transform(points).select(key, F.col("prediction").alias("label"))
 
 
 def _silhouette(d: np.ndarray, labels: np.ndarray) -> float:
@@ -321,33 +249,6 @@ def mini_batch_kmeans(df: DataFrame, k: int, key: str, vector: str = "embedding"
     return points.mapInPandas(f, f"key {points.schema['key'].dataType.simpleString()}, label int"), best[1]
 
 
-def search_dbscan(df: DataFrame, key: str, vector: str = "embedding", eps_steps: int = 10, samples: tuple[int, ...] = (2, 3, 4, 5, 6, 8, 10, 15), most_noise: float = 0.7) -> tuple[tuple[float, int] | None, list[tuple[float, int, float]]]:
-    """The best (eps, min_samples) of a grid, and all scores.
-
-    eps runs over the range of the k-distances. Settings with one cluster or
-    too much noise are left out; the score weighs silhouette, number of
-    clusters and noise. The grid is a driver loop over distributed clusterings.
-    """
-    points = checkpointed(df.select(key, vector))
-    low, high = eps_range(k_distance(points, key, vector=vector)).first()
-    total, scores = points.count(), []
-    for step in range(eps_steps):
-        eps = low + (high - low) * step / max(1, eps_steps - 1)
-        for least in samples:
-            labels = dbscan(points, key, eps, least, vector).withColumnRenamed("key", "_k")
-            labelled = checkpointed(points.join(labels, F.col(key) == F.col("_k")).drop("_k"))
-            kept = without_noise(labelled)
-            n, c = kept.count(), kept.select("label").distinct().count()
-            noise = 1 - n / total
-            if c < 2 or noise > most_noise:
-                continue
-            s = silhouette(kept, key, vector).first()[0]
-            wide = min(c / 20, 1.0)
-            scores.append((eps, least, 0.4 * s + 0.2 * wide - 0.4 * noise if noise > 0.3 else 0.6 * s + 0.3 * wide - 0.1 * noise))
-    best = max(scores, key=lambda x: x[2], default=None)
-    return (best[:2] if best else None), scores
-
-
 def cluster_pipeline(features: DataFrame, key: str, fit, vector: str = "embedding") -> tuple[DataFrame, dict]:
     """Cluster checkpointed features with ``fit(df)`` and measure the result: (labelled rows, measures)."""
     held = checkpointed(features.select(key, vector))

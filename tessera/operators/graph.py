@@ -1,4 +1,4 @@
-"""Blocked all-pairs work and connected components."""
+"""Blocked all-pairs work, connected components and spanning forests."""
 
 from __future__ import annotations
 
@@ -40,19 +40,58 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _contracted(links: DataFrame, turn: int) -> DataFrame:
+    """(node, image): the least of a node and its neighbours, in an order drawn anew by hash each turn.
+
+    A star is soon gone and a chain shrinks by a factor each turn, however its nodes are named.
+    """
+    place = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("v"))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("m"))
+    return near.select("node", F.least(place("node"), F.col("m"))["v"].alias("image"))
+
+
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) of the edges (a, b): least node of each component.
 
-    Each round takes the least label of the neighbours, then that label's own
-    label, and is checkpointed in the context's checkpoint folder.
+    Each turn maps nodes to images and replaces edges by those between
+    different images, so that no component, however large, stays on one key.
+    Nulls drop an edge; repeated edges count once. Each turn is checkpointed.
+    """
+    edges = checkpointed(edges.select(*_ordered("a", "b")).where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct())
+    names, turn = checkpointed(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().withColumn("label", F.col("node"))), 0
+    edges = edges.where("a <> b")
+    while not edges.isEmpty():
+        turn += 1
+        images = checkpointed(_contracted(edges, turn))
+        left, right = images.select(F.col("node").alias("a"), F.col("image").alias("x")), images.select(F.col("node").alias("b"), F.col("image").alias("y"))
+        names = checkpointed(names.join(images.select(F.col("node").alias("label"), "image"), "label", "left").select("node", F.coalesce("image", "label").alias("label")))
+        edges = checkpointed(edges.join(left, "a").join(right, "b").select(*_ordered("x", "y")).where("a <> b").distinct())
+    least = names.groupBy("label").agg(F.min("node").alias("least"))
+    return names.join(least, "label").select("node", F.col("least").alias("label"))
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """(a, b, w): the minimum spanning forest of the edges (a, b, w), the lesser names first among equal weights.
+
+    Rounds in the manner of Boruvka: the lightest edge that leaves a group is in
+    the forest whatever the group is; groups are then contracted along these
+    edges, and of parallel edges between groups the lightest stays.
     """
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("beyond"))
-        found = checkpointed(lower.join(jump, "low").select("node", "old", F.least("low", "beyond").alias("label")))
-        labels = found.select("node", "label")
-        if found.where("label <> old").isEmpty():
-            return labels
+    first = edges.where("a <> b AND w IS NOT NULL").select(*_ordered("a", "b"), "w").groupBy("a", "b").agg(F.min("w").alias("w"))
+    left = checkpointed(first.select("a", "b", F.struct("w", F.col("a").alias("a"), F.col("b").alias("b")).alias("e")))
+    found, turn = left.select("e").limit(0), 0
+    while not left.isEmpty():
+        turn += 1
+        both = left.select(F.col("a").alias("node"), F.struct("e", F.col("b").alias("to")).alias("x")).unionByName(left.select(F.col("b").alias("node"), F.struct("e", F.col("a").alias("to")).alias("x")))
+        lightest = checkpointed(both.groupBy("node").agg(F.min("x").alias("x")).select(F.col("node").alias("a"), F.col("x.to").alias("b"), F.col("x.e").alias("e")))
+        found = checkpointed(found.unionByName(lightest.select("e")).distinct())
+        images = checkpointed(_contracted(lightest, turn))
+        x, y = images.select(F.col("node").alias("a"), F.col("image").alias("x")), images.select(F.col("node").alias("b"), F.col("image").alias("y"))
+        moved = left.join(x, "a").join(y, "b").select(*_ordered("x", "y"), "e").where("a <> b")
+        left = checkpointed(moved.groupBy("a", "b").agg(F.min("e").alias("e")))
+    return found.select("e.a", "e.b", "e.w")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,25 +10,32 @@ def early_stopping(history: DataFrame, run: str = "run", epoch: str = "epoch", l
     """Adds best (so far), waited (epochs without improvement) and stopped.
 
     An epoch improves if its loss is below the best so far by more than
-    ``min_delta``. A run's epochs are folded in order, in one pass; a run is one training.
+    ``min_delta``; the first always does, and a loss that is no number never
+    improves, nor is it ever improved upon. Without ``min_delta`` the best is the
+    running minimum. With it, it depends on the improvements before, so a run is
+    folded in order into the list of its improvements, and windows do the rest.
     """
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("e", kind="stable", ignore_index=True)
-        best, wait, stop, rows = None, 0, False, []
-        for value in frame["l"].tolist():
-            if best is None or value < best - min_delta:
-                best, wait = value, 0
-            else:
-                wait += 1
-            stop = stop or wait >= patience
-            rows.append((best, wait, stop))
-        return frame.assign(best=[r[0] for r in rows], wait=[r[1] for r in rows], stop=[r[2] for r in rows])
-
-    rows = history.select(F.col(run).alias("r"), F.col(epoch).cast("long").alias("e"), F.col(loss).cast("double").alias("l"))
-    kind = rows.schema["r"].dataType.simpleString()
-    folded = rows.groupBy("r").applyInPandas(fold, f"r {kind}, e long, l double, best double, wait int, stop boolean")
-    return folded.select(F.col("r").alias(run), F.col("e").alias(epoch), F.col("l").alias(loss), "best", F.col("wait").alias("waited"), F.col("stop").alias("stopped"))
+    rows = history.select(F.col(run).alias("r"), F.col(epoch).cast("long").alias("e"), F.coalesce(F.col(loss).cast("double"), F.lit(float("nan"))).alias("l"))
+    upto = Window.partitionBy("r").orderBy("e", "l").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("r").orderBy("e", "l")))
+    if min_delta:
+        entry = F.struct("n", "l")
+        folded = F.aggregate(
+            F.array_sort(F.collect_list(entry)),
+            F.array().cast("array<struct<n:int,l:double>>"),
+            lambda held, x: F.when((F.size(held) == 0) | (~F.isnan(x["l"]) & ~F.isnan(F.element_at(held, -1)["l"]) & (x["l"] < F.element_at(held, -1)["l"] - min_delta)), F.concat(held, F.array(x))).otherwise(held),
+        )
+        steps = rows.groupBy(F.col("r").alias("r2")).agg(folded.alias("held")).select("r2", F.inline("held").alias("n2", "l2"))
+        marked = rows.join(steps, F.col("r").eqNullSafe(F.col("r2")) & (F.col("n") == F.col("n2")), "left").withColumn("better", F.col("n2").isNotNull())
+    else:
+        number = F.when(~F.isnan("l"), F.col("l"))
+        before = F.min(number).over(Window.partitionBy("r").orderBy("e", "l").rowsBetween(Window.unboundedPreceding, -1))
+        first = F.first("l").over(upto)
+        marked = rows.withColumn("better", (F.col("n") == 1) | F.coalesce(~F.isnan(first) & (number < before), F.lit(False)))
+    last = F.max(F.when(F.col("better"), F.struct("n", "l"))).over(upto)
+    waited = marked.withColumn("last", last).withColumn("waited", (F.col("n") - F.col("last.n")).cast("int"))
+    stopped = F.max("waited").over(upto) >= patience
+    return waited.select(F.col("r").alias(run), F.col("e").alias(epoch), F.col("l").alias(loss), F.col("last.l").alias("best"), "waited", stopped.alias("stopped"))
 
 
 def best_epoch(history: DataFrame, run: str = "run", epoch: str = "epoch", loss: str = "val_loss", lower_is_better: bool = True) -> DataFrame:

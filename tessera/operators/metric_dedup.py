@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays as a
 from tessera.functions import text as t
+from tessera.workdir import checkpointed, ranked
 
 _TOKEN = re.compile(r"\b\w\w+\b")
 
@@ -171,13 +172,104 @@ def flatten(merged: DataFrame) -> DataFrame:
     return merged.select("grp", "position", "general", F.posexplode_outer("specifics").alias("n", "specific")).withColumns({"specific": F.coalesce("specific", F.lit("")), "n": F.coalesce("n", F.lit(0))})
 
 
-def deduplicate_all(merged: DataFrame, general_least: float = 0.65, least: float = 0.75, stops: frozenset[str] | None = None) -> DataFrame:
-    """One list over all groups: exact repeats are folded first, then the first-fit pass takes the distinct ones.
+# First-fit over one long list. What takes in what depends on all earlier
+# descriptions, but only through those that are similar: a description stands for
+# itself unless an earlier similar one does, and joins the first that does.
+
+
+def _bag(text: str, stops: frozenset[str]) -> tuple[str, Counter]:
+    """(kind, terms) as ``text_similarity`` counts them; texts of different kinds have no similarity."""
+    if not text.strip():
+        return "none", Counter()
+    kept = [w for w in _TOKEN.findall(text.lower()) if w not in stops]
+    terms = Counter(kept + [f"{p} {q}" for p, q in zip(kept, kept[1:], strict=False)])
+    return ("terms", terms) if terms else ("words", Counter(set(text.lower().split())))
+
+
+def least_general(general_least: float, least: float) -> float:
+    """No pair of descriptions is similar whose general texts are less similar than this."""
+    return min(general_least, (least - 0.4) / 0.6)
+
 
-    First-fit depends on all earlier descriptions, so this last pass is one
-    group of distinct descriptions by nature.
+def candidates(items: DataFrame, bound: float, stops: frozenset[str]) -> DataFrame:
+    """(a, b) with a < b: pairs of items (n, general) whose general texts may have a similarity of ``bound``.
+
+    The similarity is at most the cosine of the term counts. Terms are in order
+    of rarity; those after which the rest of a text is too short for the bound
+    are its prefix, and two texts above the bound share a term of both prefixes.
+    With a bound of 0 or less all items share a term.
+    """
+
+    def spread(frames):
+        for frame in frames:
+            out = [(n, f"{kind}:{term}", count) for n, text in frame[["n", "general"]].itertuples(index=False) for kind, bag in [_bag(text, stops)] for term, count in bag.items()]
+            yield pd.DataFrame(out, columns=["n", "term", "count"])
+
+    if bound <= 0:
+        prefix = items.select("n", F.lit("").alias("term"))
+    else:
+        terms = checkpointed(items.select("n", "general").mapInPandas(spread, "n long, term string, count int"))
+        rarity = terms.groupBy("term").agg(F.count("*").alias("texts"))
+        entry = F.struct("texts", "term", (F.col("count") * F.col("count")).alias("square"))
+        listed = terms.join(rarity, "term").groupBy("n").agg(F.array_sort(F.collect_list(entry)).alias("t"))
+        rest = lambda i: F.aggregate(F.slice("t", i + 1, F.size("t")), F.lit(0), lambda s, x: s + x["square"])
+        whole = F.aggregate("t", F.lit(0), lambda s, x: s + x["square"])
+        within = F.filter("t", lambda x, i: rest(i) >= whole * (bound**2 * (1 - 1e-9)))
+        prefix = checkpointed(listed.select("n", F.explode(F.transform(within, lambda x: x["term"])).alias("term")))
+    left, right = prefix.select(F.col("n").alias("a"), "term"), prefix.select(F.col("n").alias("b"), "term")
+    return left.join(right, "term").where("a < b").select("a", "b").distinct()
+
+
+def similar_pairs(items: DataFrame, general_least: float, least: float, stops: frozenset[str]) -> DataFrame:
+    """(a, b) with a < b: pairs of items (n, general, specific) that first-fit would merge."""
+    pairs = candidates(items, least_general(general_least, least), stops)
+    side = lambda name: items.select(F.col("n").alias(name), F.col("general").alias(f"g{name}"), F.col("specific").alias(f"s{name}"))
+    whole = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def check(frames):
+        for frame in frames:
+            keep = []
+            for ga, sa, gb, sb in frame[["ga", "sa", "gb", "sb"]].itertuples(index=False):
+                near = text_similarity(ga, gb, stops)
+                keep.append(near >= general_least or 0.6 * near + 0.2 * text_similarity(sa, sb, stops) + 0.2 * text_similarity(f"{ga} {sa}", f"{gb} {sb}", stops) >= least)
+            yield frame.loc[keep, ["a", "b"]]
+
+    return whole.mapInPandas(check, "a long, b long")
+
+
+def owners(items: DataFrame, edges: DataFrame) -> DataFrame:
+    """(n, owner): the item that takes in each item n, itself for those that stand; ``edges`` (a, b), a < b, are similar.
+
+    Each round settles every item whose earlier similar ones are all settled.
     """
+    edges = checkpointed(edges)
+    open_items, open_edges, standing = checkpointed(items.select("n")), edges, None
+    while not open_items.isEmpty():
+        first = checkpointed(open_items.join(open_edges.select(F.col("b").alias("n")), "n", "left_anti"))
+        standing = first if standing is None else checkpointed(standing.unionByName(first))
+        taken = open_edges.join(first.withColumnRenamed("n", "a"), "a", "left_semi").select(F.col("b").alias("n")).distinct()
+        open_items = checkpointed(open_items.join(first.unionByName(taken), "n", "left_anti"))
+        left = open_items.select(F.col("n").alias("a")), open_items.select(F.col("n").alias("b"))
+        open_edges = checkpointed(open_edges.join(left[0], "a", "left_semi").join(left[1], "b", "left_semi"))
+    if standing is None:
+        return items.select("n", F.col("n").alias("owner"))
+    joined = edges.join(standing.withColumnRenamed("n", "a"), "a", "left_semi").join(standing.withColumnRenamed("n", "b"), "b", "left_anti")
+    return standing.select("n", F.col("n").alias("owner")).unionByName(joined.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("owner")).select("n", "owner"))
+
+
+def fold_all(items: DataFrame, order: list[str], general_least: float, least: float, stops: frozenset[str]) -> DataFrame:
+    """(position, general, specifics) of rows with ``order``, general and specific: ``first_fit`` over all of them as a Spark job."""
+    numbered = checkpointed(ranked(items, *order, name="n").select("n", "general", "specific"))
+    owned = checkpointed(owners(numbered, similar_pairs(numbered, general_least, least, stops)).join(numbered, "n"))
+    best = owned.groupBy("owner").agg(longest("general", ["n"]).alias("general"))
+    told = owned.where("specific <> ''").groupBy("owner", "specific").agg(F.min("n").alias("n")).groupBy("owner").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "specific"))), lambda x: x["specific"]).alias("specifics"))
+    joined = best.join(told, "owner", "left").select("owner", "general", F.coalesce("specifics", F.array().cast("array<string>")).alias("specifics"))
+    return ranked(joined, "owner", name="position").select(F.col("position").cast("int").alias("position"), "general", "specifics")
+
+
+def deduplicate_all(merged: DataFrame, general_least: float = 0.65, least: float = 0.75, stops: frozenset[str] | None = None) -> DataFrame:
+    """One list over all groups: exact repeats are folded first, then ``fold_all`` takes the distinct ones."""
     flat = flatten(merged)
-    distinct = flat.groupBy("general", "specific").agg(F.min(F.struct("grp", "position", "n")).alias("first"))
-    rows = distinct.select(F.lit("all").alias("g"), "general", "specific", F.col("first.grp").alias("o1"), F.col("first.position").alias("o2"), F.col("first.n").alias("o3"))
-    return deduplicate(rows, "g", ["o1", "o2", "o3"], general_least, least, stops)
+    distinct = flat.groupBy("general", "specific").agg(F.min(F.struct("grp", "position", "n")).alias("first")).where("general <> '' OR specific <> ''")
+    rows = distinct.select("general", "specific", F.col("first.grp").alias("o1"), F.col("first.position").alias("o2"), F.col("first.n").alias("o3"))
+    return fold_all(rows, ["o1", "o2", "o3"], general_least, least, stop_words() if stops is None else stops).select(F.lit("all").alias("grp"), "position", "general", "specifics")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +31,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def ranked(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
+    """Adds each row's place from 0 in the order of all rows, which are sorted by ranges; one row for each range is summed up."""
+    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    parts = ranged.groupBy(F.col("_part").alias("_p")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = ranged.join(F.broadcast(parts.withColumn("_before", before)), F.col("_part") == F.col("_p"))
+    return joined.withColumn(name, F.col("_at") - F.col("_first") + F.col("_before")).drop("_part", "_at", "_p", "_first", "_n", "_before")
