@@ -1,14 +1,20 @@
-"""Queries of the density search, hierarchies, early stopping with a margin, and hub datasets."""
+"""Queries of the density search, hierarchies, early stopping with a margin, hub datasets, caches and services."""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
-from tessera.operators import clusters, density, history
+from tessera.operators import clusters, density, graders, history
+from tessera.operators.agents import FatalError
+from tessera.operators.embedding import Client, Store
+from tessera.operators.graders import Tier
 from tessera.plans.q_agents import _folder
 from tessera.plans.q_eval import r6
 from tessera.plans.registry import query
 from tessera.sources import hub
+from tessera.sources.cache import FeatureCache
 from tessera.streaming import streams
 
 # Embeddings moved apart by label, so that there are clusters to find.
@@ -108,3 +114,74 @@ def hub_stream(i):
     out = _folder(i)
     streams.run_to_parquet(hub.load(i.spark, _hub_set(i), "train", stream=True).drop("split"), out, _folder(i))
     return i.spark.read.schema("item_id long, text string").parquet(out)
+
+
+@query("SELECT vec_id, vec_id // 50 AS batch, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 5) AS square FROM embeddings")
+def feature_cache_resume(i):
+    """A run that breaks off half-way, and one that goes on: the second makes what is missing only."""
+    cache = FeatureCache(i.spark, _folder(i))
+    rows = i.table("embeddings").select("vec_id", F.expr("vec_id div 50").alias("batch"), "embedding")
+    half = rows.agg(F.floor(F.max("batch") / 2)).first()[0]
+    square = lambda df: df.select("vec_id", "batch", F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")).alias("square"))
+
+    def breaks(df):
+        return square(df).withColumn("square", F.when(F.col("batch") > half, F.raise_error(F.lit("the run breaks off")).cast("double")).otherwise(F.col("square")))
+
+    try:
+        cache.fill("squares", rows, breaks, jobs=4)
+        raise AssertionError("the first run ends whole")
+    except Exception as e:
+        if "breaks off" not in str(e):
+            raise
+    written_once = cache.manifest("squares").select("batch")
+    cache.fill("squares", rows, lambda df: square(df.join(written_once, "batch", "left_anti")), jobs=4)
+    return cache.read("squares").select("vec_id", "batch", F.round("square", 5).alias("square"))
+
+
+def _letters(texts: list[str]) -> list[list[float]]:
+    """Counts of characters and blanks; fails for a batch with a text on wheat."""
+    if any("wheat" in x for x in texts):
+        raise FatalError("no vector for wheat")
+    return [[float(len(x)), float(x.count(" "))] for x in texts]
+
+
+@query("SELECT p_partkey, CASE WHEN contains(p_name, 'wheat') THEN NULL ELSE length(p_name)::DOUBLE END AS characters, CASE WHEN contains(p_name, 'wheat') THEN NULL ELSE (length(p_name) - length(replace(p_name, ' ', '')))::DOUBLE END AS blanks, CASE WHEN contains(p_name, 'wheat') THEN 'FatalError: no vector for wheat' END AS error FROM part")
+def embedding_store(i):
+    """Part names by a service that refuses some; the second call finds the others in the store."""
+    store, client = Store(i.spark, _folder(i)), Client(_letters, "letters", batch=1)
+    store.fill(i.table("part").where("p_partkey % 2 = 0"), "p_name", client)
+    found = store.embed(i.table("part").select("p_partkey", "p_name"), "p_name", client)
+    return found.select("p_partkey", F.get("embedding", F.lit(0)).alias("characters"), F.get("embedding", F.lit(1)).alias("blanks"), "error")
+
+
+class _Grader:
+    """Scores by the item number in a prompt; one tier fails and one babbles at some of them."""
+
+    def __init__(self, cap: str):
+        self.cap = cap
+
+    def load(self) -> None:
+        if self.cap == "broken":
+            raise OSError("no weights")
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        out = []
+        for p in prompts:
+            n = int(p.split(":")[0])
+            if self.cap == "normal" and n % 3 == 0:
+                raise TimeoutError("busy")
+            out.append("well, " * (self.cap == "sota" and n % 5 == 0) or f'Here: {{"correctness_score": {n % 11}, "training_quality_score": {n % 7}, "correctness_confidence": 0.75, "recommended_metrics": ["a", "b"]}}')
+        return out
+
+
+@query(
+    """WITH g AS (SELECT d.doc_id AS id, c.cap AS cap, (c.cap = 'normal' AND d.doc_id % 3 = 0) OR (c.cap = 'sota' AND d.doc_id % 5 = 0) OR c.cap IN ('broken', 'odd') AS lost
+    FROM documents d CROSS JOIN (VALUES ('weak'), ('normal'), ('sota'), ('broken'), ('odd')) c(cap))
+    SELECT id, cap, lost AS is_fallback, CASE WHEN lost THEN 5.0 ELSE id % 11 END::DOUBLE AS corr, CASE WHEN lost THEN 5.0 ELSE id % 7 END::DOUBLE AS train, CASE WHEN lost THEN 0.5 ELSE 0.75 END::DOUBLE AS corr_conf, CASE WHEN lost THEN 0 ELSE 2 END AS n_metrics,
+    CASE WHEN cap = 'normal' AND lost THEN 'TimeoutError: busy' WHEN cap = 'broken' THEN 'OSError: no weights' WHEN cap = 'odd' THEN 'ValueError: unknown kind of model ''radio''' END AS error FROM g"""
+)
+def three_tiers(i):
+    """Every document by five tiers: a service that fails at times, one that babbles, one that can't load, and one of unknown kind."""
+    tiers = [Tier("weak", "local", partial(_Grader, "weak")), Tier("normal", "api", partial(_Grader, "normal")), Tier("sota", "hub", partial(_Grader, "sota")), Tier("broken", "local", partial(_Grader, "broken")), Tier("odd", "radio", partial(_Grader, "odd"))]
+    prompts = i.table("documents").select(F.col("doc_id").alias("id"), F.concat(F.col("doc_id").cast("string"), F.lit(": "), F.coalesce("text", F.lit(""))).alias("prompt"))
+    return graders.evaluate(prompts, tiers, "id").select(F.col("sample_id").alias("id"), "cap", "is_fallback", "corr", "train", "corr_conf", "n_metrics", "error")
