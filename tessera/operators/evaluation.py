@@ -60,8 +60,9 @@ def with_ngrams(df: DataFrame, pred: str = "pred", label: str = "label", n: int
     """
     words = df.withColumns({"_p": t.words(F.col(pred)), "_r": t.words(F.col(label))})
     made = words.withColumns({f"_{side}{k}": a.ngrams(F.col(f"_{side}"), k) for side in "pr" for k in range(1, n + 1)})
-    # Hashes beside them: looking a number up is far cheaper than a text.
-    return made.withColumns({f"_h{side}{k}": F.transform(f"_{side}{k}", lambda x: F.xxhash64(x)) for side in "pr" for k in range(1, n + 1)})
+    # Hashes beside them, and those that both have: few, and found in one pass.
+    hashed = made.withColumns({f"_h{side}{k}": F.transform(f"_{side}{k}", lambda x: F.xxhash64(x)) for side in "pr" for k in range(1, n + 1)})
+    return hashed.withColumns({f"_hb{k}": F.array_intersect(f"_hp{k}", f"_hr{k}") for k in range(1, n + 1)})
 
 
 def bleu(n: int = 4) -> Column:
@@ -77,7 +78,10 @@ def bleu(n: int = 4) -> Column:
 
 
 def _known_share(k: int) -> Column:
-    return F.coalesce(F.try_divide(F.size(F.filter(f"_hp{k}", lambda g: F.array_contains(f"_hr{k}", g))), F.size(f"_p{k}")), F.lit(0.0))
+    """Share of the predicted n-grams that the label has; where none is repeated the common ones need no second pass."""
+    once = F.size(F.array_distinct(f"_hp{k}")) == F.size(f"_hp{k}")
+    known = F.when(once, F.size(f"_hb{k}")).otherwise(F.size(F.filter(f"_hp{k}", lambda g: F.array_contains(f"_hb{k}", g))))
+    return F.coalesce(F.try_divide(known, F.size(f"_p{k}")), F.lit(0.0))
 
 
 def rouge_n(n: int) -> Column:

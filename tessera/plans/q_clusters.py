@@ -13,7 +13,7 @@ from tessera.operators.graders import Tier
 from tessera.plans.q_agents import _folder
 from tessera.plans.q_eval import r6
 from tessera.plans.registry import query
-from tessera.sources import hub
+from tessera.sources import hub, images, readers
 from tessera.sources.cache import FeatureCache
 from tessera.streaming import streams
 
@@ -185,3 +185,44 @@ def three_tiers(i):
     tiers = [Tier("weak", "local", partial(_Grader, "weak")), Tier("normal", "api", partial(_Grader, "normal")), Tier("sota", "hub", partial(_Grader, "sota")), Tier("broken", "local", partial(_Grader, "broken")), Tier("odd", "radio", partial(_Grader, "odd"))]
     prompts = i.table("documents").select(F.col("doc_id").alias("id"), F.concat(F.col("doc_id").cast("string"), F.lit(": "), F.coalesce("text", F.lit(""))).alias("prompt"))
     return graders.evaluate(prompts, tiers, "id").select(F.col("sample_id").alias("id"), "cap", "is_fallback", "corr", "train", "corr_conf", "n_metrics", "error")
+
+
+PICTURES = """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'path' WHEN 1 THEN 'path' WHEN 2 THEN 'base64' WHEN 3 THEN 'url' ELSE 'path' END AS kind,
+ CASE WHEN p_partkey % 5 IN (0, 2) THEN 'png' WHEN p_partkey % 5 = 1 THEN 'gif' END AS format,
+ CASE WHEN p_partkey % 5 < 3 THEN p_size + 300 END AS width, CASE WHEN p_partkey % 5 < 3 THEN p_partkey % 1000 + 1 END AS height,
+ CASE WHEN p_partkey % 5 = 3 THEN 'no fetch function' WHEN p_partkey % 5 = 4 THEN 'no such file' END AS error FROM part"""
+
+
+@query(PICTURES)
+def image_headers(i):
+    """Pictures of each part's size: files, data URIs, URLs that nothing fetches, and files that aren't there."""
+    number = lambda x, digits: F.lpad(F.hex(x), digits, "0")
+    swapped = lambda x: F.concat(F.substring(number(x, 4), 3, 2), F.substring(number(x, 4), 1, 2))
+    wide, high = F.col("p_size").cast("long") + 300, F.col("p_partkey") % 1000 + 1
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number(wide, 8), number(high, 8), F.lit("0802000000"))
+    gif = F.concat(F.lit("474946383961"), swapped(wide), swapped(high), F.lit("800000"))
+    kind = F.col("p_partkey") % 5
+    rows = i.table("part").select(F.col("p_partkey").alias("id"), kind.alias("k"), F.unhex(F.when(kind == 1, gif).otherwise(png)).alias("bytes"))
+    rows = rows.withColumn("name", F.concat(F.lit("pictures/"), (F.col("id") % 7).cast("string"), F.lit("/"), F.col("id").cast("string"), F.lit(".img")))
+    base = _folder(i)
+    images.write_files(rows.where("k < 2"), "name", "bytes", base)
+    uri = F.concat(F.lit("data:image/png;base64,"), F.base64("bytes"))
+    named = rows.select("id", F.when(F.col("k") == 2, uri).when(F.col("k") == 3, F.concat(F.lit("https://pictures.example/"), "name")).otherwise(F.col("name")).alias("image"))
+    return images.load(named, "image", base).select("id", "kind", "format", "width", "height", "error")
+
+
+@query("SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT r_regionkey + 100, r_name FROM region")
+def task_file(i):
+    """Task files as a list and as a list under data; a single record and a missing file are errors."""
+    base, schema = _folder(i), "id long, name string"
+    entry = lambda table, key, name, plus: i.table(table).select(F.collect_list(F.struct((F.col(key) + plus).cast("long").alias("id"), F.col(name).alias("name"))).alias("data"))
+    entry("nation", "n_nationkey", "n_name", 0).select(F.to_json("data").alias("value")).coalesce(1).write.text(f"{base}/list")
+    entry("region", "r_regionkey", "r_name", 100).select(F.to_json(F.struct("data")).alias("value")).coalesce(1).write.text(f"{base}/data")
+    i.table("region").limit(1).select(F.to_json(F.struct(F.lit(1).alias("id"), F.col("r_name").alias("name"))).alias("value")).coalesce(1).write.text(f"{base}/one")
+    for path, kind in ((f"{base}/one", ValueError), (f"{base}/none", FileNotFoundError)):
+        try:
+            readers.json_data(i.spark, path, schema, strict=True)
+        except kind:
+            continue
+        raise AssertionError(f"{path} was read")
+    return readers.json_data(i.spark, f"{base}/list", schema, strict=True).unionByName(readers.json_data(i.spark, f"{base}/data", schema, strict=True))

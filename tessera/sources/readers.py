@@ -39,17 +39,29 @@ def json(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(_schema(schema)).option("multiLine", True).json(path)
 
 
-def json_data(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A file with a list of records, a single one, or a list under "data"; no rows if there is no file."""
+def json_data(spark: SparkSession, path: str, schema, strict: bool = False) -> DataFrame:
+    """A file with a list of records, a single one, or a list under "data"; no rows if there is no file.
+
+    With ``strict``, as a file of tasks is read, a missing file and a single
+    record are errors, and a name that ends in .jsonl is read line by line.
+    """
     inner = _schema(schema)
+    if strict and path.lower().endswith(".jsonl"):
+        return jsonl(spark, path, inner)
     wide = T.StructType([*inner.fields, T.StructField("data", T.ArrayType(inner))])
     try:
-        rows = spark.read.schema(wide).option("multiLine", True).json(path)
+        rows = spark.read.schema(wide).option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
+        if strict:
+            raise FileNotFoundError(f"no file {path}") from e
         return spark.createDataFrame([], inner)
     own = F.array(F.struct(*[F.col(f.name) for f in inner.fields]))
+    if strict:
+        starts = spark.read.option("wholetext", True).text(path).select(F.substring(F.ltrim(F.regexp_replace("value", r"^[\s\x{FEFF}]+", "")), 1, 1).alias("c")).distinct().collect()
+        if any(r.c == "{" for r in starts) and not rows.where("data IS NULL").isEmpty():
+            raise ValueError(f"{path} holds neither a list nor a list under data")
     return rows.select(F.inline(F.when(F.col("data").isNotNull(), F.col("data")).otherwise(own)))
 
 
