@@ -112,3 +112,22 @@ def dataset_statistics(df: DataFrame, text_col: str, label_col: str | None = Non
 
 def label_histogram(df: DataFrame, label_col: str) -> DataFrame:
     return df.groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("n"))
+
+
+#: The names under which a table has its images, the first one counts.
+IMAGE_FIELDS = ("image", "image_path", "image_base64", "image_url")
+
+
+def dataset_profile(df: DataFrame, order: str) -> DataFrame:
+    """One row: total, fields, sample (the first row by ``order``, as JSON), image_field, and lengths of text, question and caption where they are.
+
+    Lengths are structs of min, max and avg over the rows that have the field,
+    null if the table lacks it; 0 where no row has it.
+    """
+    there = set(df.columns)
+    row = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    size = lambda c: F.length(F.col(c).cast("string"))
+    filled = lambda x: F.coalesce(x, F.lit(0)).cast("double")
+    lengths = [(F.struct(filled(F.min(size(c))).alias("min"), filled(F.max(size(c))).alias("max"), filled(F.avg(size(c))).alias("avg")) if c in there else F.lit(None).cast("struct<min:double,max:double,avg:double>")).alias(f"{c}_length") for c in ("text", "question", "caption")]
+    image = next((c for c in IMAGE_FIELDS if c in there), None)
+    return df.agg(F.count("*").alias("total"), F.array(*[F.lit(c) for c in df.columns]).alias("fields"), F.min_by(row, order).alias("sample"), F.lit(image).cast("string").alias("image_field"), *lengths)

@@ -18,7 +18,8 @@ from tessera.operators.features import mean_pool
 from tessera.operators import linkage as hierarchy
 from tessera.operators.density import dbscan, eps_range, k_distance, neighbours, search_dbscan  # noqa: F401
 from tessera.operators.graph import block_pairs, distances, matrix
-from tessera.workdir import checkpointed
+from tessera.sources.cache import FeatureCache
+from tessera.workdir import checkpointed, ranked
 
 
 def without_noise(df: DataFrame, label: str = "label") -> DataFrame:
@@ -258,3 +259,19 @@ def cluster_pipeline(features: DataFrame, key: str, fit, vector: str = "embeddin
     if report["clusters"] > 1:
         report |= {"silhouette": silhouette(labelled, key, vector).first()[0], "calinski_harabasz": calinski_harabasz(labelled, vector).first()[0], "davies_bouldin": davies_bouldin(labelled, vector).first()[0]}
     return labelled, report
+
+
+def cluster_job(rows: DataFrame, key: str, extract, fit, cache: FeatureCache, name: str, save, batch: int = 1000, cleanup: bool = True) -> tuple[DataFrame, dict]:
+    """The whole run: features into a cache by batches, clusters, measures, ``save(labelled)``, and the cache dropped.
+
+    ``extract`` maps rows with ``batch`` to (key, batch, embedding), ``fit`` maps
+    features to (key, label). A run that breaks off while extracting goes on from
+    its last batch, as the cache is dropped at the end only.
+    """
+    numbered = ranked(rows, key, name="_place").withColumn("batch", F.floor(F.col("_place") / batch)).drop("_place")
+    cache.fill(name, numbered, extract)
+    labelled, report = cluster_pipeline(cache.read(name), key, fit)
+    save(labelled)
+    if cleanup:
+        cache.delete(name)
+    return labelled, report

@@ -6,14 +6,14 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from tessera.operators import clusters, density, graders, history
+from tessera.operators import cleaning, clusters, density, graders, history
 from tessera.operators.agents import FatalError
 from tessera.operators.embedding import Client, Store
 from tessera.operators.graders import Tier
 from tessera.plans.q_agents import _folder
 from tessera.plans.q_eval import r6
 from tessera.plans.registry import query
-from tessera.sources import hub, images, readers
+from tessera.sources import hub, images, readers, writers
 from tessera.sources.cache import FeatureCache
 from tessera.streaming import streams
 
@@ -226,3 +226,32 @@ def task_file(i):
             continue
         raise AssertionError(f"{path} was read")
     return readers.json_data(i.spark, f"{base}/list", schema, strict=True).unionByName(readers.json_data(i.spark, f"{base}/data", schema, strict=True))
+
+
+@query("SELECT CAST(embedding[1] > 0 AS BIGINT) AS cluster_id, vec_id AS sample_id, count(*) OVER (PARTITION BY embedding[1] > 0) AS size FROM embeddings")
+def cluster_job(i):
+    """Features by batches, clusters by the sign of the first component, a cluster file, and the cache dropped."""
+    cache, out = FeatureCache(i.spark, _folder(i)), _folder(i)
+    extract = lambda df: df.select("vec_id", "batch", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    fit = lambda df: df.select("vec_id", (F.col("embedding")[0] > 0).cast("long").alias("label"))
+    save = lambda df: writers.cluster_file(df.withColumn("kind", F.lit("vector")), out, ["kind"], "vec_id", "label")
+    clusters.cluster_job(i.table("embeddings").select("vec_id", "embedding"), "vec_id", extract, fit, cache, "features", save, batch=100)
+    try:
+        cache.read("features")
+        raise AssertionError("the cache is left")
+    except FileNotFoundError:
+        pass
+    back = i.spark.read.schema("cluster_id long, part int, size long, samples array<struct<sample_id:bigint>>").json(out)
+    return back.select("cluster_id", F.explode("samples.sample_id").alias("sample_id"), "size")
+
+
+PROFILE = """SELECT count(*) AS total, 'doc_id,text,question,image_path' AS fields, min_by(doc_id, doc_id) AS first_id, 'image_path' AS image_field,
+ min(length(text))::DOUBLE AS text_min, max(length(text))::DOUBLE AS text_max, round(avg(length(text)), 6) AS text_avg, round(avg(length(lang)), 6) AS question_avg, true AS no_caption FROM documents"""
+
+
+@query(PROFILE)
+def dataset_profile(i):
+    rows = i.table("documents").select("doc_id", "text", F.col("lang").alias("question"), F.col("source").alias("image_path"))
+    p = cleaning.dataset_profile(rows, "doc_id")
+    first = F.get_json_object("sample", "$.doc_id").cast("long")
+    return p.select("total", F.array_join("fields", ",").alias("fields"), first.alias("first_id"), "image_field", F.col("text_length.min").alias("text_min"), F.col("text_length.max").alias("text_max"), F.round("text_length.avg", 6).alias("text_avg"), F.round("question_length.avg", 6).alias("question_avg"), F.col("caption_length").isNull().alias("no_caption"))

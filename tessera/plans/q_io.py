@@ -119,22 +119,26 @@ def bench_report_sink(i):
     return r6(back, "accuracy")
 
 
-@query("SELECT 'v20260101_00' || k AS version, 'run ' || k AS description FROM (VALUES (1), (3)) t(k)")
+@query("SELECT 'v20260101_00' || (r_regionkey + 1) AS version, 'nations: ' || n AS description FROM region JOIN (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey) t ON r_regionkey = n_regionkey WHERE r_regionkey <> 1")
 def version_registry(i):
+    """A version for each region, described by its number of nations; the second is deleted."""
     base = _folder(i)
     i.table("region").write.parquet(f"{base}/model")
-    names = [registry.register_version(i.spark, f"{base}/registry", f"{base}/model", "20260101", description=f"run {k}") for k in (1, 2, 3)]
+    counts = i.table("nation").groupBy("n_regionkey").agg(F.count("*").alias("n")).orderBy("n_regionkey").collect()
+    names = [registry.register_version(i.spark, f"{base}/registry", f"{base}/model", "20260101", description=f"nations: {r.n}") for r in counts]
     registry.delete_version(i.spark, f"{base}/registry", names[1])
     return registry.versions(i.spark, f"{base}/registry").select("version", "description")
 
 
-@query("SELECT epoch, loss FROM (VALUES (2, 0.1::DOUBLE), (4, 0.2::DOUBLE)) t(epoch, loss)")
+@query("SELECT epoch, loss FROM (SELECT epoch, avg(val_loss) AS loss FROM ({v_history}) t WHERE epoch <= 4 GROUP BY epoch) t ORDER BY loss, epoch LIMIT 2")
 def checkpoint_store(i):
+    """The first four epochs' mean losses over all runs; the two best checkpoints stay."""
     base = _folder(i)
     i.table("region").write.parquet(f"{base}/weights")
-    for epoch, loss in ((1, 0.5), (2, 0.1), (3, 0.4), (4, 0.2)):
-        registry.save_checkpoint(i.spark, f"{base}/store", f"{base}/weights", epoch, loss, keep=2)
-    return registry.checkpoints(i.spark, f"{base}/store").select(F.col("epoch").cast("int").alias("epoch"), "loss")
+    means = i.view("v_history").where("epoch <= 4").groupBy("epoch").agg(F.avg("val_loss").alias("loss")).orderBy("epoch").collect()
+    for r in means:
+        registry.save_checkpoint(i.spark, f"{base}/store", f"{base}/weights", r.epoch, r.loss, keep=2)
+    return registry.checkpoints(i.spark, f"{base}/store").select(F.col("epoch").cast("long").alias("epoch"), "loss")
 
 
 @query("SELECT round(avg((pred = label)::INT), 6) AS accuracy, round(avg((pred = label)::INT), 6) AS exact_match, " + f"(WITH {CLASSES} SELECT round(avg(f1), 6) FROM f) AS f1, (WITH {CLASSES} SELECT round(sum(f1 * support) / sum(support), 6) FROM f) AS f1_weighted, round(avg((pred = label)::INT), 6) AS f1_micro FROM ({{v_class}}) t")
@@ -209,10 +213,10 @@ def model_generate(i):
     return models.generate(tasks, models.EchoAdapter).select("item_id", "answer")
 
 
-@query("SELECT 'b' AS benchmark, count(*) AS total, count(*) AS correct FROM benchmark WHERE length(text) <= 200")
+@query("SELECT 'b' AS benchmark, count(*) AS total, count(*) FILTER (item_id % 3 = 0) AS correct FROM benchmark WHERE length(text) <= 200")
 def benchmark_manager(i):
     manager = models.BenchmarkManager()
-    items = lambda spark: i.table("benchmark").where("length(text) <= 200").select("item_id", F.col("text").alias("question"), F.col("text").alias("answer"))
+    items = lambda spark: i.table("benchmark").where("length(text) <= 200").select("item_id", F.col("text").alias("question"), F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("  "), "text", F.lit(" "))).when(F.col("item_id") % 3 == 1, F.lit("another answer")).otherwise(F.concat("text", F.lit(" and more"))).alias("answer"))
     manager.register(models.Benchmark("b", items, "item_id"))
     return evaluation.benchmark_summary(manager.evaluate(i.spark, ["b"], models.EchoAdapter)).select("benchmark", "total", "correct")
 
