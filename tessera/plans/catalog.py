@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import q_agents, q_clusters, q_eval, q_io, q_samples, q_text  # noqa: F401
+from tessera.plans import q_agents, q_clusters, q_eval, q_io, q_samples, q_selection, q_text  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 
