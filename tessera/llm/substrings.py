@@ -8,7 +8,7 @@ document that holds it, are the reference; they are dealt by anchor into shards
 of about ``SHARD_WORDS`` words. A suffix automaton is made of each shard, the
 shard's pieces are run through it, and the matching statistics say for each
 window in which document it stands first. These statistics, not the automata,
-travel to the documents: an automaton takes some 300 bytes a word and the
+travel to the documents: an automaton takes some 380 bytes a word and the
 reference grows with the corpus, so whole automata can't be broadcast to all
 tasks. A document loses the words of each window that stands first in a
 document before it.
