@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ from tessera.functions import arrays as a
 from tessera.operators.features import mean_pool
 from tessera.operators import linkage as hierarchy
 from tessera.operators.density import dbscan, eps_range, k_distance, neighbours, search_dbscan  # noqa: F401
-from tessera.operators.graph import block_pairs, distances, matrix
+from tessera.operators.graph import block_pairs, distances, matrix, precise
 from tessera.sources.cache import FeatureCache
 from tessera.workdir import checkpointed, ranked
 
@@ -38,22 +39,31 @@ def kmeans(df: DataFrame, k: int, key: str, vector: str = "embedding", seed: int
     return model.transform(points).select(key, F.col("prediction").alias("label"))
 
 
+_NUMBERS = {"key": "i8", "lab": "i8"}
+
+
 def _cluster_sums(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """(key, label, other, total, n): summed distance of every point to every cluster, itself left out."""
 
-    def f(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"key": [], "label": [], "other": [], "total": [], "n": []}).astype({"key": "int64", "label": "int64", "other": "int64", "total": float, "n": "int64"})
-        d = distances(matrix(left), matrix(right))
-        others, at = np.unique(right["lab"].to_numpy(), return_inverse=True)
-        sums = np.zeros((len(left), len(others)))
-        for c in range(len(others)):
-            sums[:, c] = d[:, at == c].sum(axis=1)
-        counts = np.bincount(at, minlength=len(others))
-        return pd.DataFrame({"key": np.repeat(left["key"].to_numpy(), len(others)), "label": np.repeat(left["lab"].to_numpy(), len(others)), "other": np.tile(others, len(left)), "total": sums.ravel(), "n": np.tile(counts, len(left))})
-
-    points = df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vec"), F.col(label).cast("long").alias("lab"))
-    parts = block_pairs(points, "key", "vec", ["lab"], f, "key long, label long, other long, total double, n long")
+    def table(own, sums, others, counts) -> pa.Table:
+        n, c = sums.shape
+        return pa.table({"key": np.repeat(own["key"], c), "label": np.repeat(own["lab"], c), "other": np.tile(others, n), "total": sums.ravel(), "n": np.tile(counts, n)})
+
+    def f(place, left, right) -> pa.Table:
+        p, q = ({c: v[np.argsort(b["lab"], kind="stable")] for c, v in b.items()} for b in (left, right))
+        (rows, _, m), (columns, first, n) = (np.unique(b["lab"], return_index=True, return_counts=True) for b in (p, q))
+        sums, back = np.zeros((len(p["key"]), len(columns))), np.zeros((len(rows), len(q["key"])))
+        for at in range(0, len(sums), 256):
+            part = slice(at, at + 256)
+            d = precise(p["vec"][part], q["vec"])
+            sums[part] = np.add.reduceat(d, first, axis=1)
+            here, start = np.unique(p["lab"][part], return_index=True)
+            back[np.searchsorted(rows, here)] += np.add.reduceat(d, start, axis=0)
+        found = table(p, sums, columns, n)
+        return found if place[0] == place[1] else pa.concat_tables([found, table(q, back.T, rows, m)])
+
+    points = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vec"), F.col(label).cast("long").alias("lab"))
+    parts = block_pairs(points, [], _NUMBERS, f, "key long, label long, other long, total double, n long")
     return parts.groupBy("key", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
