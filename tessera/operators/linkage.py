@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import connected_components, distances, matrix
+from tessera.operators.graph import block_pairs, connected_components, distances, exact, matrix, squares
 from tessera.workdir import checkpointed
 
 _MERGE = "grp string, a long, b long, height double, turn int"
@@ -95,36 +96,46 @@ def finished(clusters: DataFrame, linkage: str) -> DataFrame:
     return clusters.groupBy("grp").applyInPandas(f, _MERGE)
 
 
-def _block_units(clusters: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Left and right copies of clusters (grp, key, vec, size, label) for each pair of blocks of a group."""
-    counts = clusters.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / rows)).cast("int").alias("blocks"))
-    dealt = clusters.join(counts, "grp").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = lambda own, other: dealt.select(*[F.col(c).alias(c) for c in ("grp", "key", "vec", "size", "label")], F.col("own").alias(own), F.col("other").alias(other))
-    return side("l", "r"), side("r", "l")
+_NUMBERS = {"key": "i8", "label": "i8", "size": "f8"}
 
 
-def lightest(clusters: DataFrame, ward: bool, rows: int = 1024) -> DataFrame:
+def _lightest_rows(p: dict, q: dict, ward: bool) -> tuple[np.ndarray, ...]:
+    """(of p, i, j, w): near-least pairs that leave their label, for each row of p and of q at least one least pair."""
+    weigh = lambda n, m: np.sqrt(2 * (n * m) / (n + m))
+    least, parts = np.full(len(q["key"]), np.inf), []
+    for at in range(0, len(p["key"]), 256):
+        part = slice(at, at + 256)
+        d, slack = squares(p["vec"][part], q["vec"])
+        if ward:
+            factor = weigh(p["size"][part][:, None], q["size"][None, :]) ** 2
+            d *= factor
+            slack *= float(factor.max())
+        d[p["label"][part][:, None] == q["label"][None, :]] = np.inf
+        np.minimum(least, d.min(axis=0), out=least)
+        near = (d <= d.min(axis=1)[:, None] + 2 * slack) | (d <= least[None, :] + 2 * slack)
+        near &= np.isfinite(d)
+        i, j = np.nonzero(near)
+        w = exact(p["vec"][part], q["vec"], i, j)
+        i += at
+        parts.append((i, j, w * weigh(p["size"][i], q["size"][j]) if ward else w))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def lightest(clusters: DataFrame, ward: bool, rows: int | None = None) -> DataFrame:
     """(grp, label, w, a, b, to): for each label of each group the least pair (weight, then names) that leaves it, and where it leads."""
 
-    def f(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"grp": [], "label": [], "w": [], "a": [], "b": [], "to": []}).astype({"grp": str, "label": "int64", "w": float, "a": "int64", "b": "int64", "to": "int64"})
-        if not len(left) or not len(right):
-            return empty
-        d = distances(matrix(left), matrix(right))
-        if ward:
-            n, m = left["size"].to_numpy().astype(float), right["size"].to_numpy().astype(float)
-            d = d * np.sqrt(2 * np.outer(n, m) / np.add.outer(n, m))
-        p, q = left["label"].to_numpy(), right["label"].to_numpy()
-        d[p[:, None] == q[None, :]] = np.inf
-        x, y = left["key"].to_numpy(), right["key"].to_numpy()
-        least = d.min(axis=1)
-        row, column = np.nonzero((d == least[:, None]) & np.isfinite(d))
-        a, b = np.minimum(x[row], y[column]), np.maximum(x[row], y[column])
-        out = pd.DataFrame({"grp": left["grp"].iloc[0], "label": p[row], "w": least[row], "a": a, "b": b, "to": q[column]})
-        return out.sort_values(["w", "a", "b"]).drop_duplicates("label") if len(out) else empty
-
-    left, right = _block_units(clusters, rows)
-    met = left.groupBy("grp", "l", "r").cogroup(right.groupBy("grp", "l", "r")).applyInPandas(f, "grp string, label long, w double, a long, b long, to long")
+    def f(place, left, right) -> pa.Table:
+        i, j, w = _lightest_rows(left, right, ward)
+        x, y, p, q = left["key"][i], right["key"][j], left["label"][i], right["label"][j]
+        a, b = np.minimum(x, y), np.maximum(x, y)
+        found = []
+        for label, to in ((p, q), (q, p)):
+            order = np.lexsort((b, a, w, label))
+            first = order[np.append(True, np.diff(label[order]) != 0)] if len(order) else order
+            found.append(pa.table({"grp": pa.array([place[0]] * len(first), pa.string()), "label": label[first], "w": w[first], "a": a[first], "b": b[first], "to": to[first]}))
+        return pa.concat_tables(found)
+
+    met = block_pairs(clusters.select("grp", "key", "vec", "size", "label"), ["grp"], _NUMBERS, f, "grp string, label long, w double, a long, b long, to long", rows)
     return met.groupBy("grp", "label").agg(F.min(F.struct("w", "a", "b", "to")).alias("e")).select("grp", "label", "e.*")
 
 
@@ -134,7 +145,7 @@ def _by_size(clusters: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     return clusters.join(large, "grp", "left_semi"), clusters.join(large, "grp", "left_anti")
 
 
-def _tree(points: DataFrame, rows: int) -> DataFrame:
+def _tree(points: DataFrame, rows: int | None) -> DataFrame:
     """Merges of single linkage: the edges of each group's minimum spanning tree."""
     state, found, turn = checkpointed(points.withColumn("label", F.col("key"))), None, 0
     while True:
@@ -158,7 +169,7 @@ def _mutual(near: DataFrame) -> DataFrame:
     return near.groupBy("grp", "a", "b", "w").agg(F.count("*").alias("n")).where("n = 2").drop("n")
 
 
-def _ward(points: DataFrame, small: int, rows: int) -> DataFrame:
+def _ward(points: DataFrame, small: int, rows: int | None) -> DataFrame:
     state, done, parts, turn = points, [], [], 0
     while True:
         large, rest = _by_size(state, small)
@@ -185,18 +196,19 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _pair_table(points: DataFrame, linkage: str, rows: int) -> DataFrame:
+def _pair_table(points: DataFrame, linkage: str, rows: int | None) -> DataFrame:
     """Merges of complete and average linkage from the distances of all pairs of clusters."""
 
-    def f(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"grp": [], "a": [], "b": [], "d": [], "n": []}).astype({"grp": str, "a": "int64", "b": "int64", "d": float, "n": float})
-        d, x, y = distances(matrix(left), matrix(right)), left["key"].to_numpy(), right["key"].to_numpy()
-        i, j = np.nonzero(x[:, None] < y[None, :])
-        return pd.DataFrame({"grp": left["grp"].iloc[0], "a": x[i], "b": y[j], "d": d[i, j], "n": 1.0})
+    def f(place, left, right) -> pa.Table:
+        found = []
+        for at in range(0, len(left["key"]), 256):
+            x, y = left["key"][at : at + 256], right["key"]
+            i, j = np.nonzero(x[:, None] < y[None, :] if place[1] == place[2] else np.ones((len(x), len(y)), dtype=bool))
+            a, b = np.minimum(x[i], y[j]), np.maximum(x[i], y[j])
+            found.append(pa.table({"grp": pa.array([place[0]] * len(i), pa.string()), "a": a, "b": b, "d": exact(left["vec"][at : at + 256], right["vec"], i, j), "n": np.ones(len(i))}))
+        return pa.concat_tables(found)
 
-    left, right = _block_units(points.withColumn("label", F.col("key")), rows)
-    pairs = checkpointed(left.groupBy("grp", "l", "r").cogroup(right.groupBy("grp", "l", "r")).applyInPandas(f, "grp string, a long, b long, d double, n double"))
+    pairs = checkpointed(block_pairs(points.withColumn("label", F.col("key")), ["grp"], _NUMBERS, f, "grp string, a long, b long, d double, n double", rows or 1024))
     done, turn = [], 0
     while not pairs.isEmpty():
         both = pairs.select("grp", F.col("a").alias("label"), "a", "b", "d").unionByName(pairs.select("grp", F.col("b").alias("label"), "a", "b", "d"))
@@ -212,7 +224,7 @@ def _pair_table(points: DataFrame, linkage: str, rows: int) -> DataFrame:
     return _union(done) if done else _none(points)
 
 
-def merges(points: DataFrame, linkage: str = "ward", small: int = 1024, rows: int = 1024) -> DataFrame:
+def merges(points: DataFrame, linkage: str = "ward", small: int = 1024, rows: int | None = None) -> DataFrame:
     """(grp, a, b, height, turn) of points (grp, key, vec): the merges of each group's clusters a and b."""
     if linkage not in ("ward", "single", "complete", "average"):
         raise ValueError(f"unknown linkage {linkage!r}")
