@@ -36,9 +36,14 @@ def word_overlap(x: Column, y: Column) -> Column:
     return a.jaccard(F.array_distinct(t.words(F.lower(x))), F.array_distinct(t.words(F.lower(y))))
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once for a row; inside a lambda it would be computed anew for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _terms(x: Column, stops: Column) -> Column:
     kept = F.filter(F.regexp_extract_all(F.lower(x), F.lit(r"\b(\w\w+)\b"), F.lit(1)), lambda w: ~F.array_contains(stops, w))
-    return F.concat(kept, a.ngrams(kept, 2))
+    return _once(kept, lambda k: F.concat(k, a.ngrams(k, 2)))
 
 
 def tfidf_cosine(x: Column, y: Column, stops: frozenset[str] | set[str]) -> Column:
@@ -47,18 +52,20 @@ def tfidf_cosine(x: Column, y: Column, stops: frozenset[str] | set[str]) -> Colu
     A term of both texts weighs 1, a term of one ln(3/2) + 1.
     """
     listed = F.array(*[F.lit(w) for w in sorted(stops)]) if stops else F.array().cast("array<string>")
-    p, r = _terms(x, listed), _terms(y, listed)
-    return F.when((F.size(p) == 0) & (F.size(r) == 0), None).otherwise(_weighted_cosine(p, r))
+    some = lambda s: F.when((F.size(s["p"]) == 0) & (F.size(s["r"]) == 0), None).otherwise(_weighted_cosine(s["p"], s["r"]))
+    return _once(F.struct(_terms(x, listed).alias("p"), _terms(y, listed).alias("r")), some)
 
 
 def _weighted_cosine(p: Column, r: Column) -> Column:
     count = lambda terms, w: F.size(F.filter(terms, lambda v: v == w))
-    shared = F.array_intersect(p, r)
     single = float(math.log(3 / 2) + 1) ** 2
-    both = a.total(F.transform(shared, lambda w: count(p, w) * count(r, w)))
-    square = lambda terms: a.total(F.transform(F.array_distinct(terms), lambda w: F.when(F.array_contains(shared, w), 1.0).otherwise(single) * count(terms, w) * count(terms, w)))
-    size = F.sqrt(square(p) * square(r))
-    return F.coalesce(F.try_divide(both, size), F.lit(0.0))
+
+    def cosine(shared: Column) -> Column:
+        both = a.total(F.transform(shared, lambda w: count(p, w) * count(r, w)))
+        square = lambda terms: a.total(F.transform(F.array_distinct(terms), lambda w: F.when(F.array_contains(shared, w), 1.0).otherwise(single) * count(terms, w) * count(terms, w)))
+        return F.coalesce(F.try_divide(both, F.sqrt(square(p) * square(r))), F.lit(0.0))
+
+    return _once(F.array_intersect(p, r), cosine)
 
 
 def similarity(x: Column, y: Column, stops, x_vector: Column | None = None, y_vector: Column | None = None) -> Column:
@@ -148,10 +155,10 @@ def deduplicate(metrics: DataFrame, group: str, order: list[str], general_least:
     """
     stops = stop_words() if stops is None else stops
 
-    def f(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(list(order), kind="stable")
+    by_text = lambda x, y: text_similarity(x, y, stops)
+
+    def merged(items: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
         cache: dict[tuple[str, str], float] = {}
-        by_text = lambda x, y: text_similarity(x, y, stops)
         measure = vector_similarity(encode, by_text) if encode else by_text
 
         def similar(x: str, y: str) -> float:
@@ -159,12 +166,26 @@ def deduplicate(metrics: DataFrame, group: str, order: list[str], general_least:
                 cache[x, y] = measure(x, y)
             return cache[x, y]
 
-        merged = first_fit(list(zip(frame["general"], frame["specific"], strict=True)), similar, general_least, least)
-        return pd.DataFrame({"grp": [frame["grp"].iloc[0]] * len(merged), "position": range(len(merged)), "general": [m[0] for m in merged], "specifics": [m[1] for m in merged]})
+        return first_fit(items, similar, general_least, least)
+
+    def f(frames):
+        """Groups stand together; the last one of a batch may go on in the next."""
+        own, items = None, []
+        for frame in frames:
+            out = []
+            for grp, general, specific in zip(frame["grp"].tolist(), frame["general"].tolist(), frame["specific"].tolist(), strict=True):
+                if items and grp != own:
+                    out += [(own, n, *m) for n, m in enumerate(merged(items))]
+                    items = []
+                own = grp
+                items.append((general, specific))
+            yield pd.DataFrame(out, columns=["grp", "position", "general", "specifics"])
+        yield pd.DataFrame([(own, n, *m) for n, m in enumerate(merged(items))], columns=["grp", "position", "general", "specifics"])
 
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     rows = metrics.select(F.col(group).cast("string").alias("grp"), *order, blank("general"), blank("specific")).where("general <> '' OR specific <> ''")
-    return rows.groupBy("grp").applyInPandas(f, "grp string, position int, general string, specifics array<string>")
+    dealt = rows.repartition("grp").sortWithinPartitions("grp", *[F.col(c).asc_nulls_last() for c in order])
+    return dealt.select("grp", "general", "specific").mapInPandas(f, "grp string, position int, general string, specifics array<string>")
 
 
 def flatten(merged: DataFrame) -> DataFrame:

@@ -235,3 +235,22 @@ def test_cluster_and_evaluation_readers(spark, tmp_path):
     assert rows.count() == 3 and rows.first().sample_id == "7"
     (tmp_path / "b.json").write_text(json.dumps({"benchmarks": [{"name": "x", "note": "old"}, {"name": "x", "note": "new"}]}))
     assert readers.benchmark_catalog(spark, f"{tmp_path}/b.json").first().note == "new"
+
+
+def test_tfidf_finds_its_terms_once(spark, capsys):
+    df = spark.createDataFrame([("a cat sat", "a dog sat")], "x string, y string")
+    df.select(metric_dedup.tfidf_cosine(F.col("x"), F.col("y"), metric_dedup.stop_words())).explain()
+    assert capsys.readouterr().out.count("regexp_extract_all") == 2  # one for each text, none inside the lambdas
+
+
+def test_deduplicate_takes_groups_over_batches(spark):
+    rows = [(f"g{n % 3}", n, f"share of part {n % 5}", "") for n in range(90)]
+    df = spark.createDataFrame(rows, "g string, k long, general string, specific string").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = metric_dedup.deduplicate(df, "g", ["k"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plain = metric_dedup.first_fit([(r[2], "") for r in rows if r[0] == "g0"], lambda x, y: metric_dedup.text_similarity(x, y, metric_dedup.stop_words()), 0.7, 0.7)
+    assert {g: sum(r.grp == g for r in found) for g in ("g0", "g1", "g2")}["g0"] == len(plain)
+    assert len({(r.grp, r.position) for r in found}) == len(found)
