@@ -239,7 +239,7 @@ def test_cluster_and_evaluation_readers(spark, tmp_path):
 
 def test_tfidf_finds_its_terms_once(spark, capsys):
     df = spark.createDataFrame([("a cat sat", "a dog sat")], "x string, y string")
-    df.select(metric_dedup.tfidf_cosine(F.col("x"), F.col("y"), metric_dedup.stop_words())).explain()
+    df.select(metric_dedup.tfidf_cosine(F.col("x"), F.col("y"), metric_dedup.stop_words()).alias("c")).explain()
     assert capsys.readouterr().out.count("regexp_extract_all") == 2  # one for each text, none inside the lambdas
 
 
