@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -62,13 +63,15 @@ def chat_batch(adapter: Adapter, prompts: list[str], side_by_side: bool, batch:
 def replies(samples: DataFrame, tiers: list[Tier], id_col: str = "sample_id", prompt: str = "prompt", all_tiers: bool = True, tasks: int = 8) -> DataFrame:
     """(sample_id, cap, reply, error) of every sample and tier, or of the best tier only.
 
-    A task holds samples of few tiers, so that a worker loads few models.
+    A task holds a partition of the samples and one tier, so that a worker loads
+    one model and no task grows with the table; fewer partitions than ``tasks`` are dealt anew.
     """
     asked = [x for x in tiers if all_tiers or x.capability == BEST]
     by_name = {x.capability: x for x in asked}
     kind = samples.schema[id_col].dataType.simpleString()
-    pairs = samples.select(F.col(id_col).alias("sample_id"), F.col(prompt).alias("prompt"), F.explode(F.array(*[F.lit(x.capability) for x in asked])).alias("cap"))
-    dealt = pairs.repartition(max(1, tasks) * max(1, len(asked)), "cap", F.pmod(F.xxhash64("sample_id"), F.lit(max(1, tasks)))).sortWithinPartitions("cap")
+    rows = samples.select(F.col(id_col).alias("sample_id"), F.col(prompt).alias("prompt"))
+    if rows.rdd.getNumPartitions() < tasks:
+        rows = rows.repartition(tasks)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ready: dict[str, Adapter | Exception] = {}
@@ -90,7 +93,10 @@ def replies(samples: DataFrame, tiers: list[Tier], id_col: str = "sample_id", pr
                     found = chat_batch(adapter, part["prompt"].tolist(), KINDS[tier.kind], tier.batch, tier.in_flight)
                 yield pd.DataFrame({"sample_id": part["sample_id"], "cap": cap, "reply": [r for r, _ in found], "error": [e for _, e in found]})
 
-    return dealt.mapInPandas(run, f"sample_id {kind}, cap string, reply string, error string")
+    out = [rows.withColumn("cap", F.lit(x.capability)).mapInPandas(run, f"sample_id {kind}, cap string, reply string, error string") for x in asked]
+    if not out:
+        return rows.limit(0).select("sample_id", *[F.lit(None).cast("string").alias(c) for c in ("cap", "reply", "error")])
+    return reduce(DataFrame.unionByName, out)
 
 
 _REPLY = "correctness_score double, correctness_confidence double, training_quality_score double, training_quality_confidence double, recommended_metrics array<string>"

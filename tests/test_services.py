@@ -152,3 +152,12 @@ def test_tiers_that_fail_give_fallback_rows(spark):
     assert rows["s2", "x"].error.startswith("ValueError")
     best = graders.evaluate(samples, tiers, "id", all_tiers=False).collect()
     assert {r.cap for r in best} == {"sota"} and len(best) == 3
+
+
+def test_replies_shuffle_no_prompts_where_partitions_are_enough(spark, capsys):
+    samples = spark.range(0, 40, 1, 4).selectExpr("id AS sample_id", "cast(id AS string) AS prompt")
+    tiers = [graders.Tier(c, "radio", list) for c in ("weak", "sota")]
+    found = graders.replies(samples, tiers, tasks=4)
+    found.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    assert found.count() == 80 and graders.replies(samples, tiers[:1], all_tiers=False).count() == 0
