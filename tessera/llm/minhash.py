@@ -1,11 +1,15 @@
 """Near-duplicate classes by improved consistent weighted sampling.
 
 Documents are weighted sets of word shingles, weight = (1 + ln tf) * idf. The
-idf falls only for shingles in more than 1 / ``COMMON`` of all documents, from 1
-to 1 - ``span``, so that the edits of a heavily copied text don't outweigh what
-its copies share (README: what other spans lose); the table of such shingles has
-a bound (``COMMON`` times the mean number of shingles of a document), whatever
-the input. Improved consistent
+idf of a shingle is ln(N / df) in units of ln ``COMMON``, at most 1 and at least
+``floor``, where N and df count different texts: one document stands for each
+group of documents that are alike. So the copies of a text don't make common what
+they share, and their edits don't outweigh it. The groups are candidate groups by
+a first idf over all documents, which copies do sway and which therefore only
+falls from 1 to 1 - ``span``; it stays where it is the lesser one. A shingle in
+fewer than ``FEW`` texts is not common. The tables of common shingles have a
+bound (a multiple of ``COMMON`` times the mean number of shingles of a document),
+whatever the input. Improved consistent
 weighted sampling (one sample of all shingles for each slot; for heavy
 documents one sample for each of as many bins, empty bins borrowing) gives a
 sketch, its bands give buckets. Documents of a bucket whose sketches are alike
@@ -38,6 +42,7 @@ from tessera.llm.storage import written
 U = np.uint64
 SLOTS, BANDS = 64, 16
 COMMON, REPORT, LOSS, SPAN = 64, 256, 1024, 0.1
+FEW, FLOOR = 10, 0.1
 FULL_WEIGHT = 160.0  # up to this weight a document gets a full sample for each slot
 
 
@@ -58,6 +63,16 @@ class Idf:
             out[hit] = self.factors[at[hit]]
         return out
 
+    def lowered(self, hashes: np.ndarray, counts: np.ndarray, n_texts: int, floor: float = FLOOR) -> tuple[Idf, np.ndarray]:
+        """With the factors that the counts over different texts give where they are less; and the sorted hashes of these."""
+        by_text = np.clip(np.log(max(1, n_texts) / np.maximum(counts, 1)) / np.log(COMMON), floor, 1)
+        less = (counts >= FEW) & (by_text < self(hashes))
+        every = np.union1d(self.hashes, hashes[less])
+        out = Idf(every, np.zeros(len(every)), 1)
+        out.factors = self(every)
+        out.factors[np.searchsorted(out.hashes, hashes[less])] = by_text[less]
+        return out, np.sort(hashes[less])
+
 
 def row_shingles(data: np.ndarray, limits: np.ndarray, size: int):
     """(rows, hashes, times) of each text's distinct shingles, by row; then two hashes of each row's words in order."""
@@ -88,14 +103,12 @@ def _chunks(column: pa.Array, most: int = 2_000_000):
         yield low, high, data[limits[low] : limits[high]], limits[low : high + 1] - limits[low]
 
 
-def common_shingles(docs: DataFrame, size: int, text_col: str, span: float = SPAN) -> tuple[Idf, int]:
-    """Exact document counts of all shingles in at least 1 / COMMON of the documents.
+def shingle_reports(docs: DataFrame, size: int, text_col: str) -> tuple[DataFrame, int]:
+    """(h, over, docs) of what may be common in a partition, and the number of documents.
 
-    A first pass counts with loss in each partition and reports what may be in
-    1 / REPORT of its documents. What a partition doesn't report is below that,
-    so the reports bound every shingle's count from above; the few whose bound
-    reaches 1 / COMMON (fewer than 2 * COMMON times the mean number of shingles
-    of a document, whatever the input) are then counted exactly.
+    Counts with loss in each partition and reports what may be in 1 / REPORT of
+    its documents. What a partition doesn't report is below that, so the reports
+    bound every shingle's count from above.
     """
     texts = docs.select(F.col(text_col).alias("text"))
     # Small partitions would report all they have: some are taken together.
@@ -124,11 +137,21 @@ def common_shingles(docs: DataFrame, size: int, text_col: str, span: float = SPA
 
     parts = written(fewer.mapInArrow(candidates, "h long, over long, docs long"), "common")
     n_docs = parts.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
-    bound = parts.where("docs = 0").groupBy("h").agg(F.sum("over").alias("over")).where((F.col("over") + n_docs) * COMMON >= n_docs * REPORT)
+    return parts, n_docs
+
+
+def reported(parts: DataFrame, n_docs: int, least: float) -> np.ndarray:
+    """Sorted hashes of all shingles that by their reports may be in ``least`` documents, n_docs / REPORT or more."""
+    bound = parts.where("docs = 0").groupBy("h").agg(F.sum("over").alias("over")).where(F.col("over") + n_docs >= least * REPORT)
     names = np.array([r["h"] for r in bound.select("h").collect()], dtype=np.int64).view(np.uint64)
     names.sort()
+    return names
+
+
+def shingle_counts(docs: DataFrame, names: np.ndarray, size: int, text_col: str, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``names`` that are in ``least`` documents, and their exact document counts."""
     if not len(names):
-        return Idf(names, np.zeros(0), n_docs, span), n_docs
+        return names, np.zeros(0)
     shared = docs.sparkSession.sparkContext.broadcast(names)
 
     def exact(batches):
@@ -142,8 +165,19 @@ def common_shingles(docs: DataFrame, size: int, text_col: str, span: float = SPA
         there = total > 0
         yield pa.RecordBatch.from_arrays([pa.array(wanted[there].view(np.int64)), pa.array(total[there])], ["h", "n"])
 
-    rows = texts.mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * COMMON >= n_docs).collect()
-    return Idf(np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in rows], dtype=float), n_docs, span), n_docs
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
+    return np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in rows], dtype=float)
+
+
+def common_shingles(docs: DataFrame, size: int, text_col: str, span: float = SPAN, reports: tuple[DataFrame, int] | None = None) -> tuple[Idf, int]:
+    """Exact document counts of all shingles in at least 1 / COMMON of the documents.
+
+    The few that may be so common by the reports (fewer than 2 * COMMON times the
+    mean number of shingles of a document, whatever the input) are counted exactly.
+    """
+    parts, n_docs = reports or shingle_reports(docs, size, text_col)
+    least = n_docs / COMMON
+    return Idf(*shingle_counts(docs, reported(parts, n_docs, least), size, text_col, least), n_docs, span), n_docs
 
 
 def _sample(h: np.ndarray, log_w: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,10 +248,14 @@ def band_keys(kind: int, slots: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketch_rows(docs: DataFrame, idf: Idf, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc, version, key binary, sketches array<struct<kind, slots, bands>>) of every row."""
+def sketch_rows(docs: DataFrame, idf: Idf, size: int, id_col: str, text_col: str, names: np.ndarray | None = None, only: bool = False) -> DataFrame:
+    """(doc, version, key binary, sketches array<struct<kind, slots, bands>>, held array<int>) of every row.
+
+    ``held`` are the places of those of the sorted ``names`` that are shingles
+    of the row; with ``only``, rows without any are left out.
+    """
     rows = docs.select(F.col(id_col).alias("doc"), text_hash(F.col(text_col)).alias("version"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    shared, wanted = (docs.sparkSession.sparkContext.broadcast(x) for x in (idf, np.zeros(0, np.uint64) if names is None else names))
     kind_type = pa.list_(pa.struct([("kind", pa.int32()), ("slots", pa.binary()), ("bands", pa.list_(pa.int64()))]))
 
     def run(batches):
@@ -226,6 +264,14 @@ def sketch_rows(docs: DataFrame, idf: Idf, size: int, id_col: str, text_col: str
                 n = high - low
                 r, h, times, keys = row_shingles(data, limits, size)
                 found: list[list[dict]] = [[] for _ in range(n)]
+                place = np.searchsorted(wanted.value, h)
+                hit = np.flatnonzero(place < len(wanted.value))
+                hit = hit[wanted.value[place[hit]] == h[hit]]
+                ends = np.searchsorted(r[hit], np.arange(n + 1))
+                held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[hit], pa.int32()))
+                if only:
+                    stay = np.isin(r, r[hit])
+                    r, h, times = r[stay], h[stay], times[stay]
                 if len(r):
                     for kind, at, slots in sketches(r, h, (1 + np.log(times)) * shared.value(h), n):
                         small, bands = (slots & U(0xFF)).astype(np.uint8), band_keys(kind, slots)
@@ -233,10 +279,11 @@ def sketch_rows(docs: DataFrame, idf: Idf, size: int, id_col: str, text_col: str
                             found[row].append({"kind": kind, "slots": small[k].tobytes(), "bands": bands[k]})
                 raw = keys.astype(">u8").tobytes()
                 names = [raw[16 * k : 16 * k + 16] for k in range(n)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(low, n), batch.column("version").slice(low, n), pa.array(names, pa.binary()), pa.array(found, kind_type)], ["doc", "version", "key", "sketches"])
+                out = pa.RecordBatch.from_arrays([batch.column("doc").slice(low, n), batch.column("version").slice(low, n), pa.array(names, pa.binary()), pa.array(found, kind_type), held], ["doc", "version", "key", "sketches", "held"])
+                yield out.take(pa.array(np.flatnonzero(np.diff(ends)))) if only else out
 
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc {kind}, version long, key binary, sketches array<struct<kind:int,slots:binary,bands:array<bigint>>>")
+    return rows.mapInArrow(run, f"doc {kind}, version long, key binary, sketches array<struct<kind:int,slots:binary,bands:array<bigint>>>, held array<int>")
 
 
 def link_bucket(slots: np.ndarray, like: float, sure: float) -> tuple[list[tuple[int, int]], list[int]]:
@@ -628,18 +675,44 @@ def class_labels(texts: DataFrame, links: DataFrame, idf, size: int, least: floa
     return joined(labels, met(pairs, ("text", "sketches"), _near_texts(idf, size, least, like)))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, span: float = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_counts(docs: DataFrame, reps: DataFrame, groups: DataFrame, names: np.ndarray, n_docs: int, size: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """(hashes, counts, n): in how many of the n different texts each common shingle is; a group's least key is its text.
+
+    ``names``, which ``held`` refers to, has all that may be in half a COMMON-th
+    of the documents. If fewer than half of them are different texts, that is
+    not enough and their shingles are reported and counted anew.
+    """
+    grouped = reps.select("key", "held").join(groups, F.col("key") == F.col("node"), "left").groupBy(F.coalesce("label", "key").alias("label"))
+    firsts = written(grouped.agg(F.min(F.struct("key", "held")).alias("first")).select("first.*"), "firsts")
+    n = firsts.count()
+    least = max(n / COMMON, FEW)
+    if 2 * n >= n_docs:
+        rows = firsts.select(F.explode("held").alias("at")).groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()
+        return names[[r["at"] for r in rows]], np.array([r["n"] for r in rows], dtype=float), n
+    texts = written(texts_of(docs, reps, firsts.select(F.col("key").alias("node"), F.col("key").alias("label")), id_col, text_col).dropDuplicates(["key"]).select("text"), "firsts")
+    return *shingle_counts(texts, reported(*shingle_reports(texts, size, "text"), least), size, "text", least), n
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, span: float = SPAN, floor: float = FLOOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, version, class_doc, class_version, class_size, stays) for every row.
 
     ``class_doc`` and ``class_version`` name the class by its first member
     (least id, null last, then version); ``stays`` is true for that member.
     ``version`` is the hash of the text.
     """
-    idf, _ = common_shingles(docs, size, text_col, span)
-    rows = written(sketch_rows(docs, idf, size, id_col, text_col), "sketches")
+    parts, n_docs = shingle_reports(docs, size, text_col)
+    idf, _ = common_shingles(docs, size, text_col, span, (parts, n_docs))
+    names = reported(parts, n_docs, max(n_docs / (2 * COMMON), FEW))
+    rows = written(sketch_rows(docs, idf, size, id_col, text_col, names), "sketches")
     place = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "version")
-    reps = written(rows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("rows"), F.first("sketches").alias("sketches")).select("key", "first", "first.doc", "first.version", "rows", "sketches"), "reps")
+    reps = written(rows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("rows"), F.first("sketches").alias("sketches"), F.first("held").alias("held")).select("key", "first", "first.doc", "first.version", "rows", "sketches", "held"), "reps")
     links, groups = candidate_groups(reps)
+    idf, less = idf.lowered(*text_counts(docs, reps, groups, names, n_docs, size, id_col, text_col), floor)
+    if len(less):
+        # Only documents with a shingle whose weight fell get other sketches.
+        fresh = sketch_rows(docs, idf, size, id_col, text_col, less, only=True).groupBy("key").agg(F.first("sketches").alias("other"))
+        reps = written(reps.join(fresh, "key", "left").withColumn("sketches", F.coalesce("other", "sketches")).drop("other", "held"), "reps")
+        links, groups = candidate_groups(reps)
     texts = written(texts_of(docs, reps, groups, id_col, text_col).dropDuplicates(["key"]), "texts")
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     labels = class_labels(texts, links, shared, size, least)

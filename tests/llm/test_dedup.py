@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import linededup, minhash, suffix
 from tessera.llm.components import connected_components
+from tessera.llm.storage import written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -400,6 +401,40 @@ def test_common_shingles_are_exact(spark):
     assert np.allclose(idf.factors, 1 - minhash.SPAN * np.log(want[0] * minhash.COMMON / 640) / np.log(minhash.COMMON))
 
 
+@pytest.mark.parametrize("copies", [40, 300])
+def test_what_different_texts_share_weighs_little(spark, copies):
+    """A license in many different texts makes no class and parts none; copies, however many, stay together."""
+    passage, base = words(100, 1), words(100, 2)
+    texts = [" ".join(passage + words(150, 100 + k)) for k in range(60)]  # different, with the license
+    texts += [" ".join(words(100, 300 + k)) for k in range(30)]  # different, without it
+    texts += [" ".join(passage + words(8, 500 + k)) for k in range(12)]  # little else than the license
+    texts += [" ".join(words(100, 700)), " ".join(passage + words(100, 700))]  # one text without and with it
+    texts += [" ".join(base[:k] + [f"edit{k}"] + base[k + 1 :]) for k in [10 + k % 80 for k in range(copies)]]
+    docs = spark.createDataFrame(rows_of(texts), DOCS).repartition(4)
+    want = {k: k for k in range(102)} | {102: 102, 103: 102} | {104 + k: 104 for k in range(copies)}
+    assert {x.doc: x.class_doc for x in minhash.near_duplicates(docs).collect()} == want
+    plain = {x.doc: x.class_doc for x in minhash.near_duplicates(docs, floor=1.0).collect()}
+    assert {plain[k] for k in range(90, 102)} == {90} and plain[103] == 103
+
+
+def test_counts_of_different_texts_are_exact(spark):
+    texts = [" ".join(words(40, 50) + words(200, 100 + k)) for k in range(70)] + [" ".join(words(40, 51) + words(60, 400))] * 30
+    texts += [" ".join(words(200, 600) + [f"own{k}"]) for k in range(50)]
+    docs = spark.createDataFrame(rows_of(texts), DOCS).repartition(4)
+    for more in (0, 400):  # exact copies, which make the second way of counting
+        table = docs.unionByName(spark.createDataFrame(rows_of(["copied text of six words only"] * more), docs.schema))
+        reports = minhash.shingle_reports(table, 5, "text")
+        idf, _ = minhash.common_shingles(table, 5, "text", reports=reports)
+        names = minhash.reported(*reports, max(reports[1] / (2 * minhash.COMMON), minhash.FEW))
+        rows = minhash.sketch_rows(table, idf, 5, "doc_id", "text", names)
+        reps = written(rows.groupBy("key").agg(F.min("doc").alias("doc"), F.first("version").alias("version"), F.first("sketches").alias("sketches"), F.first("held").alias("held")), "reps")
+        _, groups = minhash.candidate_groups(reps)
+        hashes, counts, n = minhash.text_counts(table, reps, groups, names, reports[1], 5, "doc_id", "text")
+        assert (n, len(set(hashes.tolist())), set(counts.tolist())) == (72 + (more > 0), 36, {70.0})
+        lowered, less = idf.lowered(hashes, counts, n)
+        assert len(less) == 36 and np.allclose(lowered(less), minhash.FLOOR) and np.allclose(lowered(idf.hashes[~np.isin(idf.hashes, less)]), idf.factors[~np.isin(idf.hashes, less)])
+
+
 def test_weighted_jaccard_exact():
     idf = minhash.Idf(np.zeros(0, np.uint64), np.zeros(0), 1)
     a, b = "a b c d e f g", "a b c d e f x"
